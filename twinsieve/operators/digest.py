@@ -2,9 +2,9 @@
 
 import hashlib
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from twinsieve.functions import byte_size, content_digest
 from twinsieve.operators.groups import join_groups
@@ -27,22 +27,25 @@ def digest_table(table: DataFrame, payload: str) -> DataFrame:
 
 
 def digest_rows(pending: DataFrame, table: DataFrame, payload: str) -> DataFrame:
-    """path and md5 of the `pending` paths, from the table that has their payload.
+    """The `pending` rows with their md5, from the table that has their payload.
 
     `pending` should be a stored table: it is counted first. A short list goes to
     the payloads by broadcast and only its rows are digested. Otherwise every
     payload is digested where it is read, and only path and digest are shuffled.
     Payloads never are.
     """
-    wanted = pending.select("path")
+    wanted = pending.drop("md5")
     if wanted.count() <= BROADCAST_ROWS:
-        hits = table.join(F.broadcast(wanted), "path")
-        return hits.select("path", content_digest(payload).alias("md5"))
-    return digest_table(table, payload).select("path", "md5").join(wanted, "path")
+        hits = table.select("path", F.col(payload).alias("_payload"))
+        hits = hits.join(F.broadcast(wanted), "path")
+        return hits.select(*wanted.columns, content_digest("_payload").alias("md5"))
+    digests = digest_table(table, payload).select("path", "md5")
+    return wanted.join(digests, "path")
 
 
 def _digest_files(batches):
-    """md5 of each file, read in chunks; null where it cannot be read."""
+    """The rows of each batch with the md5 of the file at `path`, read in chunks;
+    null where it cannot be read."""
 
     def digest(path):
         try:
@@ -55,11 +58,12 @@ def _digest_files(batches):
             return None
 
     for batch in batches:
-        yield pd.DataFrame({"path": batch["path"], "md5": batch["path"].map(digest)})
+        yield batch.assign(md5=batch["path"].map(digest).astype(object))
 
 
 def digest_files(pending: DataFrame, tasks: int | None = None) -> DataFrame:
-    """path and md5 of files on a file system that all executors mount.
+    """The `pending` rows with the md5 of the file each path names, on a file system
+    that all executors mount.
 
     Memory stays at one chunk per task whatever the file size. The number of tasks
     follows the bytes to read, not the few bytes of the path list.
@@ -68,8 +72,9 @@ def digest_files(pending: DataFrame, tasks: int | None = None) -> DataFrame:
         total = pending.agg(F.sum("size")).first()[0] or 0
         least = pending.sparkSession.sparkContext.defaultParallelism
         tasks = min(MAX_TASKS, max(least, total // BYTES_PER_TASK + 1))
-    paths = pending.select("path").repartition(int(tasks), "path")
-    return paths.mapInPandas(_digest_files, "path string, md5 string")
+    wanted = pending.drop("md5")
+    schema = T.StructType([*wanted.schema.fields, T.StructField("md5", T.StringType())])
+    return wanted.repartition(int(tasks), "path").mapInPandas(_digest_files, schema)
 
 
 def digest_binary_files(spark, roots: list[str]) -> DataFrame:

@@ -17,16 +17,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# A group with more rows than this counts as hot.
+# A group with more rows than this counts as hot. Overridden by the session setting.
 HOT_ROWS = 100_000
+HOT_ROWS_SETTING = "spark.twinsieve.hotRows"
 # Bound on the broadcast: rows, whatever the size of the input. A group that is
 # over HOT_ROWS but not among these holds less than 1/MAX_HOT_GROUPS of all rows.
 MAX_HOT_GROUPS = 1_000
 
 
-def _hottest(groups: DataFrame, keys: list[str], n: str, hot_rows: int) -> DataFrame:
+def hot_rows(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get(HOT_ROWS_SETTING, str(HOT_ROWS)))
+
+
+def _hottest(groups: DataFrame, keys: list[str], n: str) -> DataFrame:
     return (
-        groups.filter(F.col(n) > hot_rows)
+        groups.filter(F.col(n) > hot_rows(groups))
         .orderBy(F.col(n).desc(), *keys)
         .limit(MAX_HOT_GROUPS)
     )
@@ -49,17 +54,20 @@ def join_groups(
     how: str = "left",
     n: str = "n",
     spread_by: str = "path",
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Join each row to its group, safely for groups of any size.
 
-    `groups` has one row per `keys` and a column `n` with the group's row count;
-    its keys must not be null. Its other columns are added to `rows`. `how` is
-    "left" or "inner". `spread_by` is a column that differs between rows.
+    `groups` has one row per `keys` and a column `n` with the group's row count.
+    Its other columns are added to `rows`. Null keys match nothing. `how` is "left"
+    or "inner". `spread_by` is a column that differs between rows.
     """
     values = [c for c in groups.columns if c not in keys]
+    # Stated for both branches alike, or Catalyst adds it to one of them only and
+    # the two aggregates no longer are the same plan.
+    for key in keys:
+        groups = groups.filter(F.col(key).isNotNull())
     packed = F.struct(*values)
-    hot = _hottest(groups, keys, n, hot_rows).select(
+    hot = _hottest(groups, keys, n).select(
         *[F.col(k).alias(f"_hot_{k}") for k in keys], packed.alias("_hot")
     )
     cold = groups.select(*[F.col(k).alias(f"_cold_{k}") for k in keys], packed.alias("_cold"))
@@ -85,23 +93,17 @@ def join_groups(
 
 
 def salted_join(
-    rows: DataFrame,
-    wide: DataFrame,
-    key: str,
-    *,
-    spread_by: str = "path",
-    hot_rows: int = HOT_ROWS,
+    rows: DataFrame, wide: DataFrame, key: str, *, spread_by: str = "path"
 ) -> DataFrame:
     """Inner join of many rows per key to one `wide` row per key.
 
-    For partners too wide to broadcast. A key with many rows is split into
-    pieces of about `hot_rows`, and only the partner of such a key is copied, once
-    per piece.
+    For partners too wide to broadcast. A hot key is split into pieces of about
+    `hot_rows` rows, and only the partner of such a key is copied, once per piece.
     """
     counts = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
-    pieces = _hottest(counts, [key], "n", hot_rows).select(
+    pieces = _hottest(counts, [key], "n").select(
         F.col(key).alias("_hot_key"),
-        F.ceil(F.col("n") / hot_rows).cast("long").alias("_pieces"),
+        F.ceil(F.col("n") / hot_rows(rows)).cast("long").alias("_pieces"),
     )
     pieces = F.broadcast(pieces)
     left = rows.join(pieces, F.col(key) == F.col("_hot_key"), "left").select(

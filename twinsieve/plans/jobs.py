@@ -1,7 +1,9 @@
 """The user-level jobs: hash, dedupe and purge.
 
-A job returns DataFrames and changes nothing it was given. Its `digest` argument
-maps pending rows to (path, md5); see `operators.digest` for the ready-made ones.
+A job returns DataFrames and changes nothing it was given. Manifests should be
+stored tables, since a job reads them more than once. The `digest` argument takes
+pending rows (path, size, identity, n) and returns them with md5; `digest_rows` and
+`digest_files` in `operators.digest` are ready-made ones.
 """
 
 from collections.abc import Callable
@@ -48,10 +50,12 @@ def hash_job(
 ) -> DataFrame:
     """The manifest with digests: reused, shared within objects, and computed where
     missing. Rows that could not be digested, or were skipped, keep a null."""
-    merged = stage(merge_previous(manifest, previous), "merged")
-    pending = stage(pending_rows(merged, skip_unique_sizes), "pending")
-    found = pending.select("path", "identity", "n").join(digest(pending), "path")
-    found = stage(found.filter(F.col("md5").isNotNull()), "digests")
+    merged = merge_previous(manifest, previous)
+    if previous is not None:
+        merged = stage(merged, "merged")
+    waiting = pending_rows(merged, skip_unique_sizes)
+    waiting = stage(waiting.select("path", "size", "identity", "n"), "pending")
+    found = stage(digest(waiting).filter(F.col("md5").isNotNull()), "digests")
     return apply_inode_digests(merged, found)
 
 

@@ -128,7 +128,7 @@ def walk_table_files(spark, sf_dir):
 
 def digest_table_files(spark, sf_dir):
     files = stage(walk_table_files(spark, sf_dir), "files")
-    return digest.digest_files(files)
+    return digest.digest_files(files).select("path", "size", "md5")
 
 
 # ------------------------------------------------------------- filters and joins
@@ -353,7 +353,7 @@ QUERIES = {
     # reconciliation within physical objects
     "inode_profile": on_merged(reconcile.inode_profile),
     "inode_flags": on_merged(reconcile.inode_flags),
-    "inode_conflicts": on_merged(reconcile.inode_conflicts),
+    "inode_conflicts": on_stored_merged(reconcile.inode_conflicts),
     "inode_sync": on_stored_merged(reconcile.sync_digests),
     "inode_sync_fill_only": on_stored_merged(reconcile.fill_digests),
     "affected_rows": on_stored_merged(reconcile.affected_rows),
