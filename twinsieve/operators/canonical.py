@@ -1,14 +1,13 @@
 """Groups of equal content and the election of one member of each.
 
 Content is compared by md5 within a device, as objects can only be linked there.
-Every election is a total order that ends in the path, and every election is an
-aggregate: a digest that a third of all rows share costs one row per map task.
+Every election is a total order that ends in the path.
 """
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinsieve.operators.groups import join_groups
+from twinsieve.operators.groups import join_groups, with_group_values
 from twinsieve.operators.reconcile import with_identity
 
 CONTENT = ["device", "md5"]
@@ -18,29 +17,36 @@ def _hashed(manifest: DataFrame) -> DataFrame:
     return with_identity(manifest).filter(F.col("md5").isNotNull())
 
 
-def _elect(hashed: DataFrame, first) -> DataFrame:
+def _best(order: Column) -> Column:
+    return F.min(F.struct(order.alias("order"), "path", "inode", "identity"))
+
+
+# Policies that look at one row at a time, by what makes a row come first.
+ORDERS = {
+    "max_links": lambda: -F.coalesce("links", F.lit(1)),
+    "first_seen": lambda: F.col("mtime_us"),
+}
+# `modal_inode` looks at objects: the one that most paths of the group point at.
+POLICIES = [*ORDERS, "modal_inode"]
+
+
+def _check(policy: str) -> None:
+    if policy not in POLICIES:
+        raise ValueError(f"policy must be one of {POLICIES}, not {policy!r}")
+
+
+def _by_row(hashed: DataFrame, policy: str) -> DataFrame:
     return hashed.groupBy(*CONTENT).agg(
         F.count("*").alias("n"),
         F.min("identity").alias("lo_identity"),
         F.max("identity").alias("hi_identity"),
-        F.min(F.struct(*first, "path", "inode", "identity")).alias("best"),
+        _best(ORDERS[policy]()).alias("best"),
     )
 
 
-def _max_links(manifest: DataFrame) -> DataFrame:
-    links = F.coalesce("links", F.lit(1))
-    return _elect(_hashed(manifest), [(-links).alias("order")])
-
-
-def _first_seen(manifest: DataFrame) -> DataFrame:
-    return _elect(_hashed(manifest), [F.col("mtime_us").alias("order")])
-
-
-def _modal_inode(manifest: DataFrame) -> DataFrame:
-    objects = (
-        _hashed(manifest)
-        .groupBy(*CONTENT, "identity")
-        .agg(F.count("*").alias("paths"), F.min(F.struct("path", "inode")).alias("first"))
+def _by_object(hashed: DataFrame) -> DataFrame:
+    objects = hashed.groupBy(*CONTENT, "identity").agg(
+        F.count("*").alias("paths"), F.min(F.struct("path", "inode")).alias("first")
     )
     best = F.struct((-F.col("paths")).alias("order"), "first.path", "first.inode", "identity")
     return objects.groupBy(*CONTENT).agg(
@@ -51,23 +57,18 @@ def _modal_inode(manifest: DataFrame) -> DataFrame:
     )
 
 
-# How the member that stays is chosen; ties go to the smallest path.
-POLICIES = {
-    "max_links": _max_links,  # the one with most links
-    "modal_inode": _modal_inode,  # the object most paths of the group already point at
-    "first_seen": _first_seen,  # the oldest
-}
-
-
 def canonicals(manifest: DataFrame, policy: str = "max_links") -> DataFrame:
     """The canonical member of every content group.
 
+    `policy` says which: max_links, the member with most links; first_seen, the
+    oldest; modal_inode, the object that most paths of the group already point at.
     `n` counts the paths of a group; lo_identity and hi_identity differ exactly
     when it consists of more than one physical object.
     """
-    if policy not in POLICIES:
-        raise ValueError(f"policy must be one of {sorted(POLICIES)}, not {policy!r}")
-    return POLICIES[policy](manifest).select(
+    _check(policy)
+    hashed = _hashed(manifest)
+    elected = _by_row(hashed, policy) if policy in ORDERS else _by_object(hashed)
+    return elected.select(
         *CONTENT,
         "n",
         "lo_identity",
@@ -78,6 +79,26 @@ def canonicals(manifest: DataFrame, policy: str = "max_links") -> DataFrame:
     )
 
 
+def with_canonical(manifest: DataFrame, policy: str = "max_links") -> DataFrame:
+    """Every row that has a digest, with the canonical member of its content.
+
+    Groups that are a single object may be left out. `manifest` is read several
+    times: pass a stored table.
+    """
+    _check(policy)
+    hashed = _hashed(manifest)
+    if policy not in ORDERS:
+        groups = canonicals(manifest, policy).filter("lo_identity <> hi_identity")
+        return join_groups(hashed, groups, CONTENT, how="inner")
+    rows = with_group_values(hashed, CONTENT, {"best": _best(ORDERS[policy]())})
+    return rows.select(
+        *hashed.columns,
+        F.col("best.path").alias("canonical_path"),
+        F.col("best.inode").alias("canonical_inode"),
+        F.col("best.identity").alias("canonical_identity"),
+    )
+
+
 def duplicate_groups(manifest: DataFrame) -> DataFrame:
     """Content that several physical objects hold: paths, objects, size, first path."""
     return (
@@ -96,5 +117,5 @@ def duplicate_groups(manifest: DataFrame) -> DataFrame:
 def duplicate_rows(manifest: DataFrame) -> DataFrame:
     """Every row whose digest some other row has too, none left out."""
     hashed = manifest.filter(F.col("md5").isNotNull())
-    groups = hashed.groupBy("md5").agg(F.count("*").alias("n")).filter("n > 1")
-    return join_groups(hashed, groups, ["md5"], how="inner").select(*manifest.columns)
+    counted = with_group_values(hashed, ["md5"], {"n": F.count("*")})
+    return counted.filter("n > 1").select(*manifest.columns)

@@ -1,34 +1,78 @@
-"""Attaching values of a group to its rows when one group may be huge.
+"""Bringing rows and their groups together when one group may be huge.
 
-A window over the group key would put the whole group into one task. Here the
-group is reduced by an aggregate (which combines on the map side, so a hot key
-shrinks to one row per task before the shuffle) and its values are joined back:
+A window over the group key alone would put a whole group into one task, and so
+would a join on it. Hot groups are therefore told apart first, and treated in a way
+that never gathers their rows: reduced by an aggregate that combines on the map
+side, and answered by broadcasting the few rows that come out.
 
-* the largest groups, at most ``MAX_HOT_GROUPS`` of them, are broadcast, and the
-  rows that match them are given a made-up join key, so that the shuffle spreads
-  them over all partitions instead of sending them to one;
-* all other rows meet their group in an ordinary shuffle join, on the
-  partitioning the aggregate already produced.
+* `with_group_values` - values computed from the rows themselves. Cold groups are
+  done by a window: one shuffle, one sort.
+* `join_groups` - values that come from elsewhere, one row per group.
+* `salted_join` - partners too wide to broadcast.
 
-Both branches read the same aggregate, so its exchange is computed once.
+Which groups count as hot affects speed only, never the result.
 """
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # A group with more rows than this counts as hot. Overridden by the session setting.
 HOT_ROWS = 100_000
 HOT_ROWS_SETTING = "spark.twinsieve.hotRows"
-# Bound on the broadcast: rows, whatever the size of the input. A group that is
-# over HOT_ROWS but not among these holds less than 1/MAX_HOT_GROUPS of all rows.
-MAX_HOT_GROUPS = 1_000
+# Bound on every broadcast: this many rows, whatever the size of the input.
+# A group beyond it holds less than 1/MAX_HOT_GROUPS of all rows.
+MAX_HOT_GROUPS = 2_500
+# Size of the frequent-items sketch. Its error is 3.5 / 2^14 of all rows, which
+# makes it find every key that holds 1/2340 of them or more.
+SKETCH_ITEMS = 10_000
+# Sketches of scan tasks are merged in this many tasks first, then in one.
+SKETCH_MERGERS = 128
 
 
 def hot_rows(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get(HOT_ROWS_SETTING, str(HOT_ROWS)))
 
 
+def _frequent(rows: DataFrame, key: str) -> DataFrame:
+    """Keys with more than `hot_rows` rows, from a sketch: one scan, and all that is
+    shuffled is one sketch per task."""
+    sketches = (
+        rows.select(F.col(key), F.pmod(F.spark_partition_id(), F.lit(SKETCH_MERGERS)).alias("_task"))
+        .groupBy("_task")
+        .agg(F.expr(f"approx_top_k_accumulate({key}, {SKETCH_ITEMS})").alias("_sketch"))
+    )
+    # Grouped by a constant: without input there is no group, and so no sketch.
+    merged = sketches.groupBy(F.lit("all")).agg(
+        F.expr("approx_top_k_combine(_sketch)").alias("_sketch")
+    )
+    top = merged.select(F.expr(f"inline(approx_top_k_estimate(_sketch, {MAX_HOT_GROUPS}))"))
+    return top.filter(F.col("count") > hot_rows(rows)).select(F.col("item").alias("_hot_key"))
+
+
+def with_group_values(rows: DataFrame, keys: list[str], values: dict[str, Column]) -> DataFrame:
+    """Add to each row aggregates over all rows with the same `keys`.
+
+    `values` are aggregate expressions that also work over a window. Keys must not
+    be null. `rows` is read twice, and twice more where it has hot groups: pass a
+    stored table or a narrow step on one.
+    """
+    keyed = rows.withColumn("_key", F.concat_ws("|", *[F.col(k).cast("string") for k in keys]))
+    hot = F.broadcast(_frequent(keyed, "_key"))
+    is_hot = F.col("_key") == F.col("_hot_key")
+
+    window = Window.partitionBy(*keys)
+    cold_rows = keyed.join(hot, is_hot, "left_anti")
+    cold = cold_rows.select(
+        *rows.columns, *[value.over(window).alias(name) for name, value in values.items()]
+    )
+
+    hot_rows_ = keyed.join(hot, is_hot, "left_semi")
+    answers = hot_rows_.groupBy("_key").agg(*[v.alias(name) for name, v in values.items()])
+    answered = hot_rows_.join(F.broadcast(answers), "_key").select(*rows.columns, *values)
+    return cold.unionByName(answered)
+
+
 def _hottest(groups: DataFrame, keys: list[str], n: str) -> DataFrame:
     return (
         groups.filter(F.col(n) > hot_rows(groups))
@@ -57,6 +101,11 @@ def join_groups(
 ) -> DataFrame:
     """Join each row to its group, safely for groups of any size.
 
+    The hottest groups are broadcast. Rows that match one get a made-up join key, so
+    that the shuffle spreads them over all partitions instead of sending them to
+    one. All other rows meet their group in an ordinary shuffle join, on the
+    partitioning that the aggregate behind `groups` has produced already.
+
     `groups` has one row per `keys` and a column `n` with the group's row count.
     Its other columns are added to `rows`. Null keys match nothing. `how` is "left"
     or "inner". `spread_by` is a column that differs between rows.

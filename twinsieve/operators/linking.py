@@ -3,22 +3,17 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinsieve.operators.canonical import CONTENT, canonicals
-from twinsieve.operators.groups import join_groups
-from twinsieve.operators.reconcile import with_identity
+from twinsieve.operators.canonical import with_canonical
 from twinsieve.schema import LINK_PLAN
 
 
 def link_plan(manifest: DataFrame, policy: str = "max_links") -> DataFrame:
     """One row per path that should be relinked.
 
-    A path is planned when its content group has several physical objects and its
-    own is not the canonical one, so all paths of a replaced object move together.
-    `manifest` is read twice: pass a stored table, not a long lineage.
+    A path is planned when its own physical object is not the canonical one of its
+    content, so all paths of a replaced object move together.
     """
-    groups = canonicals(manifest, policy).filter("lo_identity <> hi_identity")
-    hashed = with_identity(manifest).filter(F.col("md5").isNotNull())
-    members = join_groups(hashed, groups, CONTENT, how="inner")
+    members = with_canonical(manifest, policy)
     return members.filter("identity <> canonical_identity").select(*LINK_PLAN.fieldNames())
 
 

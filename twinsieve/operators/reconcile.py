@@ -4,42 +4,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinsieve.functions import identity
-from twinsieve.operators.groups import join_groups
+from twinsieve.operators.groups import join_groups, with_group_values
 
 
 def with_identity(manifest: DataFrame) -> DataFrame:
     return manifest.withColumn("identity", identity())
 
 
-def _shared(manifest: DataFrame, *more: Column) -> DataFrame:
-    """Range of digests of each object that has more than one path."""
-    return (
-        with_identity(manifest)
-        .groupBy("identity")
-        .agg(F.count("*").alias("n"), F.min("md5").alias("lo"), F.max("md5").alias("hi"), *more)
-        .filter("n > 1")
-    )
-
-
 def sync_digests(manifest: DataFrame) -> DataFrame:
     """One digest per physical object.
 
     An object with a single known digest gives it to all its paths; one with
     several has them all cleared; one with none stays as it is.
     """
-    groups = _shared(manifest).filter(F.col("lo").isNotNull())
-    joined = join_groups(with_identity(manifest), groups, ["identity"])
-    agreed = F.when(F.col("n").isNull(), F.col("md5")).when(F.col("lo") == F.col("hi"), F.col("hi"))
-    return joined.withColumn("md5", agreed).select(*manifest.columns)
+    known = {"lo": F.min("md5"), "hi": F.max("md5")}
+    grouped = with_group_values(with_identity(manifest), ["identity"], known)
+    agreed = F.when(F.col("lo") == F.col("hi"), F.col("hi"))
+    return grouped.withColumn("md5", agreed).select(*manifest.columns)
 
 
 def fill_digests(manifest: DataFrame) -> DataFrame:
     """Only fill gaps: a row without digest takes that of its object, if the object
     has exactly one and more than one link. Contradicting digests stay in place."""
-    affected = F.bool_or(F.col("md5").isNull() & (F.col("links") > 1)).alias("affected")
-    groups = _shared(manifest, affected).filter("affected AND lo = hi")
-    joined = join_groups(with_identity(manifest), groups, ["identity"])
-    return joined.withColumn("md5", F.coalesce("md5", "hi")).select(*manifest.columns)
+    known = {"lo": F.min("md5"), "hi": F.max("md5"), "affected": _affected()}
+    grouped = with_group_values(with_identity(manifest), ["identity"], known)
+    filled = F.when(F.col("affected") & (F.col("lo") == F.col("hi")), F.col("hi"))
+    return grouped.withColumn("md5", F.coalesce("md5", filled)).select(*manifest.columns)
 
 
 def inode_profile(manifest: DataFrame) -> DataFrame:
@@ -91,14 +81,13 @@ def linked_without_digest(manifest: DataFrame) -> DataFrame:
     return manifest.filter((F.col("links") > 1) & F.col("md5").isNull())
 
 
+def _affected() -> Column:
+    return F.bool_or((F.col("links") > 1) & F.col("md5").isNull())
+
+
 def affected_rows(manifest: DataFrame) -> DataFrame:
     """All paths of every object that has a linked path without digest."""
-    affected = F.bool_or((F.col("links") > 1) & F.col("md5").isNull()).alias("affected")
-    groups = (
-        with_identity(manifest)
-        .groupBy("identity")
-        .agg(F.count("*").alias("n"), affected)
-        .filter("affected")
+    grouped = with_group_values(
+        with_identity(manifest), ["identity"], {"affected": _affected()}
     )
-    joined = join_groups(with_identity(manifest), groups, ["identity"], how="inner")
-    return joined.select(*manifest.columns)
+    return grouped.filter("affected").select(*manifest.columns)
