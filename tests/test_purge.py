@@ -1,9 +1,17 @@
+import pytest
+
 from tests.helpers import column, manifest, same_rows
 from twinsieve.operators import purge
 from twinsieve.plans import purge_job
 from twinsieve.schema import DIGEST_LIST
 
 
+@pytest.fixture(params=["short list", "long list"], autouse=True)
+def length(request, monkeypatch):
+    if request.param == "long list":
+        monkeypatch.setattr(purge, "BROADCAST_DIGESTS", 0)
+
+
 def scan(spark):
     return manifest(
         spark,

@@ -37,6 +37,21 @@ def test_sync(spark, heat):
     assert same_rows(reconcile.sync_digests(got), got)
 
 
+def test_sync_with_trusted_link_counts(spark, heat):
+    scan = objects(spark)
+    got = reconcile.sync_digests(scan, trust_links=True)
+    assert same_rows(got, reconcile.sync_digests(scan))
+
+
+def test_rows_without_inode_are_not_shuffled(spark):
+    scan = objects(spark).filter("inode is null or inode = 0")
+    got = reconcile.sync_digests(scan)
+    got.collect()
+    final = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "Window" not in final
+    assert same_rows(got, scan)
+
+
 def test_fill_leaves_contradictions(spark, heat):
     scan = objects(spark)
     want = column(scan, "md5") | {"some2": "aa", "some3": "aa"}

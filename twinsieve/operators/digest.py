@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from twinsieve.functions import byte_size, content_digest
-from twinsieve.operators.groups import join_groups
+from twinsieve.operators.groups import is_short, join_groups
 from twinsieve.operators.reconcile import with_identity
 
 # Fixed value: bytes read at a time.
@@ -29,13 +29,13 @@ def digest_table(table: DataFrame, payload: str) -> DataFrame:
 def digest_rows(pending: DataFrame, table: DataFrame, payload: str) -> DataFrame:
     """The `pending` rows with their md5, from the table that has their payload.
 
-    `pending` should be a stored table: it is counted first. A short list goes to
-    the payloads by broadcast and only its rows are digested. Otherwise every
+    `pending` should be a stored table: its length is looked at first. A short list
+    goes to the payloads by broadcast and only its rows are digested. Otherwise every
     payload is digested where it is read, and only path and digest are shuffled.
     Payloads never are.
     """
     wanted = pending.drop("md5")
-    if wanted.count() <= BROADCAST_ROWS:
+    if is_short(wanted, BROADCAST_ROWS):
         hits = table.select("path", F.col(payload).alias("_payload"))
         hits = hits.join(F.broadcast(wanted), "path")
         return hits.select(*wanted.columns, content_digest("_payload").alias("md5"))

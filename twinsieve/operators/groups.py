@@ -50,15 +50,25 @@ def _frequent(rows: DataFrame, key: str) -> DataFrame:
     return top.filter(F.col("count") > hot_rows(rows)).select(F.col("item").alias("_hot_key"))
 
 
-def with_group_values(rows: DataFrame, keys: list[str], values: dict[str, Column]) -> DataFrame:
+def with_group_values(
+    rows: DataFrame,
+    keys: list[str],
+    values: dict[str, Column],
+    *,
+    counted_in: DataFrame | None = None,
+) -> DataFrame:
     """Add to each row aggregates over all rows with the same `keys`.
 
     `values` are aggregate expressions that also work over a window. Keys must not
-    be null. `rows` is read twice, and twice more where it has hot groups: pass a
-    stored table or a narrow step on one.
+    be null. `rows` is read once to find hot groups and once to answer, and twice
+    more where it has some: pass a stored table or a narrow step on one. Where
+    `rows` took work to make, `counted_in` names a stored table with the same keys
+    to find the hot groups in.
     """
-    keyed = rows.withColumn("_key", F.concat_ws("|", *[F.col(k).cast("string") for k in keys]))
-    hot = F.broadcast(_frequent(keyed, "_key"))
+    key = F.concat_ws("|", *[F.col(k).cast("string") for k in keys])
+    counted = rows if counted_in is None else counted_in
+    hot = F.broadcast(_frequent(counted.select(key.alias("_key")), "_key"))
+    keyed = rows.withColumn("_key", key)
     is_hot = F.col("_key") == F.col("_hot_key")
 
     window = Window.partitionBy(*keys)
@@ -73,6 +83,11 @@ def with_group_values(rows: DataFrame, keys: list[str], values: dict[str, Column
     return cold.unionByName(answered)
 
 
+def is_short(df: DataFrame, rows: int) -> bool:
+    """Whether `df` has at most so many rows. Stops reading once it has more."""
+    return df.limit(rows + 1).count() <= rows
+
+
 def _hottest(groups: DataFrame, keys: list[str], n: str) -> DataFrame:
     return (
         groups.filter(F.col(n) > hot_rows(groups))

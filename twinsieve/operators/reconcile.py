@@ -11,16 +11,32 @@ def with_identity(manifest: DataFrame) -> DataFrame:
     return manifest.withColumn("identity", identity())
 
 
-def sync_digests(manifest: DataFrame) -> DataFrame:
+def _may_share(trust_links: bool) -> Column:
+    """Rows that may be one of several paths of an object."""
+    known = F.coalesce(F.col("inode") != 0, F.lit(False))
+    return known & (F.coalesce("links", F.lit(2)) > 1) if trust_links else known
+
+
+def sync_digests(
+    manifest: DataFrame, *, scan: DataFrame | None = None, trust_links: bool = False
+) -> DataFrame:
     """One digest per physical object.
 
     An object with a single known digest gives it to all its paths; one with
-    several has them all cleared; one with none stays as it is.
+    several has them all cleared; one with none stays as it is. Rows without a known
+    inode cannot share an object and are not shuffled. With `trust_links` neither
+    are rows with a single link, which is most of a usual tree; leave it off where
+    link counts may be out of date. `scan` is a stored table with the same rows, for
+    when `manifest` is not stored itself.
     """
+    may_share = _may_share(trust_links)
+    shared = with_identity(manifest.filter(may_share))
+    counted = None if scan is None else with_identity(scan.filter(may_share))
     known = {"lo": F.min("md5"), "hi": F.max("md5")}
-    grouped = with_group_values(with_identity(manifest), ["identity"], known)
+    grouped = with_group_values(shared, ["identity"], known, counted_in=counted)
     agreed = F.when(F.col("lo") == F.col("hi"), F.col("hi"))
-    return grouped.withColumn("md5", agreed).select(*manifest.columns)
+    synced = grouped.withColumn("md5", agreed).select(*manifest.columns)
+    return synced.unionByName(manifest.filter(~may_share))
 
 
 def fill_digests(manifest: DataFrame) -> DataFrame:

@@ -23,15 +23,17 @@ from twinsieve.workspace import stage
 Digest = Callable[[DataFrame], DataFrame]
 
 
-def merge_previous(manifest: DataFrame, previous: DataFrame | None) -> DataFrame:
+def merge_previous(
+    manifest: DataFrame, previous: DataFrame | None, *, trust_links: bool = False
+) -> DataFrame:
     """Digests of the previous snapshot where still valid, one per physical object.
 
     Without a snapshot, or to refresh everything, pass None.
     """
     if previous is None:
         return manifest.withColumn("md5", F.lit(None).cast("string"))
-    # Both sides of the sync read the merged rows; stored, they are merged once.
-    return sync_digests(stage(reuse_digests(manifest, previous), "reused"))
+    reused = reuse_digests(manifest, previous)
+    return sync_digests(reused, scan=manifest, trust_links=trust_links)
 
 
 def pending_rows(manifest: DataFrame, skip_unique_sizes: bool = False) -> DataFrame:
@@ -47,10 +49,15 @@ def hash_job(
     digest: Digest,
     *,
     skip_unique_sizes: bool = False,
+    trust_links: bool = False,
 ) -> DataFrame:
     """The manifest with digests: reused, shared within objects, and computed where
-    missing. Rows that could not be digested, or were skipped, keep a null."""
-    merged = merge_previous(manifest, previous)
+    missing. Rows that could not be digested, or were skipped, keep a null.
+
+    `trust_links` takes rows with a link count of 1 for objects of their own, which
+    spares most rows of a usual tree a shuffle.
+    """
+    merged = merge_previous(manifest, previous, trust_links=trust_links)
     if previous is not None:
         merged = stage(merged, "merged")
     waiting = pending_rows(merged, skip_unique_sizes)
@@ -72,6 +79,7 @@ def dedupe_job(
     policy: str = "max_links",
     skip_unique_sizes: bool = False,
     one_device: bool = False,
+    trust_links: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """`hash_job`, then the link plan. Returns the hashed manifest and the plan.
 
@@ -79,9 +87,14 @@ def dedupe_job(
     """
     if one_device:
         require_one_device(manifest)
-    hashed = stage(
-        hash_job(manifest, previous, digest, skip_unique_sizes=skip_unique_sizes), "hashed"
+    hashed = hash_job(
+        manifest,
+        previous,
+        digest,
+        skip_unique_sizes=skip_unique_sizes,
+        trust_links=trust_links,
     )
+    hashed = stage(hashed, "hashed")
     return hashed, link_plan(hashed, policy)
 
 

@@ -354,7 +354,7 @@ QUERIES = {
     "inode_profile": on_merged(reconcile.inode_profile),
     "inode_flags": on_merged(reconcile.inode_flags),
     "inode_conflicts": on_stored_merged(reconcile.inode_conflicts),
-    "inode_sync": on_stored_merged(reconcile.sync_digests),
+    "inode_sync": synced,
     "inode_sync_fill_only": on_stored_merged(reconcile.fill_digests),
     "affected_rows": on_stored_merged(reconcile.affected_rows),
     # pending work
