@@ -17,10 +17,10 @@ def identity(device="device", inode="inode", path="path") -> Column:
     (device, inode) where the inode is known; an unknown inode (null or 0) makes
     the path its own identity.
     """
-    ino = F.col(inode)
-    return F.when(
-        ino.isNull() | (ino == 0), F.concat(F.lit("path:"), F.col(path))
-    ).otherwise(F.concat_ws(":", F.col(device).cast("string"), ino.cast("string")))
+    return F.expr(
+        f"""CASE WHEN {inode} IS NULL OR {inode} = 0 THEN concat('path:', {path})
+                 ELSE concat_ws(':', {device}, {inode}) END"""
+    )
 
 
 def is_regular_file(mode) -> Column:

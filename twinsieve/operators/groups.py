@@ -65,7 +65,7 @@ def with_group_values(
     `rows` took work to make, `counted_in` names a stored table with the same keys
     to find the hot groups in.
     """
-    key = F.concat_ws("|", *[F.col(k).cast("string") for k in keys])
+    key = F.col(keys[0]) if len(keys) == 1 else F.expr(f"concat_ws('|', {', '.join(keys)})")
     counted = rows if counted_in is None else counted_in
     hot = F.broadcast(_frequent(counted.select(key.alias("_key")), "_key"))
     keyed = rows.withColumn("_key", key)
