@@ -96,3 +96,20 @@ def test_examples_show_the_first_and_count_all(spark):
     old = snapshot(spark, *[{"path": p, "md5": "old"} for p in paths])
     got = reuse.mismatch_examples(reuse.digest_mismatches(scan, old))
     assert column(got, "n_mismatches") == {p: 12 for p in paths[:5]}
+
+
+def test_bucketed_tables_are_compared_without_a_shuffle(spark, scan, old):
+    from twinsieve.sources import store_bucketed
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        now = store_bucketed(scan, "bucketed_scan", 4)
+        before = store_bucketed(old, "bucketed_old", 4)
+        for way in (reuse.reuse_by_path, reuse.snapshot_changes):
+            got = way(now, before)
+            assert same_rows(got, way(scan, old))
+            assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE IF EXISTS bucketed_scan")
+        spark.sql("DROP TABLE IF EXISTS bucketed_old")

@@ -93,3 +93,24 @@ def test_saved_stream_resumes(spark, feed, tmp_path):
         save_stream(stream, out, checkpoint, every=None).awaitTermination()
     want = rows_of(spark, ARRIVALS[0]).unionByName(rows_of(spark, ARRIVALS[1]))
     assert same_rows(spark.read.schema(MANIFEST).parquet(out), want)
+
+
+def test_files_are_digested_as_their_paths_arrive(spark, tmp_path):
+    import hashlib
+
+    from twinsieve.operators.digest import digest_files
+
+    paths = tmp_path / "paths"
+    paths.mkdir()
+    stream = spark.readStream.schema("path string, size long").parquet(str(paths))
+    out, checkpoint = str(tmp_path / "out"), str(tmp_path / "checkpoint")
+    want = {}
+    for text in ("one", "two"):
+        file = tmp_path / text
+        file.write_text(text)
+        want[str(file)] = hashlib.md5(text.encode()).hexdigest()
+        arrived = spark.createDataFrame([(str(file), len(text))], stream.schema)
+        arrived.write.mode("append").parquet(str(paths))
+        digests = digest_files(stream, tasks=2)
+        save_stream(digests, out, checkpoint, every=None).awaitTermination()
+    assert column(spark.read.parquet(out), "md5") == want

@@ -11,6 +11,7 @@ from twinsieve.sources.snapshot import (
     read_digest_list,
     read_snapshot,
     snapshot_path,
+    store_bucketed,
     write_snapshot,
 )
 
@@ -25,6 +26,7 @@ __all__ = [
     "regular_files",
     "scan_listing",
     "snapshot_path",
+    "store_bucketed",
     "union_roots",
     "unreadable",
     "walk_tree",
