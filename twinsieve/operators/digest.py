@@ -94,8 +94,11 @@ def apply_digests(manifest: DataFrame, digests: DataFrame) -> DataFrame:
 def apply_inode_digests(manifest: DataFrame, digests: DataFrame) -> DataFrame:
     """Give the digest of a physical object to all its paths that have none.
 
-    `digests` has identity, md5 and `n`, the number of paths waiting for it.
+    `digests` has identity, md5 and `n`, the number of paths waiting for it. Rows
+    that have a digest are not moved.
     """
     groups = digests.select("identity", F.col("md5").alias("new_md5"), "n")
-    joined = join_groups(with_identity(manifest), groups, ["identity"])
-    return joined.withColumn("md5", F.coalesce("md5", "new_md5")).select(*manifest.columns)
+    waiting = with_identity(manifest.filter(F.col("md5").isNull()))
+    joined = join_groups(waiting, groups, ["identity"]).withColumn("md5", F.col("new_md5"))
+    done = manifest.filter(F.col("md5").isNotNull())
+    return done.unionByName(joined.select(*manifest.columns))

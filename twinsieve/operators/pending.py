@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinsieve.operators.groups import join_groups
-from twinsieve.operators.reconcile import with_identity
+from twinsieve.operators.reconcile import has_inode, with_identity
 
 
 def without_digest(manifest: DataFrame) -> DataFrame:
@@ -25,15 +25,19 @@ def size_collisions(manifest: DataFrame) -> DataFrame:
 def one_per_inode(pending: DataFrame) -> DataFrame:
     """The first path of each physical object, with the number of pending paths `n`.
 
-    Picked by an aggregate of the whole row, so nothing is joined back.
+    Picked by an aggregate of the whole row, so nothing is joined back. Rows without
+    a known inode are objects of their own and are not shuffled.
     """
     rest = [c for c in pending.columns if c != "path"]
-    return (
-        with_identity(pending)
+    keyed = with_identity(pending)
+    firsts = (
+        keyed.filter(has_inode())
         .groupBy("identity")
         .agg(F.min(F.struct("path", *rest)).alias("first"), F.count("*").alias("n"))
         .select("first.*", "identity", "n")
     )
+    alone = keyed.filter(~has_inode()).withColumn("n", F.lit(1).cast("long"))
+    return firsts.unionByName(alone)
 
 
 def by_size(pending: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ BROADCAST_DIGESTS = 250_000
 
 
 def _broadcast_list(reference: DataFrame) -> DataFrame | None:
-    digests = reference.select("md5").filter(F.col("md5").isNotNull())
+    digests = reference.select("md5")
     return F.broadcast(digests) if is_short(digests, BROADCAST_DIGESTS) else None
 
 

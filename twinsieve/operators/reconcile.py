@@ -11,10 +11,28 @@ def with_identity(manifest: DataFrame) -> DataFrame:
     return manifest.withColumn("identity", identity())
 
 
-def _may_share(trust_links: bool) -> Column:
-    """Rows that may be one of several paths of an object."""
-    known = F.coalesce(F.col("inode") != 0, F.lit(False))
-    return known & (F.coalesce("links", F.lit(2)) > 1) if trust_links else known
+def has_inode() -> Column:
+    return F.coalesce(F.col("inode") != 0, F.lit(False))
+
+
+def _per_object(
+    manifest: DataFrame,
+    values: dict[str, Column],
+    md5: Column,
+    *,
+    scan: DataFrame | None = None,
+    trust_links: bool = False,
+) -> DataFrame:
+    """Replace the digests of rows that may share an object by `md5`, which is made
+    from `values` over the object. All other rows stay as and where they are."""
+    may_share = has_inode()
+    if trust_links:
+        may_share = may_share & (F.coalesce("links", F.lit(2)) > 1)
+    counted = None if scan is None else with_identity(scan.filter(may_share))
+    shared = with_identity(manifest.filter(may_share))
+    grouped = with_group_values(shared, ["identity"], values, counted_in=counted)
+    replaced = grouped.withColumn("md5", md5).select(*manifest.columns)
+    return replaced.unionByName(manifest.filter(~may_share))
 
 
 def sync_digests(
@@ -29,23 +47,17 @@ def sync_digests(
     link counts may be out of date. `scan` is a stored table with the same rows, for
     when `manifest` is not stored itself.
     """
-    may_share = _may_share(trust_links)
-    shared = with_identity(manifest.filter(may_share))
-    counted = None if scan is None else with_identity(scan.filter(may_share))
     known = {"lo": F.min("md5"), "hi": F.max("md5")}
-    grouped = with_group_values(shared, ["identity"], known, counted_in=counted)
     agreed = F.when(F.col("lo") == F.col("hi"), F.col("hi"))
-    synced = grouped.withColumn("md5", agreed).select(*manifest.columns)
-    return synced.unionByName(manifest.filter(~may_share))
+    return _per_object(manifest, known, agreed, scan=scan, trust_links=trust_links)
 
 
 def fill_digests(manifest: DataFrame) -> DataFrame:
     """Only fill gaps: a row without digest takes that of its object, if the object
     has exactly one and more than one link. Contradicting digests stay in place."""
     known = {"lo": F.min("md5"), "hi": F.max("md5"), "affected": _affected()}
-    grouped = with_group_values(with_identity(manifest), ["identity"], known)
     filled = F.when(F.col("affected") & (F.col("lo") == F.col("hi")), F.col("hi"))
-    return grouped.withColumn("md5", F.coalesce("md5", filled)).select(*manifest.columns)
+    return _per_object(manifest, known, F.coalesce("md5", filled))
 
 
 def inode_profile(manifest: DataFrame) -> DataFrame:
