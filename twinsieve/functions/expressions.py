@@ -7,6 +7,12 @@ from pyspark.sql import functions as F
 FILE_TYPE_MASK = 0o170000
 REGULAR_FILE = 0o100000
 
+# Names of snapshot files. Characters without a replacement are dropped.
+SNAPSHOT_PREFIX = "fs_info-"
+SNAPSHOT_SUFFIX = ".parquet"
+SNAPSHOT_REPLACED = "/\\:"
+SNAPSHOT_REPLACEMENTS = "--"
+
 # Decimal size units.
 SIZE_UNITS = ["kB", "MB", "GB", "TB", "PB", "EB"]
 
@@ -37,11 +43,9 @@ def byte_size(payload) -> Column:
 
 
 def snapshot_name(root) -> Column:
-    """File name a snapshot of `root` goes by."""
-    flat = F.col(root)
-    for found, instead in ((":", ""), ("\\", "-"), ("/", "-")):
-        flat = F.replace(flat, F.lit(found), F.lit(instead))
-    return F.concat(F.lit("fs_info-"), flat, F.lit(".parquet"))
+    """File name a snapshot of `root` goes by: slashes become dashes, colons go."""
+    flat = F.translate(F.col(root), SNAPSHOT_REPLACED, SNAPSHOT_REPLACEMENTS)
+    return F.concat(F.lit(SNAPSHOT_PREFIX), flat, F.lit(SNAPSHOT_SUFFIX))
 
 
 def display_count(n) -> Column:

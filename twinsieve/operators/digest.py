@@ -10,9 +10,6 @@ from twinsieve.functions import byte_size, content_digest
 from twinsieve.operators.groups import is_short, join_groups
 from twinsieve.operators.reconcile import with_identity
 
-# Fixed value: bytes read at a time.
-CHUNK = 512 * 1024
-
 # Up to this many pending paths are broadcast to the table that holds the payloads.
 BROADCAST_ROWS = 50_000
 
@@ -44,16 +41,13 @@ def digest_rows(pending: DataFrame, table: DataFrame, payload: str) -> DataFrame
 
 
 def _digest_files(batches):
-    """The rows of each batch with the md5 of the file at `path`, read in chunks;
-    null where it cannot be read."""
+    """The rows of each batch with the md5 of the file at `path`; null where it
+    cannot be read."""
 
     def digest(path):
         try:
-            found = hashlib.md5()
             with open(path, "rb") as file:
-                while chunk := file.read(CHUNK):
-                    found.update(chunk)
-            return found.hexdigest()
+                return hashlib.file_digest(file, "md5").hexdigest()
         except OSError:
             return None
 
@@ -65,7 +59,7 @@ def digest_files(pending: DataFrame, tasks: int | None = None) -> DataFrame:
     """The `pending` rows with the md5 of the file each path names, on a file system
     that all executors mount.
 
-    Memory stays at one chunk per task whatever the file size. The number of tasks
+    Files are read through a small buffer, whatever their size. The number of tasks
     follows the bytes to read, not the few bytes of the path list.
     """
     if tasks is None:
