@@ -239,11 +239,11 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(
     docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """(key, fingerprint, n_shingles, component_id, kept) for every row.
+    """(_id, _fp, n_shingles, component_id, kept) for every row; _fp is the text's hash.
 
-    component_id is the smallest key reachable over links. Rows are kept if they have
-    that key, and null keys only where a component has no other. Null keys are greater
-    than all others; repeated rows get the same answer each.
+    component_id is the smallest key reachable over links; null keys come after all
+    others. The row with that key is kept, of several such rows the one with the
+    smallest _fp. Rows equal in key and text get the same answer each.
     """
     narrow = keyed(docs, key, text)
     kind = narrow.schema["_id"].dataType.simpleString()
@@ -257,7 +257,8 @@ def near_duplicates(
     roots = stored(components(links), "near-roots")
 
     nodes = rows.filter("_node is not null").groupBy("_node")
-    nodes = nodes.agg(F.min("_id").alias("_first"), F.count("*").alias("_copies"))
+    first = F.struct(F.col("_id").isNull().alias("_late"), "_id", "_fp")
+    nodes = nodes.agg(F.min(first).alias("_first"), F.count("*").alias("_copies"))
     nodes = stored(nodes.join(roots, "_node", "left"), "near-nodes")
     lowest = nodes.filter("_root is not null").groupBy("_root").agg(F.min("_first").alias("_lowest"))
     classes = nodes.filter("_root is not null or _copies > 1").join(lowest, "_root", "left")
@@ -265,10 +266,10 @@ def near_duplicates(
         classes.select("_node", F.coalesce("_lowest", "_first").alias("_class")), "near-classes"
     )
     answered = rows.drop("_bands").join(classes, "_node", "left")
-    component = F.coalesce("_class", "_id")
+    best = F.coalesce("_class", first)
     return answered.select(
-        "_id", "_fp", F.col("_n").alias("n_shingles"), component.alias("component_id"),
-        F.col("_id").eqNullSafe(component).alias("kept"),
+        "_id", "_fp", F.col("_n").alias("n_shingles"), best["_id"].alias("component_id"),
+        (first == best).alias("kept"),
     )
 
 

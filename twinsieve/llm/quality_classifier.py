@@ -16,7 +16,6 @@ labels every score is 0.5.
 """
 
 import pickle
-from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -36,26 +35,6 @@ STEP, LEAST_ROWS, RIDGE = 0.1, 10, 1.0
 ACCEPT_AT = 0.7
 
 
-def text_features(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(_id, _fp, _features): one pass, map-side."""
-    narrow = docs.select(
-        F.col(key).alias("_id"), F.xxhash64(text).alias("_fp"), F.col(text).alias("_text")
-    )
-    kind = narrow.schema["_id"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b in row_chunks(batch["_text"]):
-                rows = Stats(batch["_text"][a:b]).features()
-                offsets = np.arange(0, rows.size + 1, len(FEATURES), dtype=np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(rows.reshape(-1)))
-                yield pa.RecordBatch.from_arrays(
-                    [batch["_id"][a:b], batch["_fp"][a:b], lists], ["_id", "_fp", "_features"]
-                )
-
-    return narrow.mapInArrow(run, f"_id {kind}, _fp long, _features array<double>")
-
-
 def _best_cut(g: np.ndarray, h: np.ndarray, n: np.ndarray):
     """Gain and place of the best cut of a run of bins."""
     left_g, left_h, left_n = (np.cumsum(x)[:-1] for x in (g, h, n))
@@ -152,11 +131,31 @@ def score(model: dict | None, x: np.ndarray) -> np.ndarray:
     return sigmoid(logit)
 
 
-def fit_classifier(features: DataFrame, labels: DataFrame, key: str, label: str, learn: Column | None):
-    """The tables, fitted in one task; `learn` says which keys may be learnt from."""
+def features_of(texts: pa.Array) -> np.ndarray:
+    rows = [Stats(texts[a:b]).features() for a, b in row_chunks(texts)]
+    return np.concatenate([np.empty((0, len(FEATURES))), *rows])
+
+
+def fit_classifier(
+    docs: DataFrame,
+    labels: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    label: str = "quality",
+    learn: Column | None = None,
+) -> dict | None:
+    """The tables, fitted in one task; `learn` is a condition on `labels`: which to use."""
     labels = labels.filter(learn) if learn is not None else labels
     chosen = stored(bounded_labels(labels, key, label, FIT_ROWS), "classifier-labels")
-    rows = features.join(chosen, features["_id"] == chosen["_key"]).groupBy("_key")
+    rows = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text"))
+    rows = rows.join(F.broadcast(chosen), rows["_id"] == chosen["_key"])
+
+    @F.arrow_udf("array<double>")
+    def measured(texts: pa.Array) -> pa.Array:
+        return pa.array(list(features_of(texts)), pa.list_(pa.float64()))
+
+    rows = rows.select("_key", "_label", measured("_text").alias("_features")).groupBy("_key")
+    # A key may be repeated in the documents: one of its rows is enough.
     rows = rows.agg(F.min("_label").alias("_label"), F.min("_features").alias("_features"))
 
     def run(sample: pa.Table) -> pa.Table:
@@ -170,21 +169,11 @@ def fit_classifier(features: DataFrame, labels: DataFrame, key: str, label: str,
     return pickle.loads(found.model) if found else None
 
 
-def quality_scores(
-    docs: DataFrame,
-    labels: DataFrame,
-    key: str = "doc_id",
-    text: str = "text",
-    label: str = "quality",
-    learn: Column | None = None,
-) -> DataFrame:
-    """(_id, _fp, score) of every row: the probability of label 1."""
-    features = stored(text_features(docs, key, text), "classifier-features")
-    model = fit_classifier(features, labels, key, label, learn)
+def quality_score(model: dict | None, text: Column) -> Column:
+    """The probability of label 1, for use on any frame: map-side, nothing is shuffled."""
 
     @F.arrow_udf("double")
-    def scored(lists: pa.Array) -> pa.Array:
-        x = np.asarray(lists.flatten()).reshape(-1, len(FEATURES))
-        return pa.array(score(model, x))
+    def scored(texts: pa.Array) -> pa.Array:
+        return pa.array(score(model, features_of(texts)))
 
-    return features.select("_id", "_fp", scored("_features").alias("score"))
+    return scored(text)
