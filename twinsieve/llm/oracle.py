@@ -93,12 +93,12 @@ grams AS (SELECT item_id, size, unnest(list_transform(range(1, len(w) - size + 2
             lambda i: array_to_string(w[i:i + size - 1], ' '))) AS g
           FROM (SELECT item_id, w, least(len(w), 13) AS size FROM b WHERE len(w) > 0)),
 sizes AS (SELECT DISTINCT size FROM grams),
-mine AS (SELECT id, size, unnest(range(1, len(w) - size + 2)) AS at, unnest(list_transform(range(1, len(w) - size + 2),
+mine AS (SELECT id, size, unnest(range(1, len(w) - size + 2)) AS pos, unnest(list_transform(range(1, len(w) - size + 2),
             lambda i: array_to_string(w[i:i + size - 1], ' '))) AS g
          FROM d, sizes WHERE len(w) >= size),
-hit AS (SELECT DISTINCT id, at, mine.size, item_id FROM mine JOIN grams ON mine.g = grams.g AND mine.size = grams.size),
+hit AS (SELECT DISTINCT id, pos, mine.size, item_id FROM mine JOIN grams ON mine.g = grams.g AND mine.size = grams.size),
 words AS (SELECT id, count(DISTINCT p) AS n_hit
-          FROM (SELECT id, unnest(range(at, at + size)) AS p FROM (SELECT DISTINCT id, at, size FROM hit)) GROUP BY id),
+          FROM (SELECT id, unnest(range(pos, pos + size)) AS p FROM (SELECT DISTINCT id, pos, size FROM hit)) GROUP BY id),
 items AS (SELECT id, count(DISTINCT item_id) AS n_items,
                  sha256(array_to_string(list_sort(list(DISTINCT item_id::VARCHAR)), ',')) AS items_sha256
           FROM hit GROUP BY id)
