@@ -34,6 +34,51 @@ def same(left: DataFrame, right: DataFrame, *names: str) -> Column:
     return reduce(lambda a, b: a & b, (left[n].eqNullSafe(right[n]) for n in names))
 
 
+# Bits of the filter that goes before a join of texts: 16 per listed row, between these.
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28
+
+
+def _filtered(rows: DataFrame, listed: DataFrame) -> DataFrame:
+    """Add _maybe to (…, _fp): false only where no listed row has that _fp.
+
+    A bitmap of hashed _fp, built by a distributed aggregate and broadcast: 32 MB at
+    most, whatever the input. It only saves shuffles; where it fills up, results stay.
+    """
+    bits = LEAST_BITS
+    while bits < min(16 * listed.count(), MOST_BITS):
+        bits *= 2
+    place = F.pmod(F.col("_fp"), F.lit(bits)) + 1
+    maps = listed.groupBy(F.bitmap_bucket_number(place).alias("_bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("_map")
+    )
+    maps = F.broadcast(stored(maps, "filter"))
+    at = F.bitmap_bit_position(place)
+    byte = F.expr("cast(conv(hex(substring(_map, cast(_at div 8 as int) + 1, 1)), 16, 10) as int)")
+    bit = byte.bitwiseAND(F.expr("shiftleft(1, cast(_at % 8 as int))"))
+    marked = rows.withColumns({"_bucket": F.bitmap_bucket_number(place), "_at": at})
+    marked = marked.join(maps, "_bucket", "left")
+    return marked.select(*rows.columns, F.coalesce(bit != 0, F.lit(False)).alias("_maybe"))
+
+
+def listed_rows(rows: DataFrame, listed: DataFrame) -> DataFrame:
+    """Inner join of wide rows to a stored list on (_id, _fp), nulls equal.
+
+    Rows that the list cannot hold are dropped before the join, so that it shuffles
+    the text of candidates only.
+    """
+    near = _filtered(rows, listed).filter("_maybe").drop("_maybe")
+    extra = [listed[c] for c in listed.columns if c not in ("_id", "_fp")]
+    return near.join(listed, same(near, listed, "_id", "_fp")).select(*[near[c] for c in rows.columns], *extra)
+
+
+def unlisted_rows(rows: DataFrame, listed: DataFrame) -> DataFrame:
+    """The rows that are not in a stored list of (_id, _fp); their texts stay in place."""
+    marked = _filtered(rows, listed)
+    near = marked.filter("_maybe")
+    rest = near.join(listed, same(near, listed, "_id", "_fp"), "left_anti")
+    return marked.filter("not _maybe").unionByName(rest).drop("_maybe")
+
+
 def with_columns(docs: DataFrame, added: dict[str, Column]) -> DataFrame:
     """Append columns; an input column of the same name is replaced."""
     names = {n.lower() for n in added}

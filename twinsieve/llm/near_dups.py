@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinsieve.llm.columns import keyed, same, stored
+from twinsieve.llm.columns import keyed, listed_rows, stored
 from twinsieve.llm.textbatch import Texts, distinct_by_text, mix, row_chunks, seeded, sums_by
 
 ROWS, BANDS = 6, 48
@@ -294,7 +294,7 @@ def _links(narrow: DataFrame, rows: DataFrame, words: int, percent: int) -> Data
 
     wanted = members.select("_node").distinct().join(one.select("_node", "_row"), "_node")
     wanted = stored(wanted.select("_node", "_row._id", "_row._fp"), "near-wanted")
-    chosen = narrow.join(wanted, same(narrow, wanted, "_id", "_fp")).select("_node", "_text")
+    chosen = listed_rows(narrow, wanted).select("_node", "_text")
     sets = chosen.mapInArrow(_set_tables(words), "_node binary, _set array<long>")
     sets = stored(sets.dropDuplicates(["_node"]), "near-sets")
 
