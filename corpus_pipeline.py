@@ -7,7 +7,7 @@ shared work folder and hands the stored table to the next one.
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinsieve.llm.columns import same, stored
+from twinsieve.llm.columns import packed, stored, unlisted_rows
 from twinsieve.llm.decontaminate import contamination, is_contaminated
 from twinsieve.llm.mixing import mix_sources
 from twinsieve.llm.near_dups import near_duplicates
@@ -17,10 +17,9 @@ from twinsieve.llm.sharding import shuffled_shards
 
 
 def without(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The documents that are not among `rows` (_id, _fp), which should be stored."""
-    fp = F.xxhash64("text")
-    listed = docs["doc_id"].eqNullSafe(rows["_id"]) & (fp == rows["_fp"])
-    return docs.join(rows, listed, "left_anti")
+    """The documents that are not among `rows` (_id, _fp), which have to be stored."""
+    marked = docs.select(packed(docs), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_fp"))
+    return unlisted_rows(marked, rows).select("_row.*")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,8 +37,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if keys.filter("count > 1").isEmpty():
         return left
     # Rows repeated with their key: one of them.
-    once = left.withColumn("_fp", F.xxhash64("text")).dropDuplicates(["doc_id", "_fp"])
-    return once.drop("_fp")
+    marked = left.select(packed(left), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_fp"))
+    return marked.dropDuplicates(["_id", "_fp"]).select("_row.*")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -79,6 +79,18 @@ def unlisted_rows(rows: DataFrame, listed: DataFrame) -> DataFrame:
     return marked.filter("not _maybe").unionByName(rest).drop("_maybe")
 
 
+def packed(docs: DataFrame) -> Column:
+    """All columns as one struct `_row`, so that no name of theirs can meet a helper's."""
+    return F.struct(*[docs[c] for c in docs.columns]).alias("_row")
+
+
+def unpacked(df: DataFrame, docs: DataFrame, added: dict[str, Column]) -> DataFrame:
+    """The columns of `docs` from `_row` and new ones; an old one of a new name is replaced."""
+    names = {n.lower() for n in added}
+    kept = [F.col("_row").getField(c).alias(c) for c in docs.columns if c.lower() not in names]
+    return df.select(*kept, *[value.alias(name) for name, value in added.items()])
+
+
 def with_columns(docs: DataFrame, added: dict[str, Column]) -> DataFrame:
     """Append columns; an input column of the same name is replaced."""
     names = {n.lower() for n in added}

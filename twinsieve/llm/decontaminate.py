@@ -12,7 +12,7 @@ spans so short: for each length that occurs (12 at most) all grams of that lengt
 fingerprints too.
 
 Built-in functions only. Fingerprints are narrow and distinct per document; texts of
-documents are fetched for candidates only. Every step's partner is a stored table, so that
+documents are shuffled for candidates only. Every step's partner is a stored table, so that
 Catalyst knows its size: it broadcasts a small benchmark and shuffles a large one.
 
 Null and empty texts have no words and no hits. Items without words are ignored, as are
@@ -24,7 +24,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinsieve.llm.columns import keyed, same, stored
+from twinsieve.llm.columns import keyed, listed_rows, same, stored
 
 SPAN, K = 13, 8
 WINDOW = SPAN - K + 1
@@ -139,8 +139,7 @@ def contamination(
     near = stored(near, "bench-candidates")
 
     # Candidates once more, now with their words; one row for equal ones.
-    again = keyed(docs, key, text)
-    again = again.join(near, same(again, near, "_id", "_fp"), "left_semi")
+    again = listed_rows(keyed(docs, key, text), near)
     again = again.select("_id", "_fp", words(F.col("_text")).alias("_words"))
     again = stored(again.dropDuplicates(["_id", "_fp"]), "bench-texts")
 

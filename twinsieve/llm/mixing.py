@@ -20,7 +20,7 @@ without tokens or budget give nothing. Rounding loses less than a token per chil
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from twinsieve.llm.columns import stored, with_columns
+from twinsieve.llm.columns import packed, stored, unpacked
 
 WORD = r"[^\x20\x09-\x0D]+"
 LEAF = ["_domain", "_lang", "_source"]
@@ -136,12 +136,12 @@ def mix_sources(
     budgets = stored(leaf_budgets(leaves, budget, epochs, weights), "mix-budgets")
     cuts = stored(_cut(rows, budgets), "mix-cuts")
 
-    marked = with_columns(docs, leaf | {"_unit": unit}).join(cuts, LEAF)
+    marked = docs.select(packed(docs), *[c.alias(n) for n, c in leaf.items()], unit.alias("_unit"))
+    marked = marked.join(cuts, LEAF)
     in_next = (_hash(F.col("_whole"), F.col("_unit")) <= F.col("_until")).cast("long")
     times = F.col("_whole") + in_next
     marked = marked.withColumn("_times", times).filter("_times > 0")
     taken = marked.withColumn("_epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_times") - 1)))
-    return with_columns(
-        taken.drop(*LEAF, "_unit", "_whole", "_until", "_times"),
-        {"mix_epoch": F.col("_epoch").cast("int"), "mix_budget": F.col("_budget")},
-    ).drop("_epoch", "_budget")
+    return unpacked(
+        taken, docs, {"mix_epoch": F.col("_epoch").cast("int"), "mix_budget": F.col("_budget")}
+    )

@@ -8,7 +8,7 @@ the whole text. A rule without such trigrams runs on all texts.
 
 Everything is built-in functions. Postings are narrow, combined per row before the
 shuffle, and of a number per row that the rules bound. Texts of candidates meet their rules
-by a join on the row; a candidate list that Catalyst sees to be small is broadcast.
+by a join on the row, behind a filter that keeps the other texts where they are.
 
 Null texts count as empty. Rows of equal key and text are scanned once and answered each.
 """
@@ -19,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinsieve.llm.columns import keyed, same, stored
+from twinsieve.llm.columns import keyed, listed_rows, same, stored
 from twinsieve.llm.trigrams import clauses
 
 
@@ -116,8 +116,8 @@ def secret_spans(
     trigrams = sorted({g for found in demands.values() for c in found for g in c})
     postings = stored(build_index(rows, trigrams), "secret-postings")
     hits = stored(candidates(postings, demands), "secret-candidates")
-    verified = rows.join(hits, same(rows, hits, "_id", "_fp")).select(
-        rows["_id"], rows["_fp"],
+    verified = listed_rows(rows, hits).select(
+        "_id", "_fp",
         F.concat(*[
             F.when(F.array_contains("_rules", rank), _spans(F.col("_text"), rules[rank], rank)).otherwise(none)
             for rank in demands

@@ -18,8 +18,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from twinsieve.llm.columns import stored, with_columns
+from twinsieve.llm.columns import packed, stored, unpacked
 
 BUCKET_BYTES = 64 << 20
 MIN_BUCKETS = 256
@@ -36,7 +37,7 @@ def scatter(docs: DataFrame, key: str, text: str, seed: int, bucket_bytes: int)
     many = max(1000, 4 * n // buckets)
     repeats = docs.groupBy(record.alias("_repeated")).count().filter(F.col("count") > many)
     repeats = stored(repeats.select("_repeated"), "shard-repeats")
-    hashed = with_columns(docs, {"_h": record})
+    hashed = docs.select(packed(docs), record.alias("_h"))
     place = F.xxhash64("_h", F.monotonically_increasing_id())
     spread = F.when(F.col("_repeated").isNotNull(), place).otherwise(F.col("_h"))
     marked = hashed.join(repeats, hashed["_h"] == repeats["_repeated"], "left")
@@ -57,15 +58,17 @@ def shuffled_shards(
 
     Columns of these two names in the input are replaced.
     """
-    docs = docs.drop("shard", "slot")
     scattered = scatter(docs, key, text, seed, bucket_bytes)
     counts = scattered.groupBy("_bucket").agg(F.count("*").alias("_n"))
     # One row per bucket: a millionth of the rows at most, in one task.
     before = F.sum("_n").over(Window.orderBy("_bucket")) - F.col("_n")
     offsets = stored(counts.select("_bucket", before.alias("_offset")), "shard-offsets")
     placed = scattered.join(offsets, "_bucket")
-    schema = docs.withColumns({"shard": F.lit(0), "slot": F.lit(0).cast("long")}).schema
-    names = schema.fieldNames()
+    schema = T.StructType([
+        scattered.schema["_row"],
+        T.StructField("_shard", T.IntegerType()),
+        T.StructField("_slot", T.LongType()),
+    ])
 
     def fisher_yates(bucket: pa.Table) -> pa.Table:
         hashes = bucket["_h"].to_numpy()
@@ -73,11 +76,12 @@ def shuffled_shards(
         rng = np.random.default_rng([seed, bucket["_bucket"][0].as_py()])
         rng.shuffle(order)  # numpy's shuffle is Fisher-Yates
         place = bucket["_offset"][0].as_py() + np.arange(len(order))
-        dealt = bucket.take(pa.array(order)).select(names[:-2])
-        dealt = dealt.append_column("shard", pa.array(place % shards, pa.int32()))
-        return dealt.append_column("slot", pa.array(place // shards, pa.int64()))
+        dealt = bucket.select(["_row"]).take(pa.array(order))
+        dealt = dealt.append_column("_shard", pa.array(place % shards, pa.int32()))
+        return dealt.append_column("_slot", pa.array(place // shards, pa.int64()))
 
-    return placed.groupBy("_bucket").applyInArrow(fisher_yates, schema)
+    dealt = placed.groupBy("_bucket").applyInArrow(fisher_yates, schema)
+    return unpacked(dealt, docs, {"shard": F.col("_shard"), "slot": F.col("_slot")})
 
 
 def write_shards(sharded: DataFrame, path: str, files_per_shard: int = 1) -> None:
