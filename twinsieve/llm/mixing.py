@@ -99,9 +99,11 @@ def _cut(rows: DataFrame, leaves: DataFrame) -> DataFrame:
     units = here.groupBy(*LEAF, "_rest", "_before", "_k").agg(F.sum("_tokens").alias("_n"))
     running = F.sum("_n").over(Window.partitionBy(*LEAF).orderBy("_k")) + F.col("_before")
     last = units.withColumn("_upto", running).filter("_upto <= _rest").groupBy(*LEAF).agg(F.max("_k").alias("_last"))
-    found = plan.select(*LEAF, "_budget", "_whole").join(at.select(*LEAF, "_prefix"), LEAF, "left")
+    found = plan.select(*LEAF, "_budget", "_whole", "_rest").join(at.select(*LEAF, "_prefix"), LEAF, "left")
     found = found.join(last, LEAF, "left")
-    return found.select(*LEAF, "_budget", "_whole", F.coalesce("_last", "_prefix", F.lit("")).alias("_until"))
+    # Without a rest there is no further epoch, not even for documents of no tokens.
+    until = F.when(F.col("_rest") > 0, F.coalesce("_last", "_prefix")).otherwise("")
+    return found.select(*LEAF, "_budget", "_whole", until.alias("_until"))
 
 
 def _hash(epoch: Column, unit: Column, seed: int = 29) -> Column:

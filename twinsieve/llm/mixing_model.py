@@ -8,10 +8,10 @@ and how well) and by the place of the bit. A last table refines the mixed probab
 by its own value and the bits so far.
 
 All contexts lie within the five bytes before, so the cost of a byte is a function of the
-six bytes that end with it. Distinct six-byte strings are evaluated once per chunk.
+six bytes that end with it. Costs of strings seen before are kept, MEMO_STRINGS at most.
 """
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 
@@ -25,6 +25,7 @@ CURVE = 33  # steps of the refining table over log odds -8 to 8
 PRIOR = 20.0  # weight of the mixer's own opinion there
 _U = np.uint64
 _LEAST = 2.0**-14
+MEMO_STRINGS = 3_000_000
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -74,6 +75,8 @@ class Mixer:
     counts: np.ndarray  # (ORDERS, 2, SLOTS) float32
     weights: np.ndarray  # (GATES, 8, ORDERS + 1)
     curve: np.ndarray  # (2, CURVE, 256)
+    # Sorted strings with their costs, each level less than half of the one before.
+    memo: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
 
     @classmethod
     def fresh(cls, counts: np.ndarray) -> "Mixer":
@@ -135,11 +138,29 @@ class Mixer:
             total -= np.log2(np.where(bit == 1, p, 1 - p))
         return total
 
+    def known_cost(self, strings: np.ndarray) -> np.ndarray:
+        """As `cost`, for sorted distinct strings, by way of the memo."""
+        out, open_ = np.zeros(len(strings)), np.arange(len(strings))
+        for items, costs in self.memo:
+            at = np.minimum(np.searchsorted(items, strings[open_]), len(items) - 1)
+            found = items[at] == strings[open_]
+            out[open_[found]] = costs[at[found]]
+            open_ = open_[~found]
+        if not len(open_):
+            return out
+        new = strings[open_]
+        out[open_] = np.concatenate([self.cost(new[a : a + 65536]) for a in range(0, len(new), 65536)])
+        if sum(len(items) for items, _ in self.memo) + len(new) > MEMO_STRINGS:
+            self.memo.clear()
+        self.memo.append((new, out[open_]))
+        while len(self.memo) > 1 and 2 * len(self.memo[-1][0]) > len(self.memo[-2][0]):
+            items, costs = (np.concatenate(x) for x in zip(self.memo.pop(), self.memo.pop()))
+            order = np.argsort(items)
+            self.memo.append((items[order], costs[order]))
+        return out
+
     def text_bits(self, texts: Texts) -> np.ndarray:
         """Bits for each whole text and its end."""
         own, place = np.unique(byte_strings(texts), return_inverse=True)
-        cost = np.concatenate(
-            [self.cost(own[a : a + 65536]) for a in range(0, len(own), 65536)] or [np.zeros(0)]
-        )
-        total = np.concatenate(([0.0], np.cumsum(cost[place])))
+        total = np.concatenate(([0.0], np.cumsum(self.known_cost(own)[place])))
         return total[texts.end + 1] - total[texts.begin]

@@ -74,7 +74,7 @@ l2 AS (SELECT l1.*, got AS b2 FROM l1 JOIN s2 USING (dom, la)),
 plan AS (SELECT l2.*, got AS budget, got // have AS whole, got % have AS rest
          FROM l2 JOIN s3 USING (dom, la, so) WHERE have > 0 AND got > 0),
 k AS (SELECT r.*, budget, whole, rest, {key} AS k FROM r JOIN plan USING (dom, la, so)),
-run AS (SELECT *, sum(n) OVER (PARTITION BY dom, la, so ORDER BY k) <= rest AS in_next FROM k)
+run AS (SELECT *, sum(n) OVER (PARTITION BY dom, la, so ORDER BY k) <= rest AND rest > 0 AS in_next FROM k)
 SELECT doc_id, dom AS domain, lang, source, n AS n_words,
        unnest(range(0, (whole + in_next::BIGINT)::BIGINT))::INT AS epoch, budget AS leaf_budget
 FROM run"""

@@ -38,7 +38,7 @@ def grams(texts: Texts, words: Words, hashes: np.ndarray) -> Iterator[tuple[np.n
     edges = words.first
     yield (seeded(hashes, 1) >> _SHIFT).astype(np.int32), edges[:-1], edges[1:]
     pairs = seeded(hashes[:-1], 2) + seeded(hashes[1:], 3)
-    last = np.maximum(edges[1:] - 1, edges[:-1])
+    last = np.minimum(np.maximum(edges[1:] - 1, edges[:-1]), len(pairs))
     yield (seeded(pairs, 4) >> _SHIFT).astype(np.int32), np.minimum(edges[:-1], last), last
     raw = texts.raw.astype(np.uint64)
     for n in (3, 4):
