@@ -5,29 +5,30 @@ keeps column pruning and filter pushdown for its readers, and gives Catalyst the
 real size of the table, which is what its broadcast decision rests on.
 """
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local_dirs: dict[str, str] = {}
-
 
 def work_dir(spark: SparkSession) -> str:
-    """Shared folder of this application, from ``spark.checkpoint.dir``.
+    """Shared folder of this application, in ``spark.checkpoint.dir``.
 
-    Only a local session may go without the setting: it gets a fresh temporary
-    folder. On a cluster a machine-local folder would lose data, so that fails.
+    Where that is unset, the folder is in the warehouse, which executors share as well.
     """
     app = spark.sparkContext.applicationId
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return f"{base.rstrip('/')}/twinsieve-{app}"
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    if app not in _local_dirs:
-        _local_dirs[app] = tempfile.mkdtemp(prefix="twinsieve-")
-    return _local_dirs[app]
+    base = base or f"{spark.conf.get('spark.sql.warehouse.dir')}/_stages"
+    return f"{base.rstrip('/')}/twinsieve-{app}"
+
+
+def remove_stages(spark: SparkSession) -> None:
+    """Delete what this application's jobs have written to the work folder.
+
+    Frames that read a stage can't be used afterwards.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(work_dir(spark))
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.delete(path, True)
 
 
 def new_path(spark: SparkSession, label: str) -> str:

@@ -25,9 +25,7 @@ from twinsieve.sources import (
     next_snapshot,
     read_snapshot,
     regular_files,
-    scan_listing,
     union_roots,
-    walk_tree,
     write_snapshot,
 )
 from twinsieve.streaming import first_seen, planned_links, save_stream, start_link_stream
@@ -118,19 +116,6 @@ def snapshot_names(spark, sf_dir):
     )
 
 
-def scan_table_files(spark, sf_dir):
-    return scan_listing(spark, [sf_dir])
-
-
-def walk_table_files(spark, sf_dir):
-    return manifest_from_inventory(inventory_of(walk_tree(spark, [sf_dir])))
-
-
-def digest_table_files(spark, sf_dir):
-    files = stage(walk_table_files(spark, sf_dir), "files")
-    return digest.digest_files(files).select("path", "size", "md5")
-
-
 # ------------------------------------------------------------- filters and joins
 
 
@@ -336,9 +321,6 @@ QUERIES = {
     "prev_load": prev_load,
     "next_snapshot": next_snapshot_round_trip,
     "snapshot_name": snapshot_names,
-    "scan_listing": scan_table_files,
-    "walk_tree": walk_table_files,
-    "file_digests": digest_table_files,
     # filters and projections
     "regular_files": lambda spark, sf_dir: regular_files(fixture(spark, sf_dir).manifest),
     "linked_missing": on_merged(reconcile.linked_without_digest),
