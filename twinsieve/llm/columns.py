@@ -38,35 +38,40 @@ def same(left: DataFrame, right: DataFrame, *names: str) -> Column:
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28
 
 
-def _filtered(rows: DataFrame, listed: DataFrame) -> DataFrame:
-    """Add _maybe to (…, _fp): false only where no listed row has that _fp.
+def _filtered(rows: DataFrame, listed: DataFrame, on: str = "_fp") -> DataFrame:
+    """Add _maybe to rows: false only where no listed row has the same 64-bit hash `on`.
 
-    A bitmap of hashed _fp, built by a distributed aggregate and broadcast: 32 MB at
+    A bitmap of the listed hashes, built by a distributed aggregate and broadcast: 32 MB at
     most, whatever the input. It only saves shuffles; where it fills up, results stay.
     """
     bits = LEAST_BITS
     while bits < min(16 * listed.count(), MOST_BITS):
         bits *= 2
-    place = F.pmod(F.col("_fp"), F.lit(bits)) + 1
-    maps = listed.groupBy(F.bitmap_bucket_number(place).alias("_bucket")).agg(
+    place = F.pmod(F.col(on), F.lit(bits)) + 1
+    maps = listed.groupBy(F.bitmap_bucket_number(place).alias("_part")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("_map")
     )
     maps = F.broadcast(stored(maps, "filter"))
     at = F.bitmap_bit_position(place)
     byte = F.expr("cast(conv(hex(substring(_map, cast(_at div 8 as int) + 1, 1)), 16, 10) as int)")
     bit = byte.bitwiseAND(F.expr("shiftleft(1, cast(_at % 8 as int))"))
-    marked = rows.withColumns({"_bucket": F.bitmap_bucket_number(place), "_at": at})
-    marked = marked.join(maps, "_bucket", "left")
+    marked = rows.withColumns({"_part": F.bitmap_bucket_number(place), "_at": at})
+    marked = marked.join(maps, "_part", "left")
     return marked.select(*rows.columns, F.coalesce(bit != 0, F.lit(False)).alias("_maybe"))
 
 
+def likely_rows(rows: DataFrame, listed: DataFrame, on: str) -> DataFrame:
+    """The rows but for most of those that a join to a stored list by `on` would drop."""
+    return _filtered(rows, listed, on).filter("_maybe").drop("_maybe")
+
+
 def listed_rows(rows: DataFrame, listed: DataFrame) -> DataFrame:
     """Inner join of wide rows to a stored list on (_id, _fp), nulls equal.
 
     Rows that the list cannot hold are dropped before the join, so that it shuffles
     the text of candidates only.
     """
-    near = _filtered(rows, listed).filter("_maybe").drop("_maybe")
+    near = likely_rows(rows, listed, "_fp")
     extra = [listed[c] for c in listed.columns if c not in ("_id", "_fp")]
     return near.join(listed, same(near, listed, "_id", "_fp")).select(*[near[c] for c in rows.columns], *extra)
 

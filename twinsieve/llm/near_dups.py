@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinsieve.llm.columns import keyed, listed_rows, stored
+from twinsieve.llm.columns import keyed, likely_rows, listed_rows, stored
 from twinsieve.llm.textbatch import Texts, distinct_by_text, mix, row_chunks, seeded, sums_by
 
 ROWS, BANDS = 6, 48
@@ -289,7 +289,8 @@ def _links(narrow: DataFrame, rows: DataFrame, words: int, percent: int) -> Data
     )
     buckets = buckets.filter("_m > 1").groupBy("_m", "_pivot", "_last", "_sum")
     buckets = stored(buckets.agg(F.min("_bucket").alias("_bucket")), "near-buckets")
-    members = bands.join(buckets.select("_bucket", "_pivot"), "_bucket")
+    # Most bands are alone in their bucket: only the others are shuffled again.
+    members = likely_rows(bands, buckets, "_bucket").join(buckets.select("_bucket", "_pivot"), "_bucket")
     members = stored(members, "near-members")
 
     wanted = members.select("_node").distinct().join(one.select("_node", "_row"), "_node")
