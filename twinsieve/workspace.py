@@ -26,9 +26,13 @@ def remove_stages(spark: SparkSession) -> None:
 
     Frames that read a stage can't be used afterwards.
     """
-    path = spark._jvm.org.apache.hadoop.fs.Path(work_dir(spark))
-    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    files.delete(path, True)
+    remove_path(spark, work_dir(spark))
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder that `new_path` named, with all that is in it."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def new_path(spark: SparkSession, label: str) -> str:
