@@ -2,22 +2,42 @@
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinsieve.workspace import new_path
+from twinsieve.workspace import new_path, remove_path
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
+def stored(df: DataFrame, label: str, folder: str | None = None) -> DataFrame:
     """Write `df` to the shared work folder and read it back.
 
     The table cuts the lineage, outlives executors and tells Catalyst its size.
     """
-    path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
+    path = new_path(df.sparkSession, label) if folder is None else f"{folder}/{label}"
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Stored tables that nobody needs once a result of theirs is stored itself.
+
+    They are deleted together at the end of the `with` block.
+    """
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark, self.folder, self.tables = spark, new_path(spark, label), 0
+
+    def __enter__(self) -> "Scratch":
+        return self
+
+    def stored(self, df: DataFrame, label: str) -> DataFrame:
+        self.tables += 1
+        return stored(df, f"{self.tables}-{label}", self.folder)
+
+    def __exit__(self, *_) -> None:
+        remove_path(self.spark, self.folder)
+
+
 def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
     """Narrow to (_id, _fp, _text): key, fingerprint of the text, and the text itself.
 

@@ -11,13 +11,14 @@ Two documents are linked if intersection / union reaches `percent` / 100.
    coordinate is filled. Sets of some size are done after two or three rounds.
 3. Nodes with an equal band meet in a bucket. Two nodes at 0.8 miss each other with
    probability (1 - 0.8**6)**48 < 5e-7.
-4. Each bucket's first node is verified against the others on full sets. Nodes that
-   these links join need no further look at each other.
+4. Each bucket's first node is verified against the others on full sets: of its first
+   nodes, a node meets the one with most bands in common before those it is then still
+   apart from. Nodes that links join need no further look at each other.
 5. What is left are pairs of a bucket in different components. They are verified in
    blocks of bounded size, which emit links only. No link between components is lost,
    and no list of all pairs is made.
 
-Both verifications use complete sets of 64-bit shingle hashes.
+All verifications use complete sets of 64-bit shingle hashes.
 """
 
 from collections.abc import Iterator
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinsieve.llm.columns import keyed, likely_rows, listed_rows, stored
+from twinsieve.llm.columns import Scratch, keyed, likely_rows, listed_rows, stored
 from twinsieve.llm.textbatch import Texts, distinct_by_text, mix, row_chunks, seeded, sums_by
 
 ROWS, BANDS = 6, 48
@@ -171,7 +172,9 @@ def _block_links(percent: int):
     return run
 
 
-def _blocks(lefts: DataFrame, rights: DataFrame, sets: DataFrame, group: str, percent: int):
+def _blocks(
+    lefts: DataFrame, rights: DataFrame, sets: DataFrame, group: str, percent: int, scratch: Scratch
+) -> DataFrame:
     """Verify lefts against rights within each value of `group`, in blocks.
 
     Both have (group, _node, _comp). Emits linked pairs of different components.
@@ -180,7 +183,7 @@ def _blocks(lefts: DataFrame, rights: DataFrame, sets: DataFrame, group: str, pe
         side.groupBy(group).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
         for side, name in ((lefts, "_lb"), (rights, "_rb"))
     ]
-    blocks = stored(sizes[0].join(sizes[1], group), "near-blocks")
+    blocks = scratch.stored(sizes[0].join(sizes[1], group), "blocks")
     own = lambda n: F.pmod(F.xxhash64("_node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     out = None
@@ -201,7 +204,7 @@ def _blocks(lefts: DataFrame, rights: DataFrame, sets: DataFrame, group: str, pe
     )
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(_node, _root) of all nodes with edges; _root is the smallest node reached.
 
     Alternates two steps until nothing changes: each node hands its smallest neighbour
@@ -209,7 +212,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
 
     def step(pairs: DataFrame, label: str) -> DataFrame:
-        lowest = stored(pairs.groupBy("a").agg(F.min("b").alias("_low")), "near-low")
+        lowest = scratch.stored(pairs.groupBy("a").agg(F.min("b").alias("_low")), "low")
         lowest = lowest.select("a", F.least("a", "_low").alias("_low"))
         met = pairs.join(lowest, "a")
         if label == "large":
@@ -217,13 +220,13 @@ def components(edges: DataFrame) -> DataFrame:
         else:
             own = lowest.select("a", F.col("_low").alias("b"))
             out = met.select(F.col("b").alias("a"), F.col("_low").alias("b")).unionByName(own)
-        return stored(out.filter("a != b").distinct(), f"near-{label}")
+        return scratch.stored(out.filter("a != b").distinct(), label)
 
     def state(pairs: DataFrame):
         return tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
     now = edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    now, before = stored(now.distinct(), "near-edges"), None
+    now, before = scratch.stored(now.distinct(), "edges"), None
     while before != (seen := state(now)):
         before = seen
         if not seen[0]:
@@ -253,8 +256,9 @@ def near_duplicates(
         ),
         "near-sketches",
     )
-    links = stored(_links(narrow, rows, words, percent), "near-links")
-    roots = stored(components(links), "near-roots")
+    with Scratch(docs.sparkSession, "near-dups") as scratch:
+        links = scratch.stored(_links(narrow, rows, words, percent, scratch), "links")
+        roots = stored(components(links, scratch), "near-roots")
 
     nodes = rows.filter("_node is not null").groupBy("_node")
     first = F.struct(F.col("_id").isNull().alias("_late"), "_id", "_fp")
@@ -273,54 +277,76 @@ def near_duplicates(
     )
 
 
-def _links(narrow: DataFrame, rows: DataFrame, words: int, percent: int) -> DataFrame:
+def _links(narrow: DataFrame, rows: DataFrame, words: int, percent: int, scratch: Scratch) -> DataFrame:
     """Links that connect all nodes which any chain of links connects."""
+    stored = scratch.stored
     # One row stands for each distinct set.
     one = rows.filter("_node is not null").groupBy("_node")
     one = one.agg(F.min(F.struct("_id", "_fp", "_n")).alias("_row"), F.any_value("_bands").alias("_bands"))
-    one = stored(one, "near-one")
+    one = stored(one, "one")
     bands = one.select(F.explode("_bands").alias("_bucket"), "_node", F.col("_row._n").alias("_n"))
+    # Most bands are alone in their bucket. They are shuffled as hash and count only.
+    repeated = bands.groupBy("_bucket").count().filter("count > 1").select("_bucket")
+    shared = stored(likely_rows(bands, stored(repeated, "repeated"), "_bucket"), "shared")
     # Buckets of the same nodes say the same; one of them is enough.
-    buckets = bands.groupBy("_bucket").agg(
+    buckets = shared.groupBy("_bucket").agg(
         F.count("*").alias("_m"),
         F.min("_node").alias("_pivot"),
         F.max("_node").alias("_last"),
         F.sum(F.shiftright(F.xxhash64("_node"), 24)).alias("_sum"),
     )
     buckets = buckets.filter("_m > 1").groupBy("_m", "_pivot", "_last", "_sum")
-    buckets = stored(buckets.agg(F.min("_bucket").alias("_bucket")), "near-buckets")
-    # Most bands are alone in their bucket: only the others are shuffled again.
-    members = likely_rows(bands, buckets, "_bucket").join(buckets.select("_bucket", "_pivot"), "_bucket")
-    members = stored(members, "near-members")
+    buckets = stored(buckets.agg(F.min("_bucket").alias("_bucket")), "buckets")
+    members = likely_rows(shared, buckets, "_bucket").join(buckets.select("_bucket", "_pivot"), "_bucket")
+    members = stored(members, "members")
 
     wanted = members.select("_node").distinct().join(one.select("_node", "_row"), "_node")
-    wanted = stored(wanted.select("_node", "_row._id", "_row._fp"), "near-wanted")
+    wanted = stored(wanted.select("_node", "_row._id", "_row._fp"), "wanted")
     chosen = listed_rows(narrow, wanted).select("_node", "_text")
-    sets = chosen.mapInArrow(_set_tables(words), "_node binary, _set array<long>")
-    sets = stored(sets.dropDuplicates(["_node"]), "near-sets")
-
-    # First links: each node with the first of its buckets.
-    stars = members.filter("_node != _pivot").select("_pivot", "_node").distinct()
-    stars = stored(stars.withColumn("_comp", F.col("_node")), "near-stars")
-    centres = stars.select("_pivot").distinct().select(
+    sets = stored(chosen.mapInArrow(_set_tables(words), "_node binary, _set array<long>"), "sets")
+    if sets.count() > wanted.count():  # rows repeated with their key
+        sets = stored(sets.dropDuplicates(["_node"]), "sets-once")
+
+    # Each node with the first nodes of its buckets, where the sizes allow a link.
+    pivots = members.filter("_node = _pivot").select("_pivot", F.col("_n").alias("_pivot_n")).distinct()
+    stars = members.filter("_node != _pivot").groupBy("_pivot", "_node", "_n").agg(F.count("*").alias("_bands"))
+    allowed = F.least("_n", "_pivot_n") * 100 >= F.greatest("_n", "_pivot_n") * percent
+    stars = stored(stars.join(pivots, "_pivot").filter(allowed), "stars")
+
+    # First links: each node with the one that it shares most bands with.
+    nearest = stars.groupBy("_node").agg(F.min(F.struct(-F.col("_bands"), "_pivot")).getField("_pivot").alias("_pivot"))
+    nearest = stored(nearest.withColumn("_comp", F.col("_node")), "nearest")
+    centres = nearest.select("_pivot").distinct().select(
         "_pivot", F.col("_pivot").alias("_node"), F.col("_pivot").alias("_comp")
     )
-    first = stored(_blocks(centres, stars, sets, "_pivot", percent), "near-first")
-    roots = stored(components(first), "near-first-roots")
+    first = stored(_blocks(centres, nearest, sets, "_pivot", percent, scratch), "first")
+    roots = stored(components(first, scratch), "first-roots")
+
+    # Second links: with the others, but for those they are connected with by now.
+    at_pivot = roots.select(F.col("_node").alias("_pivot"), F.col("_root").alias("_pivot_root"))
+    apart = stars.join(roots, "_node", "left").join(at_pivot, "_pivot", "left").select(
+        "_pivot", "_node", F.coalesce("_root", "_node").alias("_comp"),
+        F.coalesce("_pivot_root", "_pivot").alias("_pivot_comp"),
+    )
+    apart = stored(apart.filter("_comp != _pivot_comp"), "apart")
+    centres = apart.select("_pivot", F.col("_pivot").alias("_node"), F.col("_pivot_comp").alias("_comp")).distinct()
+    second = _blocks(centres, apart.drop("_pivot_comp"), sets, "_pivot", percent, scratch)
+    first = first.unionByName(stored(second, "second"))
+    roots = stored(components(first, scratch), "second-roots")
 
     # The rest: nodes beside the component of their bucket's first node.
     labelled = members.join(roots, "_node", "left").select(
         "_bucket", "_node", "_pivot", F.coalesce("_root", "_node").alias("_comp")
     )
     main = labelled.filter("_node = _pivot").select("_bucket", F.col("_comp").alias("_main"))
-    labelled = stored(labelled.join(main, "_bucket"), "near-labelled")
+    labelled = stored(labelled.join(main, "_bucket"), "labelled")
     lefts = labelled.filter("_comp != _main and _node != _pivot").select("_bucket", "_node", "_comp")
     # A bucket of two nodes has been settled by its first.
     open_buckets = lefts.groupBy("_bucket").count().join(
         labelled.groupBy("_bucket").agg(F.count("*").alias("_m")).filter("_m > 2"), "_bucket"
     )
-    open_buckets = stored(open_buckets.select("_bucket"), "near-open")
-    lefts = stored(lefts.join(open_buckets, "_bucket"), "near-lefts")
+    open_buckets = stored(open_buckets.select("_bucket"), "open")
+    lefts = stored(lefts.join(open_buckets, "_bucket"), "lefts")
     rights = labelled.join(open_buckets, "_bucket").select("_bucket", "_node", "_comp")
-    rights = stored(rights, "near-rights")
-    return first.unionByName(_blocks(lefts, rights, sets, "_bucket", percent))
+    rights = stored(rights, "rights")
+    return first.unionByName(_blocks(lefts, rights, sets, "_bucket", percent, scratch))
