@@ -52,10 +52,20 @@ def test_repeated_snapshot_rows_do_not_multiply(scan, old):
     )
 
 
-def test_contradicting_snapshot_rows_are_not_trusted(spark, scan, old):
+@pytest.mark.parametrize("way", [reuse.reuse_digests, reuse.reuse_by_path])
+def test_contradicting_snapshot_rows_are_not_trusted(spark, scan, old, way):
     other = snapshot(spark, {"path": "same", "size": 11, "mtime_us": 4, "md5": "zz"})
-    got = column(reuse.reuse_digests(scan, old.unionByName(other)), "md5")
+    got = column(way(scan, old.unionByName(other)), "md5")
     assert got["same"] is None and got["linked2"] == "aa"
+    changes = column(reuse.snapshot_changes(scan, old.unionByName(other)), "change")
+    assert changes["same"] == "unhashed" and changes["linked2"] == "reused"
+
+
+@pytest.mark.parametrize("way", [reuse.reuse_digests, reuse.reuse_by_path])
+def test_an_older_row_that_matches_counts(spark, scan, old, way):
+    newer = snapshot(spark, {"path": "same", "size": 70, "mtime_us": 40, "md5": "zz"})
+    assert column(way(scan, old.unionByName(newer)), "md5")["same"] == "bb"
+    assert column(reuse.snapshot_changes(scan, old.unionByName(newer)), "change")["same"] == "reused"
 
 
 def test_changes(scan, old):

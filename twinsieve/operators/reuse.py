@@ -3,7 +3,7 @@
 Every join here is on `path`, which is unique in a manifest, so no key is hot.
 """
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FINGERPRINT = ["path", "size", "mtime_us"]
@@ -29,18 +29,28 @@ def reuse_digests(manifest: DataFrame, previous: DataFrame) -> DataFrame:
     return merged.withColumn("md5", F.coalesce("md5", "old_md5")).select(*manifest.columns)
 
 
-def latest_by_path(previous: DataFrame) -> DataFrame:
-    """The newest row per path of a snapshot."""
-    newest = F.max(F.struct("mtime_us", "size", "md5"))
-    return previous.groupBy("path").agg(newest.alias("old"))
+def old_by_path(previous: DataFrame) -> DataFrame:
+    """Per path of a snapshot, its fingerprints, each with the one digest it is trusted
+    for, or null. There are as many as roots that overlap there."""
+    lo, hi = F.min("md5"), F.max("md5")
+    settled = previous.groupBy(*FINGERPRINT).agg(F.when(lo == hi, lo).alias("md5"))
+    return settled.groupBy("path").agg(
+        F.collect_list(F.struct("size", "mtime_us", "md5")).alias("old")
+    )
+
+
+def _unchanged(size: Column, mtime_us: Column) -> Column:
+    """The fingerprint among `old` that equals the given one, or null."""
+    same = F.filter("old", lambda x: (x["size"] == size) & (x["mtime_us"] == mtime_us))
+    return F.get(same, F.lit(0))
 
 
 def reuse_by_path(manifest: DataFrame, previous: DataFrame) -> DataFrame:
     """As `reuse_digests`, by matching paths first and then dropping the digests of
     changed rows. Rows without a counterpart, or with a changed one, end up with none."""
-    same = (F.col("old.size") == F.col("size")) & (F.col("old.mtime_us") == F.col("mtime_us"))
-    merged = manifest.join(latest_by_path(previous), "path", "left")
-    return merged.withColumn("md5", F.when(same, F.col("old.md5"))).select(*manifest.columns)
+    merged = manifest.join(old_by_path(previous), "path", "left")
+    found = _unchanged(F.col("size"), F.col("mtime_us"))
+    return merged.withColumn("md5", found["md5"]).select(*manifest.columns)
 
 
 def digest_mismatches(manifest: DataFrame, previous: DataFrame) -> DataFrame:
@@ -78,17 +88,15 @@ def mismatch_examples(mismatches: DataFrame, examples: int = 5) -> DataFrame:
 
 def snapshot_changes(manifest: DataFrame, previous: DataFrame) -> DataFrame:
     """What happened to each path since the snapshot: new, deleted, changed,
-    unhashed (unchanged, but no digest was saved) or reused."""
+    unhashed (unchanged, but no digest was saved, or none to trust) or reused."""
     now = manifest.select("path", F.struct("size", "mtime_us").alias("new"))
-    both = now.join(latest_by_path(previous), "path", "full_outer")
-    same = (F.col("old.size") == F.col("new.size")) & (
-        F.col("old.mtime_us") == F.col("new.mtime_us")
-    )
+    both = now.join(old_by_path(previous), "path", "full_outer")
+    found = _unchanged(F.col("new.size"), F.col("new.mtime_us"))
     change = (
         F.when(F.col("old").isNull(), "new")
         .when(F.col("new").isNull(), "deleted")
-        .when(~same, "changed")
-        .when(F.col("old.md5").isNull(), "unhashed")
+        .when(found.isNull(), "changed")
+        .when(found["md5"].isNull(), "unhashed")
         .otherwise("reused")
     )
     return both.select("path", change.alias("change"))
