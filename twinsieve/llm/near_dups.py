@@ -198,7 +198,10 @@ def _blocks(
             group, "_node", "_comp", "_left", F.col(names[0]).alias("_l"), F.col(names[1]).alias("_r")
         )
         out = rows if out is None else out.unionByName(rows)
-    with_sets = out.join(sets, "_node").drop("_near", "_far")
+    # Sets of these nodes only are shuffled.
+    out = scratch.stored(out.withColumn("_at_node", F.xxhash64("_node")), "block-rows")
+    near = likely_rows(sets.withColumn("_at_node", F.xxhash64("_node")), out, "_at_node")
+    with_sets = out.drop("_at_node").join(near.drop("_at_node"), "_node")
     return with_sets.groupBy(group, "_l", "_r").applyInArrow(
         _block_links(percent), "a binary, b binary"
     )
@@ -320,9 +323,13 @@ def _links(narrow: DataFrame, rows: DataFrame, words: int, percent: int, scratch
         "_pivot", F.col("_pivot").alias("_node"), F.col("_pivot").alias("_comp")
     )
     first = stored(_blocks(centres, nearest, sets, "_pivot", percent, scratch), "first")
-    roots = stored(components(first, scratch), "first-roots")
+    # Each of these goes from a node to a smaller one. Two steps along them are label enough.
+    up = first.select(F.greatest("a", "b").alias("_node"), F.least("a", "b").alias("_up")).distinct()
+    top = up.select(F.col("_node").alias("_up"), F.col("_up").alias("_top"))
+    roots = up.join(top, "_up", "left").select("_node", F.coalesce("_top", "_up").alias("_root"))
+    roots = stored(roots, "first-roots")
 
-    # Second links: with the others, but for those they are connected with by now.
+    # Second links: with the others, but for those they are known to be connected with.
     at_pivot = roots.select(F.col("_node").alias("_pivot"), F.col("_root").alias("_pivot_root"))
     apart = stars.join(roots, "_node", "left").join(at_pivot, "_pivot", "left").select(
         "_pivot", "_node", F.coalesce("_root", "_node").alias("_comp"),
@@ -336,17 +343,18 @@ def _links(narrow: DataFrame, rows: DataFrame, words: int, percent: int, scratch
 
     # The rest: nodes beside the component of their bucket's first node.
     labelled = members.join(roots, "_node", "left").select(
-        "_bucket", "_node", "_pivot", F.coalesce("_root", "_node").alias("_comp")
+        "_bucket", "_node", "_n", "_pivot", F.coalesce("_root", "_node").alias("_comp")
     )
     main = labelled.filter("_node = _pivot").select("_bucket", F.col("_comp").alias("_main"))
     labelled = stored(labelled.join(main, "_bucket"), "labelled")
-    lefts = labelled.filter("_comp != _main and _node != _pivot").select("_bucket", "_node", "_comp")
+    lefts = labelled.filter("_comp != _main and _node != _pivot").select("_bucket", "_node", "_n", "_comp")
     # A bucket of two nodes has been settled by its first.
-    open_buckets = lefts.groupBy("_bucket").count().join(
-        labelled.groupBy("_bucket").agg(F.count("*").alias("_m")).filter("_m > 2"), "_bucket"
-    )
-    open_buckets = stored(open_buckets.select("_bucket"), "open")
-    lefts = stored(lefts.join(open_buckets, "_bucket"), "lefts")
-    rights = labelled.join(open_buckets, "_bucket").select("_bucket", "_node", "_comp")
+    sizes = lefts.groupBy("_bucket").agg(F.min("_n").alias("_least"), F.max("_n").alias("_most"))
+    larger = labelled.groupBy("_bucket").agg(F.count("*").alias("_m")).filter("_m > 2")
+    open_buckets = stored(sizes.join(larger, "_bucket").drop("_m"), "open")
+    lefts = stored(lefts.join(open_buckets.select("_bucket"), "_bucket").drop("_n"), "lefts")
+    # Nodes that are too small or too large for each left node of their bucket link with none.
+    near = (F.col("_n") * 100 >= F.col("_least") * percent) & (F.col("_most") * 100 >= F.col("_n") * percent)
+    rights = labelled.join(open_buckets, "_bucket").filter(near).select("_bucket", "_node", "_comp")
     rights = stored(rights, "rights")
     return first.unionByName(_blocks(lefts, rights, sets, "_bucket", percent, scratch))
