@@ -1,14 +1,15 @@
 """Shuffled shards of any input, by a two-pass external shuffle (operator 2).
 
-Pass one scatters the records over buckets by a seeded hash and stores them. A bucket
-is sized to fit into a task's memory. Pass two brings each bucket together, puts it
-into a defined order, applies a seeded Fisher-Yates shuffle and numbers its records
-after those of the buckets before it. The numbers 0, 1, ... are dealt round robin to
+Pass one scatters the records over buckets by a seeded hash: a shuffle, whose files are
+the only copy of the texts that is made. A bucket is sized to fit into a task's memory.
+Pass two puts each bucket into a defined order, applies a seeded Fisher-Yates shuffle and
+numbers its records after those of the buckets before it. The numbers 0, 1, ... are dealt round robin to
 the shards, so shards differ by one row at most and slots have no gaps.
 
 The order depends on seed, keys and texts, not on how the input is split into files.
 Rows equal in key and text are interchangeable; where one such group would overfill a
-bucket, its rows are scattered by their place in the input instead.
+bucket, its rows are scattered by their place in the input instead. As that place might
+change when the input is read again, the scattered records are stored in this case.
 Null keys, null and empty texts are records like others. An empty table gives none.
 """
 
@@ -27,7 +28,7 @@ MIN_BUCKETS = 256
 
 
 def scatter(docs: DataFrame, key: str, text: str, seed: int, bucket_bytes: int) -> DataFrame:
-    """Pass one: the records with their hash and bucket, stored."""
+    """Pass one: the records with their hash and bucket, the same whenever they are read."""
     record = F.xxhash64(F.lit(seed), key, text)
     size = F.coalesce(F.octet_length(text), F.lit(0)) + 1
     n, n_bytes = docs.agg(F.count("*"), F.sum(size.cast("long"))).first()
@@ -38,12 +39,14 @@ def scatter(docs: DataFrame, key: str, text: str, seed: int, bucket_bytes: int)
     repeats = docs.groupBy(record.alias("_repeated")).count().filter(F.col("count") > many)
     repeats = stored(repeats.select("_repeated"), "shard-repeats")
     hashed = docs.select(packed(docs), record.alias("_h"))
+    # A second hash, as bits of the first order the records within their bucket.
+    bucket = lambda of: F.pmod(F.xxhash64(of, F.lit(seed)), F.lit(buckets)).cast("int")
+    if repeats.isEmpty():
+        return hashed.withColumn("_bucket", bucket(F.col("_h")))
     place = F.xxhash64("_h", F.monotonically_increasing_id())
     spread = F.when(F.col("_repeated").isNotNull(), place).otherwise(F.col("_h"))
     marked = hashed.join(repeats, hashed["_h"] == repeats["_repeated"], "left")
-    # A second hash, as bits of the first order the records within their bucket.
-    bucket = F.pmod(F.xxhash64(spread, F.lit(seed)), F.lit(buckets)).cast("int")
-    return stored(marked.withColumn("_bucket", bucket).drop("_repeated"), "shard-scatter")
+    return stored(marked.withColumn("_bucket", bucket(spread)).drop("_repeated"), "shard-scatter")
 
 
 def shuffled_shards(
