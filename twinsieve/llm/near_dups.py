@@ -253,14 +253,12 @@ def near_duplicates(
     """
     narrow = keyed(docs, key, text)
     kind = narrow.schema["_id"].dataType.simpleString()
-    rows = stored(
-        narrow.mapInArrow(
-            _sketched(words), f"_id {kind}, _fp long, _n long, _node binary, _bands array<long>"
-        ),
-        "near-sketches",
-    )
+    columns = f"_id {kind}, _fp long, _n long, _node binary, _bands array<long>"
     with Scratch(docs.sparkSession, "near-dups") as scratch:
-        links = scratch.stored(_links(narrow, rows, words, percent, scratch), "links")
+        # The bands are most of this table, and nobody needs them after the links.
+        sketched = scratch.stored(narrow.mapInArrow(_sketched(words), columns), "sketches")
+        rows = stored(sketched.drop("_bands"), "near-rows")
+        links = scratch.stored(_links(narrow, sketched, words, percent, scratch), "links")
         roots = stored(components(links, scratch), "near-roots")
 
     nodes = rows.filter("_node is not null").groupBy("_node")
@@ -272,7 +270,7 @@ def near_duplicates(
     classes = stored(
         classes.select("_node", F.coalesce("_lowest", "_first").alias("_class")), "near-classes"
     )
-    answered = rows.drop("_bands").join(classes, "_node", "left")
+    answered = rows.join(classes, "_node", "left")
     best = F.coalesce("_class", first)
     return answered.select(
         "_id", "_fp", F.col("_n").alias("n_shingles"), best["_id"].alias("component_id"),
