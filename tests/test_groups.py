@@ -101,3 +101,49 @@ def test_hot_rows_are_spread_and_exchange_is_shared(spark, skewed):
         spark.conf.unset("spark.twinsieve.hotRows")
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+@pytest.mark.parametrize("reuse", ["true", "false"])
+def test_many_hot_keys_are_all_split(spark, reuse):
+    """5,000 keys, each above the bound, and one with a third of all rows."""
+    settings = {
+        "spark.twinsieve.hotRows": "2",
+        "spark.sql.exchange.reuse": reuse,
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        rows = spark.range(30_000).select(
+            F.concat(F.lit("p"), "id").alias("path"),
+            F.when(F.col("id") < 10_000, -1).otherwise(F.col("id") % 5_000).cast("string").alias("key"),
+        )
+        got = with_group_values(rows, ["key"], {"n": F.count("*")})
+        sizes = {r.key: (r.n, r.rows) for r in got.groupBy("key", "n").agg(F.count("*").alias("rows")).collect()}
+        assert len(sizes) == 5_001 and all(n == rows for n, rows in sizes.values())
+        tasks = got.groupBy(F.spark_partition_id().alias("task")).count().collect()
+        # 30,000 rows over 4 tasks.
+        assert max(row["count"] for row in tasks) < 8_000
+    finally:
+        for name in settings:
+            spark.conf.unset(name)
+
+
+def test_salted_join_splits_by_bytes(spark, monkeypatch):
+    from twinsieve.operators import groups
+
+    monkeypatch.setattr(groups, "PIECE_BYTES", 1_000)
+    rows = spark.createDataFrame([(f"p{n}", "k" if n < 90 else f"k{n}") for n in range(99)], "path string, key string")
+    wide = rows.select("key").distinct().withColumn("payload", F.repeat("key", 100))
+    sizes = wide.select("key", F.octet_length("payload").alias("size"))
+    assert bag(salted_join(rows, wide, "key", sizes=sizes)) == bag(rows.join(wide, "key"))
+    # 90 rows of 100 bytes in pieces of 1,000 bytes.
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = salted_join(rows, wide, "key", sizes=sizes).filter("key = 'k'")
+        assert got.select(F.spark_partition_id()).distinct().count() > 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")

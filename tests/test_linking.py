@@ -109,3 +109,20 @@ def test_one_object_per_content_after_linking(spark, rows, policy):
     objects = applied.groupBy("device", "md5").agg(F.count_distinct(identity()).alias("n"))
     assert {r.n for r in objects.collect()} == {1}
     assert linking.link_plan(applied, policy).isEmpty()
+
+
+def test_rows_on_unknown_devices_take_no_part(spark):
+    from twinsieve.operators.canonical import POLICIES
+    from twinsieve.operators.reconcile import sync_digests
+
+    rows = manifest(
+        spark,
+        {"path": "a", "device": None, "inode": 1, "md5": "xx"},
+        {"path": "b", "device": None, "inode": 1, "md5": "yy"},
+        {"path": "c", "device": None, "inode": 2, "md5": "xx"},
+        {"path": "d", "inode": 3, "md5": "xx"},
+    )
+    for policy in POLICIES:
+        assert linking.link_plan(rows, policy).isEmpty()
+    # Equal inodes on unknown devices are not one object.
+    assert column(sync_digests(rows), "md5") == {"a": "xx", "b": "yy", "c": "xx", "d": "xx"}

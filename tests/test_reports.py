@@ -62,3 +62,17 @@ def test_digest_shared_by_two_sizes_is_counted(spark):
 def test_run_summary(spark):
     old = snapshot(spark, {"path": "d", "size": 10, "md5": "other"})
     assert only(reports.run_summary(scan(spark), old)) == (5, 4, 1, 1, 1)
+
+
+def test_only_objects_with_all_links_planned_are_surely_freed(spark):
+    rows = manifest(
+        spark,
+        {"path": "a", "inode": 1, "size": 9, "md5": "xx", "links": 5},
+        {"path": "b", "inode": 2, "size": 9, "md5": "xx", "links": 2},
+        {"path": "c", "inode": 2, "size": 9, "md5": "xx", "links": 2},
+        {"path": "d", "inode": 3, "size": 9, "md5": "xx", "links": 2},
+        {"path": "e", "inode": 4, "size": 9, "md5": "xx", "links": None},
+    )
+    assert only(reports.sure_savings(rows)) == (3, 1, 9)
+    assert only(reports.savings(rows)) == (1, 3, 27)
+    assert only(reports.sure_savings(spark.createDataFrame([], MANIFEST))) == (0, 0, 0)

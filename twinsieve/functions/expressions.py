@@ -20,11 +20,11 @@ SIZE_UNITS = ["kB", "MB", "GB", "TB", "PB", "EB"]
 def identity(device="device", inode="inode", path="path") -> Column:
     """Text key of the physical object a row stands for.
 
-    (device, inode) where the inode is known; an unknown inode (null or 0) makes
-    the path its own identity.
+    (device, inode) where both are known; an unknown device (null) or inode (null or 0)
+    makes the path its own identity.
     """
     return F.expr(
-        f"""CASE WHEN {inode} IS NULL OR {inode} = 0 THEN concat('path:', {path})
+        f"""CASE WHEN {device} IS NULL OR {inode} IS NULL OR {inode} = 0 THEN concat('path:', {path})
                  ELSE concat_ws(':', {device}, {inode}) END"""
     )
 

@@ -1,20 +1,22 @@
 """Groups of equal content and the election of one member of each.
 
-Content is compared by md5 within a device, as objects can only be linked there.
+Content is compared by md5 within a device, as objects can only be linked there; rows on
+an unknown device take no part.
 Every election is a total order that ends in the path.
 """
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinsieve.operators.groups import join_groups, with_group_values
+from twinsieve.operators.groups import join_groups
 from twinsieve.operators.reconcile import with_identity
 
 CONTENT = ["device", "md5"]
 
 
 def _hashed(manifest: DataFrame) -> DataFrame:
-    return with_identity(manifest).filter(F.col("md5").isNotNull())
+    """Rows that links could be planned for: on a known device, with a digest."""
+    return with_identity(manifest).filter(F.col("device").isNotNull() & F.col("md5").isNotNull())
 
 
 def _best(order: Column) -> Column:
@@ -80,23 +82,14 @@ def canonicals(manifest: DataFrame, policy: str = "max_links") -> DataFrame:
 
 
 def with_canonical(manifest: DataFrame, policy: str = "max_links") -> DataFrame:
-    """Every row that has a digest, with the canonical member of its content.
+    """The rows of contents that several objects hold, each with the canonical member.
 
-    Groups that are a single object may be left out. `manifest` is read several
-    times: pass a stored table.
+    Contents of a single object are dropped by the narrow election, before rows meet
+    their groups. `manifest` is read several times: pass a stored table.
     """
     _check(policy)
-    hashed = _hashed(manifest)
-    if policy not in ORDERS:
-        groups = canonicals(manifest, policy).filter("lo_identity <> hi_identity")
-        return join_groups(hashed, groups, CONTENT, how="inner")
-    rows = with_group_values(hashed, CONTENT, {"best": _best(ORDERS[policy]())})
-    return rows.select(
-        *hashed.columns,
-        F.col("best.path").alias("canonical_path"),
-        F.col("best.inode").alias("canonical_inode"),
-        F.col("best.identity").alias("canonical_identity"),
-    )
+    groups = canonicals(manifest, policy).filter("lo_identity <> hi_identity")
+    return join_groups(_hashed(manifest), groups, CONTENT, how="inner")
 
 
 def duplicate_groups(manifest: DataFrame) -> DataFrame:
@@ -117,5 +110,5 @@ def duplicate_groups(manifest: DataFrame) -> DataFrame:
 def duplicate_rows(manifest: DataFrame) -> DataFrame:
     """Every row whose digest some other row has too, none left out."""
     hashed = manifest.filter(F.col("md5").isNotNull())
-    counted = with_group_values(hashed, ["md5"], {"n": F.count("*")})
-    return counted.filter("n > 1").select(*manifest.columns)
+    groups = hashed.groupBy("md5").agg(F.count("*").alias("n")).filter("n > 1")
+    return join_groups(hashed, groups, ["md5"], how="inner").select(*manifest.columns)

@@ -15,7 +15,6 @@ BROADCAST_ROWS = 50_000
 
 # File content one task is to read.
 BYTES_PER_TASK = 256 * 1024 * 1024
-MAX_TASKS = 100_000
 
 
 def digest_table(table: DataFrame, payload: str) -> DataFrame:
@@ -65,7 +64,7 @@ def digest_files(pending: DataFrame, tasks: int | None = None) -> DataFrame:
     if tasks is None:
         total = pending.agg(F.sum("size")).first()[0] or 0
         least = pending.sparkSession.sparkContext.defaultParallelism
-        tasks = min(MAX_TASKS, max(least, total // BYTES_PER_TASK + 1))
+        tasks = max(least, total // BYTES_PER_TASK + 1)
     wanted = pending.drop("md5")
     schema = T.StructType([*wanted.schema.fields, T.StructField("md5", T.StringType())])
     return wanted.repartition(int(tasks), "path").mapInPandas(_digest_files, schema)

@@ -1,86 +1,46 @@
 """Bringing rows and their groups together when one group may be huge.
 
-A window over the group key alone would put a whole group into one task, and so
-would a join on it. Hot groups are therefore told apart first, and treated in a way
-that never gathers their rows: reduced by an aggregate that combines on the map
-side, and answered by broadcasting the few rows that come out.
+A window over the group key would put a whole group into one task, and so would a
+join on it. Groups are therefore counted exactly, by an aggregate that combines on the
+map side, and hot ones are treated in a way that never gathers their rows.
 
-* `with_group_values` - values computed from the rows themselves. Cold groups are
-  done by a window: one shuffle, one sort.
+* `with_group_values` - values computed from the rows themselves.
 * `join_groups` - values that come from elsewhere, one row per group.
 * `salted_join` - partners too wide to broadcast.
 
-Which groups count as hot affects speed only, never the result.
+Hot is every group above a bound; no group beyond it is left out. Which groups are hot
+affects speed only, never the result: a row is marked once, and a row that is not
+marked finds every group.
 """
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # A group with more rows than this counts as hot. Overridden by the session setting.
 HOT_ROWS = 100_000
 HOT_ROWS_SETTING = "spark.twinsieve.hotRows"
-# Bound on every broadcast: this many rows, whatever the size of the input.
-# A group beyond it holds less than 1/MAX_HOT_GROUPS of all rows.
-MAX_HOT_GROUPS = 2_500
-# Size of the frequent-items sketch. Its error is 3.5 / 2^14 of all rows, which
-# makes it find every key that holds 1/2340 of them or more.
-SKETCH_ITEMS = 10_000
-# Sketches of scan tasks are merged in this many tasks first, then in one.
-SKETCH_MERGERS = 128
+# Or a share of all rows, if that is more: so there are less than HOT_SHARE hot groups
+# of any input, and what is broadcast about them is bounded.
+HOT_SHARE = 100_000
+# Bytes of copies of a wide partner that one piece of a salted join may hold.
+PIECE_BYTES = 256 * 1024 * 1024
 
 
 def hot_rows(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get(HOT_ROWS_SETTING, str(HOT_ROWS)))
 
 
-def _frequent(rows: DataFrame, key: str) -> DataFrame:
-    """Keys with more than `hot_rows` rows, from a sketch: one scan, and all that is
-    shuffled is one sketch per task."""
-    sketches = (
-        rows.select(F.col(key), F.pmod(F.spark_partition_id(), F.lit(SKETCH_MERGERS)).alias("_task"))
-        .groupBy("_task")
-        .agg(F.expr(f"approx_top_k_accumulate({key}, {SKETCH_ITEMS})").alias("_sketch"))
-    )
-    # Grouped by a constant: without input there is no group, and so no sketch.
-    merged = sketches.groupBy(F.lit("all")).agg(
-        F.expr("approx_top_k_combine(_sketch)").alias("_sketch")
-    )
-    top = merged.select(F.expr(f"inline(approx_top_k_estimate(_sketch, {MAX_HOT_GROUPS}))"))
-    return top.filter(F.col("count") > hot_rows(rows)).select(F.col("item").alias("_hot_key"))
-
-
-def with_group_values(
-    rows: DataFrame,
-    keys: list[str],
-    values: dict[str, Column],
-    *,
-    counted_in: DataFrame | None = None,
-) -> DataFrame:
+def with_group_values(rows: DataFrame, keys: list[str], values: dict[str, Column]) -> DataFrame:
     """Add to each row aggregates over all rows with the same `keys`.
 
-    `values` are aggregate expressions that also work over a window. Keys must not
-    be null. `rows` is read once to find hot groups and once to answer, and twice
-    more where it has some: pass a stored table or a narrow step on one. Where
-    `rows` took work to make, `counted_in` names a stored table with the same keys
-    to find the hot groups in.
+    Rows with a null key get nulls. `rows` is read twice and needs a `path`: pass a
+    stored table or a narrow step on one.
     """
-    key = F.col(keys[0]) if len(keys) == 1 else F.expr(f"concat_ws('|', {', '.join(keys)})")
-    counted = rows if counted_in is None else counted_in
-    hot = F.broadcast(_frequent(counted.select(key.alias("_key")), "_key"))
-    keyed = rows.withColumn("_key", key)
-    is_hot = F.col("_key") == F.col("_hot_key")
-
-    window = Window.partitionBy(*keys)
-    cold_rows = keyed.join(hot, is_hot, "left_anti")
-    cold = cold_rows.select(
-        *rows.columns, *[value.over(window).alias(name) for name, value in values.items()]
+    groups = rows.groupBy(*keys).agg(
+        F.count("*").alias("_n"), *[value.alias(name) for name, value in values.items()]
     )
-
-    hot_rows_ = keyed.join(hot, is_hot, "left_semi")
-    answers = hot_rows_.groupBy("_key").agg(*[v.alias(name) for name, v in values.items()])
-    answered = hot_rows_.join(F.broadcast(answers), "_key").select(*rows.columns, *values)
-    return cold.unionByName(answered)
+    return join_groups(rows, groups, keys, n="_n").drop("_n")
 
 
 def is_short(df: DataFrame, rows: int) -> bool:
@@ -88,12 +48,10 @@ def is_short(df: DataFrame, rows: int) -> bool:
     return df.count() <= rows
 
 
-def _hottest(groups: DataFrame, keys: list[str], n: str) -> DataFrame:
-    return (
-        groups.filter(F.col(n) > hot_rows(groups))
-        .orderBy(F.col(n).desc(), *keys)
-        .limit(MAX_HOT_GROUPS)
-    )
+def _hot(groups: DataFrame, n: str, least: int) -> DataFrame:
+    """Groups with more than `least` of what `n` counts, and more than their share."""
+    total = groups.agg(F.coalesce(F.sum(n), F.lit(0))).scalar()
+    return groups.filter((F.col(n) > least) & (F.col(n) * HOT_SHARE > total))
 
 
 def _scattered(key: str, dtype: T.DataType, spread_by: str) -> Column:
@@ -116,7 +74,7 @@ def join_groups(
 ) -> DataFrame:
     """Join each row to its group, safely for groups of any size.
 
-    The hottest groups are broadcast. Rows that match one get a made-up join key, so
+    Hot groups are broadcast. Rows that match one get a made-up join key, so
     that the shuffle spreads them over all partitions instead of sending them to
     one. All other rows meet their group in an ordinary shuffle join, on the
     partitioning that the aggregate behind `groups` has produced already.
@@ -131,7 +89,7 @@ def join_groups(
     for key in keys:
         groups = groups.filter(F.col(key).isNotNull())
     packed = F.struct(*values)
-    hot = _hottest(groups, keys, n).select(
+    hot = _hot(groups, n, hot_rows(rows)).select(
         *[F.col(k).alias(f"_hot_{k}") for k in keys], packed.alias("_hot")
     )
     cold = groups.select(*[F.col(k).alias(f"_cold_{k}") for k in keys], packed.alias("_cold"))
@@ -157,19 +115,32 @@ def join_groups(
 
 
 def salted_join(
-    rows: DataFrame, wide: DataFrame, key: str, *, spread_by: str = "path"
+    rows: DataFrame,
+    wide: DataFrame,
+    key: str,
+    *,
+    sizes: DataFrame | None = None,
+    spread_by: str = "path",
 ) -> DataFrame:
     """Inner join of many rows per key to one `wide` row per key.
 
-    For partners too wide to broadcast. A hot key is split into pieces of about
-    `hot_rows` rows, and only the partner of such a key is copied, once per piece.
+    For partners too wide to broadcast. A hot key is split into pieces, and only the
+    partner of such a key is copied, once per piece. A piece has about `hot_rows` rows
+    or, where `sizes` tells the bytes of each partner (key, size), PIECE_BYTES of
+    copies if that is less.
     """
-    counts = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
-    pieces = _hottest(counts, [key], "n").select(
-        F.col(key).alias("_hot_key"),
-        F.ceil(F.col("n") / hot_rows(rows)).cast("long").alias("_pieces"),
+    pieces = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
+    pieces = pieces.withColumn("_pieces", F.ceil(F.col("_n") / hot_rows(rows)))
+    if sizes is not None:
+        by_bytes = F.ceil(F.col("_n") * F.col("size") / PIECE_BYTES)
+        pieces = pieces.join(sizes.select(key, "size"), key)
+        pieces = pieces.withColumn("_pieces", F.greatest("_pieces", by_bytes))
+    pieces = pieces.withColumn("_pieces", F.col("_pieces").cast("long"))
+    pieces = F.broadcast(
+        _hot(pieces, "_pieces", 1).select(
+            F.col(key).alias("_hot_key"), F.least("_n", "_pieces").alias("_pieces")
+        )
     )
-    pieces = F.broadcast(pieces)
     left = rows.join(pieces, F.col(key) == F.col("_hot_key"), "left").select(
         *rows.columns,
         F.pmod(F.xxhash64(spread_by), F.coalesce("_pieces", F.lit(1))).alias("_piece"),

@@ -12,7 +12,8 @@ def with_identity(manifest: DataFrame) -> DataFrame:
 
 
 def has_inode() -> Column:
-    return F.coalesce(F.col("inode") != 0, F.lit(False))
+    """Whether the physical object of a row is known: its device and its inode."""
+    return F.coalesce((F.col("inode") != 0) & F.col("device").isNotNull(), F.lit(False))
 
 
 def _per_object(
@@ -20,7 +21,6 @@ def _per_object(
     values: dict[str, Column],
     md5: Column,
     *,
-    scan: DataFrame | None = None,
     trust_links: bool = False,
 ) -> DataFrame:
     """Replace the digests of rows that may share an object by `md5`, which is made
@@ -28,28 +28,24 @@ def _per_object(
     may_share = has_inode()
     if trust_links:
         may_share = may_share & (F.coalesce("links", F.lit(2)) > 1)
-    counted = None if scan is None else with_identity(scan.filter(may_share))
     shared = with_identity(manifest.filter(may_share))
-    grouped = with_group_values(shared, ["identity"], values, counted_in=counted)
+    grouped = with_group_values(shared, ["identity"], values)
     replaced = grouped.withColumn("md5", md5).select(*manifest.columns)
     return replaced.unionByName(manifest.filter(~may_share))
 
 
-def sync_digests(
-    manifest: DataFrame, *, scan: DataFrame | None = None, trust_links: bool = False
-) -> DataFrame:
+def sync_digests(manifest: DataFrame, *, trust_links: bool = False) -> DataFrame:
     """One digest per physical object.
 
     An object with a single known digest gives it to all its paths; one with
     several has them all cleared; one with none stays as it is. Rows without a known
     inode cannot share an object and are not shuffled. With `trust_links` neither
     are rows with a single link, which is most of a usual tree; leave it off where
-    link counts may be out of date. `scan` is a stored table with the same rows, for
-    when `manifest` is not stored itself.
+    link counts may be out of date.
     """
     known = {"lo": F.min("md5"), "hi": F.max("md5")}
     agreed = F.when(F.col("lo") == F.col("hi"), F.col("hi"))
-    return _per_object(manifest, known, agreed, scan=scan, trust_links=trust_links)
+    return _per_object(manifest, known, agreed, trust_links=trust_links)
 
 
 def fill_digests(manifest: DataFrame) -> DataFrame:
@@ -114,8 +110,10 @@ def _affected() -> Column:
 
 
 def affected_rows(manifest: DataFrame) -> DataFrame:
-    """All paths of every object that has a linked path without digest."""
-    grouped = with_group_values(
-        with_identity(manifest), ["identity"], {"affected": _affected()}
-    )
-    return grouped.filter("affected").select(*manifest.columns)
+    """All paths of every object that has a linked path without digest. Rows that are
+    objects of their own are judged where they are."""
+    shared = with_identity(manifest.filter(has_inode()))
+    groups = shared.groupBy("identity").agg(F.count("*").alias("n"), _affected().alias("affected"))
+    found = join_groups(shared, groups.filter("affected"), ["identity"], how="inner")
+    alone = linked_without_digest(manifest.filter(~has_inode()))
+    return found.select(*manifest.columns).unionByName(alone)

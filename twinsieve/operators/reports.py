@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinsieve.functions import display_bytes, display_count
-from twinsieve.operators.canonical import CONTENT, duplicate_groups
+from twinsieve.operators.canonical import CONTENT, duplicate_groups, with_canonical
 from twinsieve.operators.pending import without_digest
 from twinsieve.operators.reconcile import with_identity
 from twinsieve.operators.reuse import digest_mismatches
@@ -38,8 +38,9 @@ def require_one_device(manifest: DataFrame) -> None:
 
 
 def savings(manifest: DataFrame) -> DataFrame:
-    """What linking would free: all but one physical object of every content group."""
-    hashed = with_identity(manifest).filter(F.col("md5").isNotNull())
+    """What linking would free at most: all but one physical object of every content
+    group on a known device. Links outside the manifest keep some of them."""
+    hashed = with_identity(manifest).filter(F.col("device").isNotNull() & F.col("md5").isNotNull())
     groups = hashed.groupBy(*CONTENT).agg(
         F.count_distinct("identity").alias("n_objects"), F.max("size").alias("size")
     )
@@ -51,6 +52,24 @@ def savings(manifest: DataFrame) -> DataFrame:
     )
 
 
+def sure_savings(manifest: DataFrame, policy: str = "max_links") -> DataFrame:
+    """What the link plan frees for certain: objects all of whose links it moves.
+
+    An object with an unknown number of links, or with more than the manifest has
+    paths of it, is planned but not counted as freed.
+    """
+    planned = with_canonical(manifest, policy).filter("identity <> canonical_identity")
+    objects = planned.groupBy("identity").agg(
+        F.count("*").alias("paths"), F.max("links").alias("links"), F.max("size").alias("size")
+    )
+    sure = F.col("paths") >= F.col("links")
+    return objects.agg(
+        F.count("*").alias("n_objects_planned"),
+        F.count_if(sure).alias("n_objects_surely_freed"),
+        F.coalesce(F.sum(F.when(sure, F.col("size"))), F.lit(0)).alias("n_bytes_surely_freed"),
+    )
+
+
 def digest_size_check(manifest: DataFrame) -> DataFrame:
     """Number of digests that rows of different sizes share. Anything but 0 means
     that md5 alone does not identify content here."""

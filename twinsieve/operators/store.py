@@ -41,7 +41,7 @@ def store_blobs(rows: DataFrame, payload: str, redundant: DataFrame) -> DataFram
 def store_restore(refs: DataFrame, blobs: DataFrame) -> DataFrame:
     """The original rows: path and payload. A blob many rows refer to is copied to
     as many tasks as their number calls for; rows without payload come back as such."""
-    found = salted_join(refs, blobs.select("md5", "payload"), "md5").select("path", "payload")
+    found = salted_join(refs, blobs.select("md5", "payload"), "md5", sizes=blobs).select("path", "payload")
     empty = refs.filter(F.col("md5").isNull()).select(
         "path", F.lit(None).cast(blobs.schema["payload"].dataType).alias("payload")
     )

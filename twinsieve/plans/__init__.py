@@ -2,8 +2,10 @@ from twinsieve.plans.jobs import (
     dedupe_job,
     hash_dry_run,
     hash_job,
+    job_dry_run,
     merge_previous,
     pending_rows,
+    purge_dry_run,
     purge_job,
 )
 
@@ -11,7 +13,9 @@ __all__ = [
     "dedupe_job",
     "hash_dry_run",
     "hash_job",
+    "job_dry_run",
     "merge_previous",
     "pending_rows",
+    "purge_dry_run",
     "purge_job",
 ]

@@ -16,7 +16,7 @@ from twinsieve.operators.linking import link_plan
 from twinsieve.operators.pending import one_per_inode, size_collisions, without_digest
 from twinsieve.operators.purge import purge_candidates, purge_one_per_inode
 from twinsieve.operators.reconcile import sync_digests
-from twinsieve.operators.reports import dry_run, require_one_device
+from twinsieve.operators.reports import dry_run, require_one_device, scan_totals
 from twinsieve.operators.reuse import reuse_digests
 from twinsieve.workspace import stage
 
@@ -33,7 +33,7 @@ def merge_previous(
     if previous is None:
         return manifest.withColumn("md5", F.lit(None).cast("string"))
     reused = reuse_digests(manifest, previous)
-    return sync_digests(reused, scan=manifest, trust_links=trust_links)
+    return sync_digests(reused, trust_links=trust_links)
 
 
 def pending_rows(manifest: DataFrame, skip_unique_sizes: bool = False) -> DataFrame:
@@ -67,10 +67,19 @@ def hash_job(
 
 
 def hash_dry_run(manifest: DataFrame, previous: DataFrame | None) -> DataFrame:
-    """Number and bytes of the rows `hash_job` would have to digest."""
+    """Number and bytes of the rows without digest that `hash_job` would start from."""
     return dry_run(merge_previous(manifest, previous))
 
 
+def job_dry_run(
+    manifest: DataFrame, previous: DataFrame | None, *, skip_unique_sizes: bool = False
+) -> DataFrame:
+    """Number and bytes of the objects that `hash_job` would digest, which is one path
+    of each."""
+    merged = merge_previous(manifest, previous)
+    return scan_totals(pending_rows(merged, skip_unique_sizes))
+
+
 def dedupe_job(
     manifest: DataFrame,
     previous: DataFrame | None,
@@ -105,3 +114,10 @@ def purge_job(
     if first_of_inode:
         return purge_one_per_inode(manifest, reference)
     return purge_candidates(manifest, reference)
+
+
+def purge_dry_run(
+    manifest: DataFrame, reference: DataFrame, *, first_of_inode: bool = False
+) -> DataFrame:
+    """Number and bytes of the rows that `purge_job` would name."""
+    return scan_totals(purge_job(manifest, reference, first_of_inode=first_of_inode))

@@ -50,7 +50,7 @@ def link_batch(base: str) -> Callable[[DataFrame, int], None]:
 
         # The digests of the batch are computed once, and saved by the same token.
         arrived = write(batch.select(*ARRIVAL).filter("md5 IS NOT NULL"), "arrivals")
-        here = with_identity(arrived)
+        here = with_identity(arrived.filter("device IS NOT NULL"))
         firsts = here.groupBy(*CONTENT).agg(
             F.count("*").alias("n"), F.min(F.struct("path", "inode", "identity")).alias("first")
         )

@@ -129,6 +129,18 @@ def fixture(spark: SparkSession, sf_dir: str) -> Fixture:
     return _fixtures[key]
 
 
+def on_unknown_device(manifest: DataFrame) -> DataFrame:
+    """The device of a third of the rows is not known."""
+    unknown = F.col("mtime_us") / STEP_US % 3 == 1
+    return manifest.withColumn("device", F.when(~unknown, F.col("device")))
+
+
+def contradicting(previous: DataFrame) -> DataFrame:
+    """Some rows a second time, with another digest."""
+    other = previous.filter("size % 4 = 0").withColumn("md5", F.md5(F.concat("md5", F.lit("y"))))
+    return previous.unionByName(other)
+
+
 def on_two_devices(manifest: DataFrame) -> DataFrame:
     far = (F.col("root") == FAR_SOURCE).cast("long")
     return manifest.withColumn("device", far)

@@ -147,6 +147,22 @@ far AS (
                               || CAST(inode AS VARCHAR) END AS identity)
   FROM hashed)"""
 
+UNKNOWN_DEVICE = """,
+known AS (SELECT * FROM hashed WHERE doc_id % 3 <> 1)"""
+
+# Snapshot rows for one path, size and mtime that contradict each other are not used.
+CONTRADICTING = """,
+doubled AS (
+  SELECT * FROM previous
+  UNION ALL SELECT * REPLACE (md5(md5 || 'y') AS md5) FROM previous WHERE size % 4 = 0),
+settled AS (
+  SELECT path, size, mtime_us, CASE WHEN min(md5) = max(md5) THEN min(md5) END AS md5
+  FROM doubled GROUP BY path, size, mtime_us)"""
+REUSED_CONTRADICTING = """
+SELECT m.path, m.root, m.device, m.inode, m.mode, m.size, m.mtime_us, m.links, p.md5
+FROM manifest m LEFT JOIN settled p
+  ON m.path = p.path AND m.size = p.size AND m.mtime_us = p.mtime_us"""
+
 # -------------------------------------------------------------------------- jobs
 
 
@@ -166,6 +182,19 @@ NO_DIGESTS = """,
 fresh AS (SELECT *, CAST(NULL AS VARCHAR) AS md5 FROM manifest)"""
 SHARES_SIZE = "EXISTS (SELECT 1 FROM size_counts c WHERE c.size = s.size)"
 
+SECOND_RUN = """,
+again AS (
+  SELECT * EXCLUDE (md5) REPLACE (mtime_us + CASE WHEN doc_id % 4 = 1 THEN 1 ELSE 0 END AS mtime_us),
+         CASE WHEN doc_id % 4 <> 1 THEN md5 END AS md5
+  FROM finished),
+agreed AS (
+  SELECT * EXCLUDE (md5),
+         CASE WHEN count(*) OVER w = 1 THEN md5
+              WHEN min(md5) OVER w = max(md5) OVER w THEN max(md5) OVER w END AS md5
+  FROM again WINDOW w AS (PARTITION BY identity)),
+twice AS (
+  SELECT * REPLACE (coalesce(md5, content_md5) AS md5) FROM agreed)"""
+
 # ----------------------------------------------------------------------- purging
 
 LISTED = "EXISTS (SELECT 1 FROM previous p WHERE p.md5 = s.md5)"
@@ -187,6 +216,11 @@ def bytes_text(n: str) -> str:
     return "CASE " + " ".join(cases) + " END"
 
 
+FIRST_OF_LISTED = f"""
+  SELECT * FROM (
+    SELECT *, row_number() OVER (PARTITION BY identity ORDER BY path) AS nth
+    FROM finished s WHERE {LISTED}) WHERE nth = 1"""
+
 TOTALS = """SELECT CAST(count(*) AS BIGINT) AS n_files,
                    CAST(coalesce(sum(size), 0) AS BIGINT) AS n_bytes FROM """
 
@@ -242,6 +276,16 @@ ORACLE = {
                        WHEN p.md5 IS NULL THEN 'unhashed' ELSE 'reused' END AS change
            FROM manifest m FULL JOIN previous p ON m.path = p.path"""
     ),
+    "reuse_digests_contradicting": with_fixture(REUSED_CONTRADICTING, CONTRADICTING),
+    "reuse_by_path_contradicting": with_fixture(REUSED_CONTRADICTING, CONTRADICTING),
+    "snapshot_changes_contradicting": with_fixture(
+        """SELECT coalesce(m.path, p.path) AS path,
+                  CASE WHEN p.path IS NULL THEN 'new' WHEN m.path IS NULL THEN 'deleted'
+                       WHEN m.size <> p.size OR m.mtime_us <> p.mtime_us THEN 'changed'
+                       WHEN p.md5 IS NULL THEN 'unhashed' ELSE 'reused' END AS change
+           FROM manifest m FULL JOIN settled p ON m.path = p.path""",
+        CONTRADICTING,
+    ),
     "inode_profile": with_fixture(
         """SELECT identity, CAST(count(*) AS BIGINT) AS n_paths,
                   CAST(count(md5) AS BIGINT) AS n_hashed,
@@ -310,6 +354,9 @@ ORACLE = {
     "link_plan_modal_inode": link_plan("modal_inode"),
     "link_plan_first_seen": link_plan("first_seen"),
     "link_plan_two_devices": link_plan("max_links", "far", TWO_DEVICES),
+    "link_plan_unknown_device_max_links": link_plan("max_links", "known", UNKNOWN_DEVICE),
+    "link_plan_unknown_device_modal_inode": link_plan("modal_inode", "known", UNKNOWN_DEVICE),
+    "link_plan_unknown_device_first_seen": link_plan("first_seen", "known", UNKNOWN_DEVICE),
     "apply_link_plan": with_fixture(
         """SELECT path, root, device,
                   CASE WHEN identity <> canonical_identity THEN canonical_inode
@@ -342,6 +389,41 @@ ORACLE = {
         """SELECT CAST(count(*) AS BIGINT) AS n_ambiguous FROM (
              SELECT md5 FROM hashed GROUP BY md5 HAVING count(DISTINCT size) > 1)"""
     ),
+    "digest_size_check_previous": with_fixture(
+        """SELECT CAST(count(*) AS BIGINT) AS n_ambiguous FROM (
+             SELECT md5 FROM previous WHERE md5 IS NOT NULL
+             GROUP BY md5 HAVING count(DISTINCT size) > 1)"""
+    ),
+    "savings_sure": with_fixture(
+        """SELECT CAST(count(*) AS BIGINT) AS n_objects_planned,
+                  CAST(count(*) FILTER (paths >= links) AS BIGINT) AS n_objects_surely_freed,
+                  CAST(coalesce(sum(size) FILTER (paths >= links), 0) AS BIGINT)
+                    AS n_bytes_surely_freed
+           FROM (SELECT count(*) AS paths, max(links) AS links, max(size) AS size
+                 FROM members WHERE identity <> canonical_identity GROUP BY identity)""",
+        elected("hashed", "max_links"),
+    ),
+    "dry_run_job": with_fixture(
+        TOTALS
+        + "(SELECT min_by(size, path) AS size FROM synced WHERE md5 IS NULL GROUP BY identity)"
+    ),
+    "dry_run_job_skip_unique": with_fixture(
+        TOTALS
+        + f"""(SELECT min_by(size, path) AS size FROM synced s
+               WHERE md5 IS NULL AND {SHARES_SIZE} GROUP BY identity)"""
+    ),
+    "run_summary_skipped": with_fixture(
+        """SELECT CAST(count(*) AS BIGINT) AS n_files, CAST(count(md5) AS BIGINT) AS n_saved,
+                  CAST(count(*) - count(md5) AS BIGINT) AS n_without_digest,
+                  (SELECT CAST(count(*) AS BIGINT) FROM finished h JOIN previous p
+                     ON h.path = p.path AND h.size = p.size AND h.mtime_us = p.mtime_us
+                   WHERE h.md5 <> p.md5) AS n_mismatches,
+                  (SELECT CAST(count(*) AS BIGINT) FROM (
+                     SELECT md5 FROM finished WHERE md5 IS NOT NULL GROUP BY device, md5
+                     HAVING count(DISTINCT identity) > 1)) AS n_duplicate_groups
+           FROM finished""",
+        NO_DIGESTS + finished("fresh", SHARES_SIZE),
+    ),
     "run_summary": with_fixture(
         """SELECT CAST(count(*) AS BIGINT) AS n_files, CAST(count(md5) AS BIGINT) AS n_saved,
                   CAST(count(*) - count(md5) AS BIGINT) AS n_without_digest,
@@ -366,6 +448,24 @@ ORACLE = {
         manifest_of("finished"), finished("synced", SHARES_SIZE)
     ),
     "job_dedupe": with_fixture(PLAN, finished("synced", "true") + elected("finished", "max_links")),
+    "job_two_runs": with_fixture(
+        manifest_of("twice"), finished("synced", "true") + SECOND_RUN
+    ),
+    "job_dedupe_modal": with_fixture(
+        PLAN, finished("synced", "true") + elected("finished", "modal_inode")
+    ),
+    "job_dedupe_first_seen": with_fixture(
+        PLAN, finished("synced", "true") + elected("finished", "first_seen")
+    ),
+    "job_dedupe_skip_unique": with_fixture(
+        PLAN, finished("synced", SHARES_SIZE) + elected("finished", "max_links")
+    ),
+    "job_purge": with_fixture(
+        manifest_of(f"({FIRST_OF_LISTED})"), finished("synced", "true")
+    ),
+    "purge_dry_run": with_fixture(
+        TOTALS + f"({FIRST_OF_LISTED})", finished("synced", "true")
+    ),
     "store_refs": REFS,
     "store_blobs": """SELECT md5(text) AS md5, CAST(strlen(text) AS BIGINT) AS size,
                              text AS payload FROM documents GROUP BY text""",
@@ -378,4 +478,13 @@ FROM (SELECT {DOCUMENT_PATH} AS path, md5(text) AS md5, CAST(strlen(text) AS BIG
              min({DOCUMENT_PATH}) OVER (PARTITION BY md5(text)) AS canonical_path
       FROM documents)
 WHERE path <> canonical_path""",
+    "stream_link_plan_batches": with_fixture(
+        """SELECT md5, path, inode, canonical_path, canonical_inode, size FROM (
+             SELECT *, first_value(path) OVER w AS canonical_path,
+                    first_value(inode) OVER w AS canonical_inode,
+                    first_value(identity) OVER w AS canonical_identity
+             FROM hashed WINDOW w AS (PARTITION BY device, md5 ORDER BY doc_id % 4, path
+               ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
+           WHERE identity <> canonical_identity"""
+    ),
 }

@@ -17,7 +17,15 @@ from twinsieve.operators import (
     reuse,
     store,
 )
-from twinsieve.plans import dedupe_job, hash_dry_run, hash_job, merge_previous
+from twinsieve.plans import (
+    dedupe_job,
+    hash_dry_run,
+    hash_job,
+    job_dry_run,
+    merge_previous,
+    purge_dry_run,
+    purge_job,
+)
 from twinsieve.sources import (
     inventory_of,
     manifest_from_inventory,
@@ -31,10 +39,13 @@ from twinsieve.sources import (
 from twinsieve.streaming import first_seen, planned_links, save_stream, start_link_stream
 from twinsieve.workspace import new_path, stage
 from workload.fixture import (
+    STEP_US,
+    contradicting,
     document_path,
     document_payloads,
     fixture,
     on_two_devices,
+    on_unknown_device,
     table,
 )
 
@@ -218,7 +229,7 @@ def run_summary(spark, sf_dir):
 
 
 def report_display(spark, sf_dir):
-    """Readable totals of each root and of every single row's size."""
+    """Readable totals of each root, as they are and a million times as large."""
     per_root = (
         fixture(spark, sf_dir)
         .manifest.groupBy("root")
@@ -253,14 +264,63 @@ def job_hash(spark, sf_dir, *, refresh=False, skip_unique_sizes=False):
     )
 
 
-def job_dedupe(spark, sf_dir, policy="max_links"):
+def job_dedupe(spark, sf_dir, policy="max_links", **options):
     f = fixture(spark, sf_dir)
     _, plan = dedupe_job(
-        f.manifest, f.previous, digest_documents(spark, sf_dir), policy=policy, one_device=True
+        f.manifest,
+        f.previous,
+        digest_documents(spark, sf_dir),
+        policy=policy,
+        one_device=True,
+        **options,
     )
     return plan
 
 
+def job_two_runs(spark, sf_dir):
+    """A run, its snapshot, and a second run after a quarter of the rows was touched."""
+    first = job_hash(spark, sf_dir)
+    saved = read_snapshot(spark, write_snapshot(first, new_path(spark, "snapshots"), "1"))
+    touched = (F.col("mtime_us") / STEP_US % 4 == 1).cast("long")
+    now = fixture(spark, sf_dir).manifest.withColumn("mtime_us", F.col("mtime_us") + touched)
+    return hash_job(stage(now, "touched"), saved, digest_documents(spark, sf_dir))
+
+
+def on_purge_job(job):
+    """A whole run, then the first path of each object whose digest the snapshot has."""
+
+    def run(spark, sf_dir):
+        hashed = stage(job_hash(spark, sf_dir), "hashed")
+        return job(hashed, fixture(spark, sf_dir).previous, first_of_inode=True)
+
+    return run
+
+
+def dry_run_job(spark, sf_dir, **options):
+    f = fixture(spark, sf_dir)
+    return job_dry_run(f.manifest, f.previous, **options)
+
+
+def run_summary_skipped(spark, sf_dir):
+    hashed = job_hash(spark, sf_dir, refresh=True, skip_unique_sizes=True)
+    return reports.run_summary(stage(hashed, "hashed"), fixture(spark, sf_dir).previous)
+
+
+def on_contradicting(operator):
+    def run(spark, sf_dir):
+        f = fixture(spark, sf_dir)
+        return operator(f.manifest, contradicting(f.previous))
+
+    return run
+
+
+def link_plan_unknown_device(policy):
+    def run(spark, sf_dir):
+        return linking.link_plan(on_unknown_device(fixture(spark, sf_dir).hashed), policy)
+
+    return run
+
+
 def dry_run(spark, sf_dir):
     f = fixture(spark, sf_dir)
     return hash_dry_run(f.manifest, f.previous)
@@ -310,6 +370,18 @@ def stream_link_plan(spark, sf_dir):
     return planned_links(spark, base)
 
 
+def stream_link_plan_batches(spark, sf_dir):
+    """The manifest arrives in four parts; each finds what was elected before."""
+    base, arrivals = new_path(spark, "link-stream"), new_path(spark, "link-arrivals")
+    rows = fixture(spark, sf_dir).hashed
+    for part in range(4):
+        arriving = rows.filter(F.col("mtime_us") / STEP_US % 4 == part)
+        arriving.write.mode("append").parquet(arrivals)
+        stream = spark.readStream.schema(rows.schema).parquet(arrivals)
+        start_link_stream(stream, base, every=None).awaitTermination()
+    return planned_links(spark, base)
+
+
 QUERIES = {
     # sources and sinks
     "manifest_build": manifest_build,
@@ -332,6 +404,9 @@ QUERIES = {
     "reuse_digests": merged,
     "reuse_by_path": reuse_by_path,
     "snapshot_changes": snapshot_changes,
+    "reuse_digests_contradicting": on_contradicting(reuse.reuse_digests),
+    "reuse_by_path_contradicting": on_contradicting(reuse.reuse_by_path),
+    "snapshot_changes_contradicting": on_contradicting(reuse.snapshot_changes),
     # reconciliation within physical objects
     "inode_profile": on_merged(reconcile.inode_profile),
     "inode_flags": on_merged(reconcile.inode_flags),
@@ -358,6 +433,9 @@ QUERIES = {
     "link_plan_modal_inode": link_plan("modal_inode"),
     "link_plan_first_seen": link_plan("first_seen"),
     "link_plan_two_devices": link_plan_two_devices,
+    "link_plan_unknown_device_max_links": link_plan_unknown_device("max_links"),
+    "link_plan_unknown_device_modal_inode": link_plan_unknown_device("modal_inode"),
+    "link_plan_unknown_device_first_seen": link_plan_unknown_device("first_seen"),
     "apply_link_plan": apply_link_plan,
     "purge_candidates": on_purge(purge.purge_candidates),
     "purge_survivors": on_purge(purge.purge_survivors),
@@ -368,13 +446,26 @@ QUERIES = {
     "device_guard": device_guard,
     "savings": on_hashed(reports.savings),
     "digest_size_check": on_hashed(reports.digest_size_check),
+    "digest_size_check_previous": lambda spark, sf_dir: reports.digest_size_check(
+        fixture(spark, sf_dir).previous
+    ),
+    "savings_sure": on_hashed(reports.sure_savings),
+    "dry_run_job": dry_run_job,
+    "dry_run_job_skip_unique": partial(dry_run_job, skip_unique_sizes=True),
     "run_summary": run_summary,
+    "run_summary_skipped": run_summary_skipped,
     "report_display": report_display,
     # jobs
     "job_hash": job_hash,
     "job_hash_refresh": partial(job_hash, refresh=True),
     "job_hash_skip_unique": partial(job_hash, skip_unique_sizes=True),
+    "job_two_runs": job_two_runs,
     "job_dedupe": job_dedupe,
+    "job_dedupe_modal": partial(job_dedupe, policy="modal_inode"),
+    "job_dedupe_first_seen": partial(job_dedupe, policy="first_seen"),
+    "job_dedupe_skip_unique": partial(job_dedupe, skip_unique_sizes=True),
+    "job_purge": on_purge_job(purge_job),
+    "purge_dry_run": on_purge_job(purge_dry_run),
     # content store
     "store_refs": refs_of_documents,
     "store_blobs": store_blobs,
@@ -382,4 +473,5 @@ QUERIES = {
     # streaming
     "stream_first_seen": stream_first_seen,
     "stream_link_plan": stream_link_plan,
+    "stream_link_plan_batches": stream_link_plan_batches,
 }
