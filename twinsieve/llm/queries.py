@@ -10,10 +10,13 @@ from twinsieve.llm.license_scan import license_scan, usual_licenses
 from twinsieve.llm.lm_scoring import lm_scores
 from twinsieve.llm.mixing import mix_sources, word_count
 from twinsieve.llm.near_dups import near_duplicates
+from twinsieve.llm.prefix_trie import as_paths, conversations, prefix_trie, rebuilt
 from twinsieve.llm.quality_classifier import ACCEPT_AT, fit_classifier, quality_score
 from twinsieve.llm.quality_rules import quality_rules
 from twinsieve.llm.secret_scan import RULES, secret_spans, spans_text
 from twinsieve.llm.sharding import shuffled_shards
+from twinsieve.llm.spelling_variants import document_words, spelling_variants
+from twinsieve.llm.suffix_dedup import remove_repeats
 from twinsieve.llm.token_counts import token_counts
 
 TOKEN_LIMIT = 4096
@@ -162,6 +165,26 @@ def lm(spark, sf_dir):
     )
 
 
+def repeats(spark, sf_dir):
+    found = remove_repeats(documents(spark, sf_dir))
+    return found.select(
+        F.col("_id").alias("doc_id"),
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
+def variants(spark, sf_dir):
+    return spelling_variants(document_words(documents(spark, sf_dir)))
+
+
+def trie(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return prefix_trie(as_paths(rebuilt(conversations(turns))))
+
+
 QUERIES = {
     "op1_secret_scan": secrets,
     "op2_shards": shards,
@@ -173,6 +196,9 @@ QUERIES = {
     "op8_token_counts": tokens,
     "op9_license_scan": licenses,
     "op10_lm_scores": lm,
+    "op11_suffix_dedup": repeats,
+    "op12_spelling_variants": variants,
+    "op13_prefix_trie": trie,
 }
 ORACLE = {
     "op1_secret_scan": oracle.SECRETS,
