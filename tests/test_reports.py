@@ -1,8 +1,9 @@
 import pytest
 
-from tests.helpers import manifest, snapshot
+from tests.helpers import bag, manifest, snapshot
 from twinsieve.operators import reports
 from twinsieve.schema import MANIFEST
+from twinsieve.workspace import stage
 
 
 def scan(spark):
@@ -76,3 +77,18 @@ def test_only_objects_with_all_links_planned_are_surely_freed(spark):
     assert only(reports.sure_savings(rows)) == (3, 1, 9)
     assert only(reports.savings(rows)) == (1, 3, 27)
     assert only(reports.sure_savings(spark.createDataFrame([], MANIFEST))) == (0, 0, 0)
+
+
+def test_a_summary_observed_while_the_run_writes(spark):
+    rows = manifest(
+        spark,
+        {"path": "a", "inode": 1, "md5": "x"},
+        {"path": "b", "inode": 2, "md5": "x"},
+        {"path": "c", "inode": 3, "md5": "new"},
+        {"path": "d", "inode": 4},
+    )
+    old = snapshot(spark, {"path": "c", "md5": "old"}, {"path": "a", "md5": "x"}, {"path": "d", "md5": "q"})
+    to_write, counts = reports.observed(rows, old)
+    written = stage(to_write, "observed")
+    assert bag(written) == bag(rows)
+    assert reports.observed_summary(written, counts).collect() == reports.run_summary(rows, old).collect()

@@ -3,6 +3,7 @@ import pytest
 from tests.helpers import bag, column, manifest, same_rows, snapshot
 from twinsieve.operators import reuse
 from twinsieve.schema import SNAPSHOT
+from twinsieve.sources import store_bucketed
 
 
 @pytest.fixture
@@ -123,3 +124,32 @@ def test_bucketed_tables_are_compared_without_a_shuffle(spark, scan, old):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.sql("DROP TABLE IF EXISTS bucketed_scan")
         spark.sql("DROP TABLE IF EXISTS bucketed_old")
+
+
+def test_bucketed_tables_are_compared_without_exchange(spark):
+    rows = manifest(
+        spark,
+        {"path": "same", "size": 3, "mtime_us": 1},
+        {"path": "resized", "size": 4, "mtime_us": 1},
+        {"path": "touched", "size": 3, "mtime_us": 2},
+        {"path": "has one", "size": 3, "mtime_us": 1, "md5": "own"},
+        {"path": "contradicted", "size": 3, "mtime_us": 1},
+        {"path": "twice", "size": 3, "mtime_us": 1},
+        {"path": "new", "size": 3, "mtime_us": 1},
+    )
+    names = ["same", "resized", "touched", "has one", "twice", "twice", "gone"]
+    old = [{"path": p, "size": 3, "mtime_us": 1, "md5": "old"} for p in names]
+    old += [{"path": "contradicted", "size": 3, "mtime_us": 1, "md5": m} for m in ("x", "y")]
+    old += [{"path": "same", "size": 9, "mtime_us": 1, "md5": "other size"}, {"path": "new", "size": 3, "mtime_us": 1}]
+    old = snapshot(spark, *old)
+    for df, name in ((rows, "now_by_path"), (old, "old_by_path")):
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        store_bucketed(df, name, 4)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = reuse.reuse_bucketed(spark.table("now_by_path"), spark.table("old_by_path"))
+        assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+        assert bag(got) == bag(reuse.reuse_digests(rows, old))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)

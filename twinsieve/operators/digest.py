@@ -7,15 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from twinsieve.functions import byte_size, content_digest
+from twinsieve.operators.balance import BIN_BYTES, balanced
 from twinsieve.operators.groups import is_short, join_groups
+from twinsieve.operators.members import likely_members
 from twinsieve.operators.reconcile import with_identity
 
 # Up to this many pending paths are broadcast to the table that holds the payloads.
 BROADCAST_ROWS = 50_000
 
-# File content one task is to read.
-BYTES_PER_TASK = 256 * 1024 * 1024
-
 
 def digest_table(table: DataFrame, payload: str) -> DataFrame:
     """path, md5 and size of every row: one pass over the payloads, no shuffle."""
@@ -26,16 +25,17 @@ def digest_rows(pending: DataFrame, table: DataFrame, payload: str) -> DataFrame
     """The `pending` rows with their md5, from the table that has their payload.
 
     `pending` should be a stored table: its length is looked at first. A short list
-    goes to the payloads by broadcast and only its rows are digested. Otherwise every
-    payload is digested where it is read, and only path and digest are shuffled.
-    Payloads never are.
+    goes to the payloads by broadcast and only its rows are digested. A longer one goes
+    there as a bitmap of its paths, so that few other payloads are digested, and only
+    path and digest are shuffled. Payloads never are.
     """
     wanted = pending.drop("md5")
     if is_short(wanted, BROADCAST_ROWS):
         hits = table.select("path", F.col(payload).alias("_payload"))
         hits = hits.join(F.broadcast(wanted), "path")
         return hits.select(*wanted.columns, content_digest("_payload").alias("md5"))
-    digests = digest_table(table, payload).select("path", "md5")
+    near = likely_members(table.select("path", F.col(payload).alias("_payload")), wanted, "path")
+    digests = digest_table(near, "_payload").select("path", "md5")
     return wanted.join(digests, "path")
 
 
@@ -54,20 +54,16 @@ def _digest_files(batches):
         yield batch.assign(md5=batch["path"].map(digest).astype(object))
 
 
-def digest_files(pending: DataFrame, tasks: int | None = None) -> DataFrame:
+def digest_files(pending: DataFrame, bytes_per_task: int = BIN_BYTES) -> DataFrame:
     """The `pending` rows with the md5 of the file each path names, on a file system
     that all executors mount.
 
-    Files are read through a small buffer, whatever their size. The number of tasks
-    follows the bytes to read, not the few bytes of the path list.
+    Files are read through a small buffer, whatever their size. Tasks have about equal
+    bytes to read, and one larger file at most. `pending` should be a stored table.
     """
-    if tasks is None:
-        total = pending.agg(F.sum("size")).first()[0] or 0
-        least = pending.sparkSession.sparkContext.defaultParallelism
-        tasks = max(least, total // BYTES_PER_TASK + 1)
     wanted = pending.drop("md5")
     schema = T.StructType([*wanted.schema.fields, T.StructField("md5", T.StringType())])
-    return wanted.repartition(int(tasks), "path").mapInPandas(_digest_files, schema)
+    return balanced(wanted, bytes_per_task).select(*wanted.columns).mapInPandas(_digest_files, schema)
 
 
 def digest_binary_files(spark, roots: list[str]) -> DataFrame:

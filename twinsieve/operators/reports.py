@@ -1,13 +1,13 @@
 """Counts and sums. All are integers; `display` turns them into text."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from twinsieve.functions import display_bytes, display_count
 from twinsieve.operators.canonical import CONTENT, duplicate_groups, with_canonical
 from twinsieve.operators.pending import without_digest
 from twinsieve.operators.reconcile import with_identity
-from twinsieve.operators.reuse import digest_mismatches
+from twinsieve.operators.reuse import FINGERPRINT, digest_mismatches, old_digests
 
 
 def scan_totals(manifest: DataFrame) -> DataFrame:
@@ -96,6 +96,33 @@ def run_summary(manifest: DataFrame, previous: DataFrame) -> DataFrame:
     )
 
 
+def observed(manifest: DataFrame, previous: DataFrame) -> tuple[DataFrame, Observation]:
+    """The manifest, to be written by the run itself, and the counts its write will show.
+
+    Rows, saved rows, rows without digest and mismatches are counted in that one pass;
+    `observed_summary` takes them from there.
+    """
+    hashed = F.col("md5").isNotNull()
+    counts = Observation()
+    compared = manifest.join(old_digests(previous), FINGERPRINT, "left")
+    compared = compared.observe(
+        counts,
+        F.count("*").alias("n_files"),
+        F.count_if(hashed).alias("n_saved"),
+        F.count_if(~hashed).alias("n_without_digest"),
+        F.count_if(F.col("md5") != F.col("old_md5")).alias("n_mismatches"),
+    )
+    return compared.select(*manifest.columns), counts
+
+
+def observed_summary(written: DataFrame, counts: Observation) -> DataFrame:
+    """`run_summary` of what `observed` gave and has been written since."""
+    seen = counts.get
+    names = ("n_files", "n_saved", "n_without_digest", "n_mismatches")
+    groups = duplicate_groups(written).agg(F.count("*").alias("n_duplicate_groups"))
+    return groups.select(*[F.lit(seen[c]).cast("long").alias(c) for c in names], "n_duplicate_groups")
+
+
 def display(totals: DataFrame) -> DataFrame:
     """`scan_totals` (or `dry_run`) with readable text next to the numbers."""
     return totals.select(

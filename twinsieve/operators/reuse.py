@@ -29,6 +29,21 @@ def reuse_digests(manifest: DataFrame, previous: DataFrame) -> DataFrame:
     return merged.withColumn("md5", F.coalesce("md5", "old_md5")).select(*manifest.columns)
 
 
+def reuse_bucketed(manifest: DataFrame, previous: DataFrame) -> DataFrame:
+    """As `reuse_digests`, for tables that are bucketed by path alike (`store_bucketed`).
+
+    The snapshot becomes one row per path, with all its fingerprints, and tables meet by
+    path only, so that nothing is exchanged. Elsewhere `reuse_digests` shuffles less.
+    """
+    known = previous.filter(F.col("md5").isNotNull()).groupBy("path")
+    known = known.agg(F.collect_list(F.struct("size", "mtime_us", "md5")).alias("old"))
+    merged = manifest.join(known, "path", "left")
+    is_same = lambda x: (x["size"] == F.col("size")) & (x["mtime_us"] == F.col("mtime_us"))
+    found = F.transform(F.filter("old", is_same), lambda x: x["md5"])
+    old = F.when(F.array_min(found) == F.array_max(found), F.array_min(found))
+    return merged.withColumn("md5", F.coalesce("md5", old)).select(*manifest.columns)
+
+
 def old_by_path(previous: DataFrame) -> DataFrame:
     """Per path of a snapshot, its fingerprints, each with the one digest it is trusted
     for, or null. There are as many as roots that overlap there."""

@@ -2,8 +2,9 @@
 
 A job returns DataFrames and changes nothing it was given. Manifests should be
 stored tables, since a job reads them more than once. The `digest` argument takes
-pending rows (path, size, identity, n) and returns them with md5; `digest_rows` and
-`digest_files` in `operators.digest` are ready-made ones.
+pending rows (path, size, mtime_us, identity, n) and returns them with md5; `digest_rows` and
+`digest_files` in `operators.digest` are ready-made ones, and `streaming.digest_resumed`
+makes one of them go on after a lost run.
 """
 
 from collections.abc import Callable
@@ -61,7 +62,7 @@ def hash_job(
     if previous is not None:
         merged = stage(merged, "merged")
     waiting = pending_rows(merged, skip_unique_sizes)
-    waiting = stage(waiting.select("path", "size", "identity", "n"), "pending")
+    waiting = stage(waiting.select("path", "size", "mtime_us", "identity", "n"), "pending")
     found = stage(digest(waiting).filter(F.col("md5").isNotNull()), "digests")
     return apply_inode_digests(merged, found)
 

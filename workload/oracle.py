@@ -488,3 +488,30 @@ WHERE path <> canonical_path""",
            WHERE identity <> canonical_identity"""
     ),
 }
+
+ORACLE["reuse_digests_bucketed"] = ORACLE["reuse_digests"]
+ORACLE["job_hash_resumed"] = ORACLE["job_hash"]
+ORACLE["run_summary_observed"] = ORACLE["run_summary"]
+ORACLE["stream_link_plan_keyed"] = ORACLE["stream_link_plan_batches"]
+ORACLE["digest_bins"] = with_fixture(
+    """SELECT path, 2 * (start // 20000) + CASE WHEN size + 100 > 20000 THEN 1 ELSE 0 END AS bin,
+              size AS bytes
+       FROM (SELECT path, size,
+                    CAST(coalesce(sum(size + 100) OVER (
+                      ORDER BY size, substr(md5(path), 1, 4), path
+                      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
+             FROM synced WHERE md5 IS NULL)"""
+)
+REFCOUNTS = """
+SELECT md5, CAST(count(*) FILTER (is_new) AS BIGINT) AS n_refs FROM (
+  SELECT md5, false AS is_new FROM previous WHERE md5 IS NOT NULL
+  UNION ALL SELECT md5, true FROM hashed WHERE md5 IS NOT NULL) GROUP BY md5"""
+ORACLE["store_refcounts"] = with_fixture(REFCOUNTS)
+ORACLE["store_garbage"] = with_fixture(f"SELECT md5 FROM ({REFCOUNTS}) WHERE n_refs = 0")
+ORACLE["store_upsert"] = """
+SELECT md5(text) AS md5, CAST(strlen(text) AS BIGINT) AS size, text AS payload
+FROM documents WHERE doc_id % 7 <> 0 AND text IS NOT NULL GROUP BY text"""
+ORACLE["stream_first_seen_within"] = with_fixture(
+    """SELECT DISTINCT md5, minute FROM hashed, (VALUES (0), (60)) t (minute) WHERE md5 IS NOT NULL
+       UNION ALL SELECT 'marker', 59"""
+)

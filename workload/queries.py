@@ -1,12 +1,15 @@
 """The queries of the workload: name -> (spark, sf_dir) -> DataFrame."""
 
+import uuid
 from functools import partial
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinsieve.functions import snapshot_name
 from twinsieve.operators import (
+    balance,
     canonical,
     digest,
     linking,
@@ -33,10 +36,18 @@ from twinsieve.sources import (
     next_snapshot,
     read_snapshot,
     regular_files,
+    store_bucketed,
     union_roots,
     write_snapshot,
 )
-from twinsieve.streaming import first_seen, planned_links, save_stream, start_link_stream
+from twinsieve.streaming import (
+    digest_resumed,
+    first_seen,
+    planned_links,
+    save_stream,
+    start_keyed_link_stream,
+    start_link_stream,
+)
 from twinsieve.workspace import new_path, stage
 from workload.fixture import (
     STEP_US,
@@ -130,6 +141,16 @@ def snapshot_names(spark, sf_dir):
 # ------------------------------------------------------------- filters and joins
 
 
+def bucketed(df, buckets=4):
+    """As a table bucketed by path, with a name of its own."""
+    return store_bucketed(df, f"by_path_{uuid.uuid4().hex}", buckets)
+
+
+def reuse_digests_bucketed(spark, sf_dir):
+    f = fixture(spark, sf_dir)
+    return reuse.reuse_bucketed(bucketed(f.manifest), bucketed(f.previous))
+
+
 def reuse_by_path(spark, sf_dir):
     f = fixture(spark, sf_dir)
     return reuse.reuse_by_path(f.manifest, f.previous)
@@ -264,6 +285,50 @@ def job_hash(spark, sf_dir, *, refresh=False, skip_unique_sizes=False):
     )
 
 
+class Lost(Exception):
+    """Stands for the loss of the driver."""
+
+
+# Small, so that the fixture makes several slices.
+SLICE_BYTES = 8 << 20
+
+
+def job_hash_resumed(spark, sf_dir):
+    """A run that is lost after its first slice, and the same run started again."""
+    f, folder, digest_them = fixture(spark, sf_dir), new_path(spark, "digest-log"), digest_documents(spark, sf_dir)
+    done = []
+
+    def lost_after_one(rows):
+        if done:
+            raise Lost
+        done.append(1)
+        return digest_them(rows)
+
+    def job(one_by_one):
+        way = partial(digest_resumed, folder=folder, digest=one_by_one, slice_bytes=SLICE_BYTES, slices=2)
+        return hash_job(f.manifest, f.previous, way)
+
+    try:
+        return job(lost_after_one)
+    except StreamingQueryException:
+        return job(digest_them)
+
+
+def pending_bins(spark, sf_dir):
+    rows = stage(pending.without_digest(synced(spark, sf_dir)), "pending")
+    return balance.digest_bins(rows, BIN_BYTES, OBJECT_COST)
+
+
+# Of the fixture's scale: some documents are larger than half of a bin.
+BIN_BYTES, OBJECT_COST = 40_000, 100
+
+
+def run_summary_observed(spark, sf_dir):
+    f = fixture(spark, sf_dir)
+    to_write, counts = reports.observed(f.hashed, f.previous)
+    return reports.observed_summary(stage(to_write, "hashed"), counts)
+
+
 def job_dedupe(spark, sf_dir, policy="max_links", **options):
     f = fixture(spark, sf_dir)
     _, plan = dedupe_job(
@@ -347,6 +412,33 @@ def store_restore(spark, sf_dir):
     return store.store_restore(refs, blobs)
 
 
+def references(spark, sf_dir):
+    """Counts of the store as the previous snapshot left it, and what changed since."""
+    f = fixture(spark, sf_dir)
+    old = f.previous.filter("md5 is not null").select("path", "md5")
+    counts = old.groupBy("md5").agg(F.count("*").alias("n_refs"))
+    return counts, store.ref_changes(old, f.hashed.select("path", "md5"))
+
+
+def store_refcounts(spark, sf_dir):
+    return store.apply_ref_changes(*references(spark, sf_dir))
+
+
+def store_upsert(spark, sf_dir):
+    """A store of most documents, brought up to date with another selection of them."""
+    docs = table(spark, sf_dir, "documents")
+    path = document_path().alias("path")
+    before = docs.filter("doc_id % 5 <> 0").select(path, "text")
+    after = docs.filter("doc_id % 7 <> 0").select(path, "text")
+    old, new = (stage(store.store_refs(rows, "text"), "refs") for rows in (before, after))
+    blobs = stage(store.store_blobs(before, "text", stage(store.redundant_paths(old), "redundant")), "blobs")
+    counts = stage(old.filter("md5 is not null").groupBy("md5").agg(F.count("*").alias("n_refs")), "counts")
+    changes = stage(store.ref_changes(old, new), "changes")
+    paths = stage(store.new_blob_paths(new, counts, changes), "new-blobs")
+    unused = store.garbage(store.apply_ref_changes(counts, changes))
+    return store.upserted(blobs, store.new_blobs(after, "text", paths), unused)
+
+
 # --------------------------------------------------------------------- streaming
 
 
@@ -370,7 +462,7 @@ def stream_link_plan(spark, sf_dir):
     return planned_links(spark, base)
 
 
-def stream_link_plan_batches(spark, sf_dir):
+def stream_link_plan_batches(spark, sf_dir, start=start_link_stream):
     """The manifest arrives in four parts; each finds what was elected before."""
     base, arrivals = new_path(spark, "link-stream"), new_path(spark, "link-arrivals")
     rows = fixture(spark, sf_dir).hashed
@@ -378,10 +470,29 @@ def stream_link_plan_batches(spark, sf_dir):
         arriving = rows.filter(F.col("mtime_us") / STEP_US % 4 == part)
         arriving.write.mode("append").parquet(arrivals)
         stream = spark.readStream.schema(rows.schema).parquet(arrivals)
-        start_link_stream(stream, base, every=None).awaitTermination()
+        start(stream, base, every=None).awaitTermination()
     return planned_links(spark, base)
 
 
+WITHIN = "10 minutes"
+
+
+def stream_first_seen_within(spark, sf_dir):
+    """All digests at once, again after 5 minutes and again after an hour, when the
+    bound of 10 minutes has let the first ones go."""
+    source, out = new_path(spark, "timed"), new_path(spark, "first-within")
+    checkpoint = new_path(spark, "first-within-checkpoint")
+    digests = fixture(spark, sf_dir).hashed.select("md5")
+    marker = digests.limit(1).withColumn("md5", F.lit("marker"))
+    for minute, rows in ((0, digests), (5, digests), (59, marker), (60, digests)):
+        seen = F.timestamp_seconds(F.lit(1704067200 + 60 * minute))
+        rows.select("md5", seen.alias("seen"), F.lit(minute).alias("minute")).write.mode("append").parquet(source)
+        stream = spark.readStream.schema("md5 string, seen timestamp, minute int").parquet(source)
+        stream = first_seen(stream, event_time="seen", within=WITHIN).select("md5", "minute")
+        save_stream(stream, out, checkpoint, every=None).awaitTermination()
+    return spark.read.parquet(out)
+
+
 QUERIES = {
     # sources and sinks
     "manifest_build": manifest_build,
@@ -402,6 +513,7 @@ QUERIES = {
     "content_digest": content_digest,
     # snapshot reuse
     "reuse_digests": merged,
+    "reuse_digests_bucketed": reuse_digests_bucketed,
     "reuse_by_path": reuse_by_path,
     "snapshot_changes": snapshot_changes,
     "reuse_digests_contradicting": on_contradicting(reuse.reuse_digests),
@@ -423,6 +535,7 @@ QUERIES = {
     ),
     "pending_one_per_inode": on_synced(lambda m: pending.one_per_inode(pending.without_digest(m))),
     "apply_digests": apply_digests,
+    "digest_bins": pending_bins,
     # groups, canonical members, plans
     "dup_groups": on_hashed(canonical.duplicate_groups),
     "dup_rows": on_hashed(canonical.duplicate_rows),
@@ -454,11 +567,13 @@ QUERIES = {
     "dry_run_job_skip_unique": partial(dry_run_job, skip_unique_sizes=True),
     "run_summary": run_summary,
     "run_summary_skipped": run_summary_skipped,
+    "run_summary_observed": run_summary_observed,
     "report_display": report_display,
     # jobs
     "job_hash": job_hash,
     "job_hash_refresh": partial(job_hash, refresh=True),
     "job_hash_skip_unique": partial(job_hash, skip_unique_sizes=True),
+    "job_hash_resumed": job_hash_resumed,
     "job_two_runs": job_two_runs,
     "job_dedupe": job_dedupe,
     "job_dedupe_modal": partial(job_dedupe, policy="modal_inode"),
@@ -470,8 +585,13 @@ QUERIES = {
     "store_refs": refs_of_documents,
     "store_blobs": store_blobs,
     "store_restore": store_restore,
+    "store_refcounts": store_refcounts,
+    "store_garbage": lambda spark, sf_dir: store.garbage(store_refcounts(spark, sf_dir)),
+    "store_upsert": store_upsert,
     # streaming
     "stream_first_seen": stream_first_seen,
+    "stream_first_seen_within": stream_first_seen_within,
     "stream_link_plan": stream_link_plan,
     "stream_link_plan_batches": stream_link_plan_batches,
+    "stream_link_plan_keyed": partial(stream_link_plan_batches, start=start_keyed_link_stream),
 }
