@@ -26,13 +26,22 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.folder, self.tables = spark, new_path(spark, label), 0
+        self.kept: list[tuple[DataFrame, str]] = []
 
     def __enter__(self) -> "Scratch":
         return self
 
     def stored(self, df: DataFrame, label: str) -> DataFrame:
         self.tables += 1
-        return stored(df, f"{self.tables}-{label}", self.folder)
+        table = stored(df, f"{self.tables}-{label}", self.folder)
+        self.kept.append((table, f"{self.folder}/{self.tables}-{label}"))
+        return table
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables that no frame reads any more before the end of the block."""
+        for table, path in [k for k in self.kept if any(k[0] is t for t in tables)]:
+            remove_path(self.spark, path)
+            self.kept = [k for k in self.kept if k[0] is not table]
 
     def __exit__(self, *_) -> None:
         remove_path(self.spark, self.folder)

@@ -15,8 +15,9 @@ Two documents are linked if intersection / union reaches `percent` / 100.
    nodes, a node meets the one with most bands in common before those it is then still
    apart from. Nodes that links join need no further look at each other.
 5. What is left are pairs of a bucket in different components. They are verified in
-   blocks of bounded size, which emit links only. No link between components is lost,
-   and no list of all pairs is made.
+   blocks of bounded size, which emit links only. Buckets with the same first node that
+   fit into one block together are one group there, as they share most of their nodes. No
+   link between components is lost, and no list of all pairs is made.
 
 All verifications use complete sets of 64-bit shingle hashes.
 """
@@ -30,6 +31,7 @@ from pyspark.sql import functions as F
 
 from twinsieve.llm.columns import Scratch, keyed, likely_rows, listed_rows, stored
 from twinsieve.llm.textbatch import Texts, distinct_by_text, mix, row_chunks, seeded, sums_by
+from twinsieve.operators.groups import join_groups
 
 ROWS, BANDS = 6, 48
 COORDINATES = ROWS * BANDS
@@ -265,8 +267,11 @@ def near_duplicates(
     first = F.struct(F.col("_id").isNull().alias("_late"), "_id", "_fp")
     nodes = nodes.agg(F.min(first).alias("_first"), F.count("*").alias("_copies"))
     nodes = stored(nodes.join(roots, "_node", "left"), "near-nodes")
-    lowest = nodes.filter("_root is not null").groupBy("_root").agg(F.min("_first").alias("_lowest"))
-    classes = nodes.filter("_root is not null or _copies > 1").join(lowest, "_root", "left")
+    nodes = nodes.withColumn("_root", F.hex("_root"))
+    lowest = nodes.filter("_root is not null").groupBy("_root")
+    lowest = stored(lowest.agg(F.min("_first").alias("_lowest"), F.count("*").alias("n")), "near-lowest")
+    classes = nodes.filter("_root is not null or _copies > 1")
+    classes = join_groups(classes, lowest, ["_root"], spread_by="_node")
     classes = stored(
         classes.select("_node", F.coalesce("_lowest", "_first").alias("_class")), "near-classes"
     )
@@ -285,6 +290,7 @@ def _links(narrow: DataFrame, rows: DataFrame, words: int, percent: int, scratch
     one = rows.filter("_node is not null").groupBy("_node")
     one = one.agg(F.min(F.struct("_id", "_fp", "_n")).alias("_row"), F.any_value("_bands").alias("_bands"))
     one = stored(one, "one")
+    scratch.drop(rows)
     bands = one.select(F.explode("_bands").alias("_bucket"), "_node", F.col("_row._n").alias("_n"))
     # Most bands are alone in their bucket. They are shuffled as hash and count only.
     repeated = bands.groupBy("_bucket").count().filter("count > 1").select("_bucket")
@@ -300,9 +306,11 @@ def _links(narrow: DataFrame, rows: DataFrame, words: int, percent: int, scratch
     buckets = stored(buckets.agg(F.min("_bucket").alias("_bucket")), "buckets")
     members = likely_rows(shared, buckets, "_bucket").join(buckets.select("_bucket", "_pivot"), "_bucket")
     members = stored(members, "members")
+    scratch.drop(shared)
 
     wanted = members.select("_node").distinct().join(one.select("_node", "_row"), "_node")
     wanted = stored(wanted.select("_node", "_row._id", "_row._fp"), "wanted")
+    scratch.drop(one)
     chosen = listed_rows(narrow, wanted).select("_node", "_text")
     sets = stored(chosen.mapInArrow(_set_tables(words), "_node binary, _set array<long>"), "sets")
     if sets.count() > wanted.count():  # rows repeated with their key
@@ -345,7 +353,7 @@ def _links(narrow: DataFrame, rows: DataFrame, words: int, percent: int, scratch
     )
     main = labelled.filter("_node = _pivot").select("_bucket", F.col("_comp").alias("_main"))
     labelled = stored(labelled.join(main, "_bucket"), "labelled")
-    lefts = labelled.filter("_comp != _main and _node != _pivot").select("_bucket", "_node", "_n", "_comp")
+    lefts = labelled.filter("_comp != _main and _node != _pivot").select("_bucket", "_pivot", "_node", "_n", "_comp")
     # A bucket of two nodes has been settled by its first.
     sizes = lefts.groupBy("_bucket").agg(F.min("_n").alias("_least"), F.max("_n").alias("_most"))
     larger = labelled.groupBy("_bucket").agg(F.count("*").alias("_m")).filter("_m > 2")
@@ -353,6 +361,16 @@ def _links(narrow: DataFrame, rows: DataFrame, words: int, percent: int, scratch
     lefts = stored(lefts.join(open_buckets.select("_bucket"), "_bucket").drop("_n"), "lefts")
     # Nodes that are too small or too large for each left node of their bucket link with none.
     near = (F.col("_n") * 100 >= F.col("_least") * percent) & (F.col("_most") * 100 >= F.col("_n") * percent)
-    rights = labelled.join(open_buckets, "_bucket").filter(near).select("_bucket", "_node", "_comp")
+    rights = labelled.join(open_buckets, "_bucket").filter(near).select("_bucket", "_pivot", "_node", "_comp")
     rights = stored(rights, "rights")
+    # A node shares many buckets with each of its likes. Its set goes to a group once.
+    family = rights.select("_pivot", "_node").distinct().groupBy("_pivot").agg(F.count("*").alias("_nodes"))
+    family = stored(family.filter(F.col("_nodes") <= BLOCK).select("_pivot", F.lit(True).alias("_fits")), "families")
+
+    def grouped(side: DataFrame) -> DataFrame:
+        group = F.when(F.col("_fits"), F.xxhash64(F.lit("family"), "_pivot")).otherwise(F.col("_bucket"))
+        side = side.join(family, "_pivot", "left")
+        return side.select(group.alias("_bucket"), "_node", "_comp").distinct()
+
+    lefts, rights = stored(grouped(lefts), "left-groups"), stored(grouped(rights), "right-groups")
     return first.unionByName(_blocks(lefts, rights, sets, "_bucket", percent, scratch))
