@@ -19,7 +19,8 @@ each other travel together, and only those go that can have an equal:
    bytes at a time, where only ties go on to the next symbol. Equal windows lie side by side.
 5. An anchor with more than HOT_RUNS different runs is not gathered: its windows are
    suffixes of their own, split over buckets by window and key. Buckets then compare the
-   windows at their boundaries.
+   windows at their boundaries. Which anchors are is told by a bitmap, so a few others may
+   go the same way; both ways give the same.
 
 All comparisons are of the bytes themselves, but for equality of whole runs (128 bits).
 Windows never cross documents, long texts are read in slices, and no case is left out.
@@ -32,12 +33,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinsieve.llm.columns import Scratch, keyed, likely_rows, listed_rows, stored, unlisted_rows
+from twinsieve.llm.columns import Scratch, _filtered, keyed, likely_rows, same, stored, unlisted_rows
 from twinsieve.llm.textbatch import _byte_values, _power_tables, mix
 from twinsieve.operators.groups import join_groups
 
 LENGTH = 50
-GRAM = 16
+GRAM = 24
 GRAMS = LENGTH - GRAM + 1  # in a window
 RUN = 64  # windows of a run at most: one bit each
 SLICE = 1 << 20
@@ -45,6 +46,8 @@ SLICE = 1 << 20
 HOT_RUNS = 4096
 # Windows that are sorted at once, but for the rest of an anchor's.
 SORTED_AT_ONCE = 1 << 17
+# Runs that a task combines before it hands them on.
+COMBINED_ROWS = 1 << 17
 LAST = (1 << 63) - 1  # stands for a null key
 _U = np.uint64
 
@@ -167,6 +170,31 @@ def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[edge[0] : edge[-1]], edge - edge[0]
 
 
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Equal runs of a task's batches as one, with the smallest key: map-side combine."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+
+    def merged() -> pa.RecordBatch:
+        table = pa.Table.from_batches(held)
+        held.clear()
+        one, two, low = (np.asarray(table[c]) for c in ("_h1", "_h2", "_lo"))
+        order = np.lexsort((low, two, one))
+        a, b = one[order], two[order]
+        first = order[np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))]
+        return table.take(pa.array(first)).combine_chunks().to_batches()[0]
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.num_rows
+        if size > COMBINED_ROWS:
+            yield merged()
+            size = 0
+    if held:
+        yield merged()
+
+
 def _leading(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Add the leading bytes of the suffix at each run's anchor."""
     for batch in batches:
@@ -237,10 +265,21 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], key: str, most: int) -> Ite
         yield pa.Table.from_batches(held)
 
 
+def _smallest(table: pa.Table) -> pa.Table:
+    """Of equal runs, which different tasks may have handed on, the one with the smallest
+    key, in the order of the table."""
+    one, two, low = (np.asarray(table[c].chunk(0)) for c in ("_h1", "_h2", "_lo"))
+    order = np.lexsort((low, two, one))
+    a, b = one[order], two[order]
+    first = np.sort(order[np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))])
+    return table.take(pa.array(first)).combine_chunks() if len(first) < len(one) else table
+
+
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each run, which windows a smaller key has too; runs come sorted by `_lead`."""
     for table in _whole_groups(batches, "_lead", SORTED_AT_ONCE // 16):
         table = table.combine_chunks()
+        table = _smallest(table)
         raw, edge = _bytes_of(table["_bytes"].chunk(0))
         lead, ends = _bytes_of(table["_lead"].chunk(0))
         lead = lead.reshape(-1, GRAM).view(">u8")
@@ -347,31 +386,56 @@ def _hot_masks(hot: DataFrame) -> DataFrame:
 SPANS = "array<struct<start:long,end:long>>"
 
 
+# Bytes of texts that are cut at once, but for a longer text.
+CUT_BYTES = 4 << 20
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Take the flagged windows out of each text."""
+    """Take the flagged windows out of each text, or the whole text."""
+    done: list[tuple] = []
+    held = 0
+
+    def taken(batch: pa.RecordBatch, end: int) -> pa.RecordBatch:
+        nonlocal held
+        part = batch.slice(end - len(done), len(done))
+        sizes, kept, starts, ends = zip(*done)
+        edge = pa.array(np.concatenate(([0], np.cumsum([len(x) for x in starts]))).astype(np.int32))
+        values = [pa.array(np.concatenate(x).astype(np.int64)) for x in (starts, ends)]
+        spans = pa.ListArray.from_arrays(edge, pa.StructArray.from_arrays(values, ["start", "end"]))
+        done.clear()
+        held = 0
+        return pa.RecordBatch.from_arrays(
+            [part["_id"], part["_fp"], pa.array(sizes, pa.int64()), pa.array(kept, pa.binary()), spans],
+            ["_id", "_fp", "n_bytes", "kept", "removed"],
+        )
+
     for batch in batches:
+        texts = batch["_text"].cast(pa.large_binary()).fill_null(b"")
+        whole = batch["_later"].to_pylist()
         for i in range(batch.num_rows):
-            text = np.frombuffer(batch["_text"][i].as_py().encode(), np.uint8)
-            windows = batch["_windows"][i].values
-            start = np.asarray(windows.field("_start"))
-            size = np.asarray(windows.field("_n")).astype(np.int64)
-            bits = np.asarray(windows.field("_bits")).view(np.uint64)
-            at = np.repeat(start, size)
-            offset = np.arange(len(at)) - np.repeat(np.cumsum(size) - size, size)
-            hit = (np.repeat(bits, size) >> offset.astype(np.uint64)) & _U(1) != 0
-            at = np.unique((at + offset)[hit])
-            step = np.zeros(len(text) + 1, np.int64)
-            step[at] += 1
-            np.add.at(step, at + LENGTH, -1)
-            gone = np.cumsum(step[:-1]) > 0
-            turns = np.flatnonzero(np.diff(np.concatenate(([False], gone, [False])).astype(np.int8)))
-            spans = [{"start": int(a), "end": int(b)} for a, b in zip(turns[::2], turns[1::2])]
-            one = batch.slice(i, 1)
-            yield pa.RecordBatch.from_arrays(
-                [one["_id"], one["_fp"], pa.array([len(text)], pa.int64()), pa.array([text[~gone].tobytes()], pa.binary()),
-                 pa.array([spans], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
-                ["_id", "_fp", "n_bytes", "kept", "removed"],
-            )
+            raw = texts[i].as_py()
+            n = len(raw)
+            windows = batch["_windows"][i]
+            if whole[i] or not windows.is_valid:
+                spans = [(0, n)] if whole[i] else []
+                done.append((n, b"" if whole[i] else raw, [a for a, _ in spans], [b for _, b in spans]))
+            else:
+                windows = windows.values
+                size = np.asarray(windows.field("_n")).astype(np.int64)
+                bits = np.asarray(windows.field("_bits")).view(np.uint64)
+                offset = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+                hit = (np.repeat(bits, size) >> offset.astype(np.uint64)) & _U(1) != 0
+                at = (np.repeat(np.asarray(windows.field("_start")), size) + offset)[hit]
+                step = np.bincount(at, minlength=n + 1) - np.bincount(at + LENGTH, minlength=n + 1)
+                gone = np.cumsum(step[:-1]) > 0
+                turns = np.flatnonzero(np.diff(np.concatenate(([0], gone.view(np.int8), [0]))))
+                kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
+                done.append((n, kept, turns[::2], turns[1::2]))
+            held += n
+            if held > CUT_BYTES:
+                yield taken(batch, i + 1)
+        if done:
+            yield taken(batch, batch.num_rows)
 
 
 def _later_copies(docs: DataFrame) -> DataFrame:
@@ -403,27 +467,26 @@ def _flagged(docs: DataFrame, scratch: Scratch) -> DataFrame:
         F.count("*").alias("_runs"), F.min("_lo").alias("_least"), F.max("_hi").alias("_most")
     )
     shared = scratch.stored(shared.filter("_runs > 1 and _least < _most").select("_anchor", "_runs"), "shared")
-    differ = join_groups(
-        sets.select("_anchor", "_h1", "_h2", "_lo"), shared.withColumnRenamed("_runs", "n"), ["_anchor"],
-        how="inner", spread_by="_h1",
-    )
-    differ = scratch.stored(differ.withColumnRenamed("n", "_runs"), "differ")
-    texts = likely_rows(found.select("_anchor", "_h1", "_h2", "_bytes"), shared, "_anchor")
-    texts = texts.select("_h1", "_h2", "_bytes").distinct()
-    differ = scratch.stored(texts.join(differ, ["_h1", "_h2"]), "differing-runs")
-
-    rows = "_h1 long, _h2 long, _bytes binary, _anchor long, _lo long, _runs long, _lead binary"
+    differ = found.select("_anchor", "_h1", "_h2", F.col("_ord").alias("_lo"), "_bytes")
+    differ = likely_rows(differ, shared, "_anchor")
+    rows = "_anchor long, _h1 long, _h2 long, _lo long, _bytes binary"
+    hot = scratch.stored(shared.filter(F.col("_runs") > HOT_RUNS).select("_anchor"), "hot")
+    differ = _filtered(differ.mapInArrow(_once, rows), hot, "_anchor")
+    differ = scratch.stored(differ.mapInArrow(_leading, f"{rows}, _maybe boolean, _lead binary"), "differing")
+
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cold = differ.filter(f"_runs <= {HOT_RUNS}").mapInArrow(_leading, rows)
+    cold = differ.filter("not _maybe").select("_h1", "_h2", "_lo", "_bytes", "_lead")
     cold = cold.repartitionByRange(parts, "_lead").sortWithinPartitions("_lead")
     masks = cold.mapInArrow(_compared, "_h1 long, _h2 long, _mask long")
-    hot = differ.filter(f"_runs > {HOT_RUNS}")
     if not hot.isEmpty():
-        masks = masks.unionByName(_hot_masks(hot))
-    masks = scratch.stored(masks, "masks")
-
-    answers = sets.join(masks, ["_h1", "_h2"], "left").filter("_hi > _lo or _mask is not null")
-    answers = answers.select("_h1", "_h2", "n", "_lo", F.coalesce("_mask", F.lit(0)).alias("_mask"))
+        split = differ.filter("_maybe").groupBy("_h1", "_h2", "_bytes").agg(F.min("_lo").alias("_lo"))
+        masks = masks.unionByName(_hot_masks(split))
+
+    # Where all equal runs have one key, that key isn't needed to tell what is later.
+    answers = sets.filter("_hi > _lo").select("_h1", "_h2", "n", "_lo", F.lit(0).cast("long").alias("_mask"))
+    alone = masks.select("_h1", "_h2", F.lit(0).cast("long").alias("n"), F.lit(None).cast("long").alias("_lo"), "_mask")
+    answers = answers.unionByName(alone).groupBy("_h1", "_h2")
+    answers = answers.agg(F.sum("n").alias("n"), F.min("_lo").alias("_lo"), F.bit_or("_mask").alias("_mask"))
     answers = scratch.stored(answers, "answers")
     marked = likely_rows(found.drop("_bytes", "_anchor"), answers, "_h1")
     marked = join_groups(marked, answers, ["_h1", "_h2"], how="inner", spread_by="_start")
@@ -448,23 +511,23 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     first = unlisted_rows(rows, later) if later.count() else rows
     with Scratch(docs.sparkSession, "suffixes") as scratch:
         found = stored(_flagged(first, scratch), "suffix-windows")
-    bare = F.array().cast(SPANS)
-    size = F.coalesce(F.octet_length("_text"), F.lit(0)).cast("long").alias("n_bytes")
-    kind = rows.schema["_id"].dataType.simpleString()
-    narrow = rows.select("_id", "_fp", "_text")
-    cut = listed_rows(narrow, found).mapInArrow(
-        _cut, f"_id {kind}, _fp long, n_bytes long, kept binary, removed {SPANS}"
+    none = F.lit(None).cast(found.schema["_windows"].dataType)
+    answered = found.withColumn("_later", F.lit(False)).unionByName(
+        later.withColumns({"_windows": none, "_later": F.lit(True)})
     )
-    whole = listed_rows(rows.select("_id", "_fp", size), later)
-    whole = whole.withColumns(
-        {
-            "kept": F.lit(b""),
-            "removed": F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end"))),
-        }
+    answered = stored(answered, "suffix-answered")
+    marked = _filtered(rows.select("_id", "_fp", "_text"), answered)
+    near = marked.filter("_maybe").drop("_maybe")
+    near = near.join(answered, same(near, answered, "_id", "_fp"), "left").select(
+        *[near[c] for c in near.columns], "_windows", F.coalesce("_later", F.lit(False)).alias("_later")
     )
-    answered = stored(found.select("_id", "_fp").unionByName(later), "suffix-answered")
-    rest = unlisted_rows(narrow, answered)
-    rest = rest.select(
-        "_id", "_fp", size, F.coalesce(F.col("_text").cast("binary"), F.lit(b"")).alias("kept"), bare.alias("removed")
+    kind = rows.schema["_id"].dataType.simpleString()
+    cut = near.mapInArrow(_cut, f"_id {kind}, _fp long, n_bytes long, kept binary, removed {SPANS}")
+    rest = marked.filter("not _maybe").select(
+        "_id",
+        "_fp",
+        F.coalesce(F.octet_length("_text"), F.lit(0)).cast("long").alias("n_bytes"),
+        F.coalesce(F.col("_text").cast("binary"), F.lit(b"")).alias("kept"),
+        F.array().cast(SPANS).alias("removed"),
     )
-    return rest.unionByName(whole).unionByName(cut)
+    return rest.unionByName(cut)
