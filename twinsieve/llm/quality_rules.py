@@ -1,15 +1,16 @@
 """Quality rules: base counts, and a hashed n-gram logistic regression (operator 3).
 
-The model sees the frequencies of words, word pairs, and three- and four-byte strings,
-hashed into BUCKETS weights. It is fitted in one task on FIT_ROWS labelled rows at most
-(those with the smallest hash of their key), a quarter of which is kept back to
-calibrate the probabilities (Platt's sigmoid). Scoring is map-side, in Arrow batches: all
+The model sees the frequencies of words, word pairs, and strings of three and four
+characters, hashed into BUCKETS weights. It is fitted in one task on the features, not the
+texts, of FIT_ROWS labelled rows at most (those with the smallest hash of their key), a
+quarter of which is kept back to calibrate the probabilities (Platt's sigmoid). Scoring is map-side, in Arrow batches: all
 windows of a text are hashed and their weights summed, whole texts always.
 
 Null counts as empty. A text without words has no features and gets the prior; the base
 rules reject it. Labels that are null or of unknown documents are ignored; of several
-labels of a key the lowest counts. Without both labels there is no model, and the base
-rules decide alone.
+labels of a key the lowest counts, of several texts of a key the smallest. Without both
+labels there is no model, and the base rules decide alone. Repeated rows are judged alike,
+an empty table gives none, and other columns of any name take no part.
 """
 
 import pickle
@@ -40,15 +41,14 @@ def grams(texts: Texts, words: Words, hashes: np.ndarray) -> Iterator[tuple[np.n
     pairs = seeded(hashes[:-1], 2) + seeded(hashes[1:], 3)
     last = np.minimum(np.maximum(edges[1:] - 1, edges[:-1]), len(pairs))
     yield (seeded(pairs, 4) >> _SHIFT).astype(np.int32), np.minimum(edges[:-1], last), last
-    raw = texts.raw.astype(np.uint64)
+    # Where characters start: all bytes but those that continue one.
+    chars = np.append(np.flatnonzero((texts.raw & 0xC0) != 0x80), len(texts.raw))
+    first, last = np.searchsorted(chars, texts.begin), np.searchsorted(chars, texts.end)
     for n in (3, 4):
-        size = max(len(raw) - n + 1, 0)
-        value = np.full(size, n, np.uint64)
-        for i in range(n):
-            value = (value << _U(8)) | raw[i : i + size]
-        end = np.minimum(np.maximum(texts.end - n + 1, texts.begin), size)
-        buckets = (value * _U(0x9E3779B97F4A7C15) >> _SHIFT).astype(np.int32)
-        yield buckets, np.minimum(texts.begin, end), end
+        size = max(len(chars) - n, 0)
+        value = texts.span_hashes(chars[:size], chars[n : n + size])
+        end = np.minimum(np.maximum(last - n + 1, first), size)
+        yield (seeded(value, n) >> _SHIFT).astype(np.int32), np.minimum(first, end), end
 
 
 def raw_scores(stats: Stats, weights: np.ndarray, bias: float) -> np.ndarray:
@@ -80,25 +80,37 @@ def platt(score: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(a), float(b)
 
 
-def fit(texts: pa.Array, y: np.ndarray, seed: int = 5):
+def features(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Buckets and frequencies of each text's grams, kind by kind."""
+    for a, b in row_chunks(texts):
+        stats = Stats(texts[a:b])
+        kinds = list(grams(stats.texts, stats.words, stats.hashes))
+        for i in range(b - a):
+            index, value = [np.zeros(0, np.int32)], [np.zeros(0, np.float32)]
+            for buckets, begin, end in kinds:
+                if end[i] > begin[i]:
+                    own, times = np.unique(buckets[begin[i] : end[i]], return_counts=True)
+                    index.append(own)
+                    value.append((times / (end[i] - begin[i])).astype(np.float32))
+            yield np.concatenate(index), np.concatenate(value)
+
+
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i, (index, value) in enumerate(features(batch["_text"])):
+            yield pa.RecordBatch.from_arrays(
+                [batch["_key"][i : i + 1], batch["_label"][i : i + 1],
+                 pa.array([index], pa.list_(pa.int32())), pa.array([value], pa.list_(pa.float32()))],
+                ["_key", "_label", "_index", "_value"],
+            )
+
+
+def fit(sparse: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, seed: int = 5):
     """(weights, bias, slope, offset); None without rows of both kinds."""
     if len(set(y.tolist())) < 2:
         return None
-    index, value, owner = [], [], []
-    done = 0
-    for a, b in row_chunks(texts):
-        stats = Stats(texts[a:b])
-        for buckets, begin, end in grams(stats.texts, stats.words, stats.hashes):
-            for i in np.flatnonzero(end > begin):
-                own, times = np.unique(buckets[begin[i] : end[i]], return_counts=True)
-                index.append(own)
-                value.append((times / (end[i] - begin[i])).astype(np.float32))
-                owner.append(np.full(len(own), done + i, np.int32))
-        done += b - a
-    index, value, owner = (np.concatenate(x) for x in (index, value, owner))
-    order = np.argsort(owner, kind="stable")
-    index, value, owner = index[order], value[order], owner[order]
-    edge = np.searchsorted(owner, np.arange(len(y) + 1))
+    index, value = (np.concatenate(x) for x in zip(*sparse))
+    edge = np.concatenate(([0], np.cumsum([len(x) for x, _ in sparse])))
 
     rng = np.random.default_rng(seed)
     rows = rng.permutation(len(y))
@@ -140,16 +152,19 @@ def bounded_labels(labels: DataFrame, key: str, label: str, rows: int) -> DataFr
 def fit_quality_model(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str):
     """The model, fitted in one task on a bounded sample; the driver gets the weights only."""
     chosen = stored(bounded_labels(labels, key, label, FIT_ROWS), "rules-labels")
-    rows = docs.join(F.broadcast(chosen), docs[key] == chosen["_key"])
+    narrow = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
+    rows = narrow.join(F.broadcast(chosen), "_key")
     # A key may be repeated in the documents: one of its rows is enough.
-    rows = rows.groupBy("_key").agg(F.min("_label").alias("_label"), F.min(text).alias("_text"))
+    rows = rows.groupBy("_key").agg(F.min("_label").cast("double").alias("_label"), F.min("_text").alias("_text"))
+    kind = rows.schema["_key"].dataType.simpleString()
+    rows = rows.mapInArrow(_features, f"_key {kind}, _label double, _index array<int>, _value array<float>")
 
     def run(sample: pa.Table) -> pa.Table:
-        order = np.argsort(np.asarray(sample["_key"]), kind="stable")
-        sample = sample.take(pa.array(order))
-        texts = sample["_text"].combine_chunks()
-        y = np.asarray(sample["_label"]).astype(np.float64)
-        return pa.table({"model": pa.array([pickle.dumps(fit(texts, y))], pa.binary())})
+        rows = [row for batch in sample.to_batches() for row in zip(*(batch[c] for c in batch.schema.names))]
+        rows.sort(key=lambda row: row[0].as_py())
+        sparse = [(np.asarray(index.values), np.asarray(value.values)) for _, _, index, value in rows]
+        y = np.array([label.as_py() for _, label, _, _ in rows])
+        return pa.table({"model": pa.array([pickle.dumps(fit(sparse, y))], pa.binary())})
 
     found = rows.groupBy(F.lit("all")).applyInArrow(run, "model binary").first()
     return pickle.loads(found.model) if found else None

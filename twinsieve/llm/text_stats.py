@@ -59,9 +59,9 @@ class Stats:
         """Words inside 5-word windows that their text has twice or more."""
         w, n = self.words, len(self.words.text) - WINDOW + 1
         covered = np.zeros(len(w.text) + 1, np.int64)
-        if n > 0:
+        inside = np.flatnonzero(w.text[:n] == w.text[WINDOW - 1 :]) if n > 0 else ()
+        if len(inside):
             rolled = sum(seeded(self.hashes[i : i + n], i) for i in range(WINDOW))
-            inside = np.flatnonzero(w.text[:n] == w.text[WINDOW - 1 :])
             text, value = w.text[inside], mix(rolled[inside])
             order = order_by_text(text, value)
             t, v = text[order], value[order]
