@@ -8,8 +8,9 @@ the shards, so shards differ by one row at most and slots have no gaps.
 
 The order depends on seed, keys and texts, not on how the input is split into files.
 Rows equal in key and text are interchangeable; where one such group would overfill a
-bucket, its rows are scattered by their place in the input instead. As that place might
-change when the input is read again, the scattered records are stored in this case.
+bucket, by its bytes, its rows are scattered by their place in the input instead. As that
+place might change when the input is read again, the scattered records are stored in this
+case, and only then the order may depend on how the input is split.
 Null keys, null and empty texts are records like others. An empty table gives none.
 """
 
@@ -17,7 +18,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,18 +26,33 @@ from twinsieve.llm.columns import packed, stored, unpacked
 
 BUCKET_BYTES = 64 << 20
 MIN_BUCKETS = 256
+# A group of less is never split.
+LEAST_HOT_BYTES = 1 << 20
+
+
+def record_bytes(docs: DataFrame) -> Column:
+    """About what a record takes: the bytes of its texts, and some for each other column."""
+    size = F.lit(1).cast("long")
+    for field in docs.schema:
+        if isinstance(field.dataType, T.StringType | T.BinaryType):
+            size = size + F.coalesce(F.octet_length(docs[field.name]), F.lit(0))
+        else:
+            size = size + 8
+    return size
 
 
 def scatter(docs: DataFrame, key: str, text: str, seed: int, bucket_bytes: int) -> DataFrame:
     """Pass one: the records with their hash and bucket, the same whenever they are read."""
     record = F.xxhash64(F.lit(seed), key, text)
-    size = F.coalesce(F.octet_length(text), F.lit(0)) + 1
-    n, n_bytes = docs.agg(F.count("*"), F.sum(size.cast("long"))).first()
-    buckets = max(MIN_BUCKETS, math.ceil((n_bytes or 0) / bucket_bytes))
-
-    # Groups of equal records that a bucket couldn't hold beside its share.
-    many = max(1000, 4 * n // buckets)
-    repeats = docs.groupBy(record.alias("_repeated")).count().filter(F.col("count") > many)
+    size = record_bytes(docs)
+    n_bytes = docs.agg(F.sum(size)).first()[0] or 0
+    buckets = max(MIN_BUCKETS, math.ceil(n_bytes / bucket_bytes))
+
+    # Groups of equal records that a bucket couldn't hold beside its share: of small
+    # inputs four shares, of large ones half a bucket.
+    many = min(bucket_bytes // 2, max(LEAST_HOT_BYTES, 4 * n_bytes // buckets))
+    repeats = docs.groupBy(record.alias("_repeated")).agg(F.sum(size).alias("_bytes"), F.count("*").alias("_n"))
+    repeats = repeats.filter((F.col("_bytes") > many) & (F.col("_n") > 1))
     repeats = stored(repeats.select("_repeated"), "shard-repeats")
     hashed = docs.select(packed(docs), record.alias("_h"))
     # A second hash, as bits of the first order the records within their bucket.
