@@ -41,7 +41,7 @@ LENGTH = 50
 GRAM = 24
 GRAMS = LENGTH - GRAM + 1  # in a window
 RUN = 64  # windows of a run at most: one bit each
-SLICE = 1 << 20
+SLICE = 1 << 18
 # An anchor with more different runs than this is split.
 HOT_RUNS = 4096
 # Windows that are sorted at once, but for the rest of an anchor's.
