@@ -14,7 +14,7 @@ from twinsieve.operators.reconcile import with_identity
 CONTENT = ["device", "md5"]
 
 
-def _hashed(manifest: DataFrame) -> DataFrame:
+def hashed_rows(manifest: DataFrame) -> DataFrame:
     """Rows that links could be planned for: on a known device, with a digest."""
     return with_identity(manifest).filter(F.col("device").isNotNull() & F.col("md5").isNotNull())
 
@@ -68,7 +68,7 @@ def canonicals(manifest: DataFrame, policy: str = "max_links") -> DataFrame:
     when it consists of more than one physical object.
     """
     _check(policy)
-    hashed = _hashed(manifest)
+    hashed = hashed_rows(manifest)
     elected = _by_row(hashed, policy) if policy in ORDERS else _by_object(hashed)
     return elected.select(
         *CONTENT,
@@ -89,13 +89,13 @@ def with_canonical(manifest: DataFrame, policy: str = "max_links") -> DataFrame:
     """
     _check(policy)
     groups = canonicals(manifest, policy).filter("lo_identity <> hi_identity")
-    return join_groups(_hashed(manifest), groups, CONTENT, how="inner")
+    return join_groups(hashed_rows(manifest), groups, CONTENT, how="inner")
 
 
 def duplicate_groups(manifest: DataFrame) -> DataFrame:
     """Content that several physical objects hold: paths, objects, size, first path."""
     return (
-        _hashed(manifest)
+        hashed_rows(manifest)
         .groupBy(*CONTENT)
         .agg(
             F.count("*").alias("n_paths"),

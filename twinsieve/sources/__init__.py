@@ -1,4 +1,11 @@
 from twinsieve.sources.files import inventory_of, scan_listing, unreadable, walk_tree
+from twinsieve.sources.history import (
+    as_of,
+    latest_digests,
+    read_history,
+    reuse_from_history,
+    snapshot_history,
+)
 from twinsieve.sources.manifest import (
     manifest_from_inventory,
     manifest_from_rows,
@@ -16,15 +23,20 @@ from twinsieve.sources.snapshot import (
 )
 
 __all__ = [
+    "as_of",
     "inventory_of",
+    "latest_digests",
     "manifest_from_inventory",
     "manifest_from_rows",
     "next_snapshot",
     "read_digest_list",
+    "read_history",
     "read_inventory",
     "read_snapshot",
     "regular_files",
+    "reuse_from_history",
     "scan_listing",
+    "snapshot_history",
     "snapshot_path",
     "store_bucketed",
     "union_roots",

@@ -515,3 +515,27 @@ ORACLE["stream_first_seen_within"] = with_fixture(
     """SELECT DISTINCT md5, minute FROM hashed, (VALUES (0), (60)) t (minute) WHERE md5 IS NOT NULL
        UNION ALL SELECT 'marker', 59"""
 )
+ORACLE["dup_groups_incremental"] = ORACLE["dup_groups"]
+SAVED = """,
+first_run AS (SELECT path, size, mtime_us, md5 FROM previous WHERE md5 IS NOT NULL),
+second_run AS (SELECT path, size, mtime_us, md5 FROM hashed WHERE doc_id % 4 <> 1),
+third_run AS (SELECT path, size, mtime_us, md5 FROM hashed WHERE md5 IS NOT NULL),
+saved AS (
+  SELECT 1 AS run, '2026-01-01' AS snapshot, * FROM first_run
+  UNION ALL SELECT 2, '2026-01-02', * FROM second_run
+  UNION ALL SELECT 3, '2026-01-03', * FROM third_run)"""
+ORACLE["snapshot_history"] = with_fixture(
+    """SELECT path, size, mtime_us, md5, min(snapshot) AS valid_from, max(snapshot) AS valid_to,
+              CAST(count(*) AS BIGINT) AS n_snapshots
+       FROM (SELECT *, run - row_number() OVER (
+                    PARTITION BY path, size, mtime_us, md5 ORDER BY run) AS start FROM saved)
+       GROUP BY path, size, mtime_us, md5, start""",
+    SAVED,
+)
+ORACLE["reuse_history"] = with_fixture(
+    f"""SELECT {MANIFEST_COLUMNS}, (
+          SELECT max_by(s.md5, s.run) FROM saved s
+          WHERE s.path = m.path AND s.size = m.size AND s.mtime_us = m.mtime_us AND s.run < 3) AS md5
+       FROM manifest m""",
+    SAVED,
+)

@@ -12,6 +12,7 @@ from twinsieve.operators import (
     balance,
     canonical,
     digest,
+    group_state,
     linking,
     pending,
     purge,
@@ -34,8 +35,11 @@ from twinsieve.sources import (
     manifest_from_inventory,
     manifest_from_rows,
     next_snapshot,
+    read_history,
     read_snapshot,
     regular_files,
+    reuse_from_history,
+    snapshot_history,
     store_bucketed,
     union_roots,
     write_snapshot,
@@ -156,6 +160,26 @@ def reuse_by_path(spark, sf_dir):
     return reuse.reuse_by_path(f.manifest, f.previous)
 
 
+def three_snapshots(spark, sf_dir):
+    """The old snapshot, a run in which a quarter of the rows was away, and a full one."""
+    f, base = fixture(spark, sf_dir), new_path(spark, "history")
+    here = f.hashed.filter(F.col("mtime_us") / STEP_US % 4 != 1)
+    runs = {"2026-01-01": f.previous, "2026-01-02": here, "2026-01-03": f.hashed}
+    for snapshot_id, rows in runs.items():
+        write_snapshot(rows, base, snapshot_id)
+    return base
+
+
+def history(spark, sf_dir):
+    return snapshot_history(read_history(spark, three_snapshots(spark, sf_dir)))
+
+
+def reuse_history(spark, sf_dir):
+    """From the first two snapshots only."""
+    saved = read_history(spark, three_snapshots(spark, sf_dir), until="2026-01-02")
+    return reuse_from_history(fixture(spark, sf_dir).manifest, saved)
+
+
 def mismatches(spark, sf_dir):
     f = fixture(spark, sf_dir)
     return reuse.digest_mismatches(f.hashed, f.previous)
@@ -206,6 +230,28 @@ def on_hashed(operator):
     return lambda spark, sf_dir: operator(fixture(spark, sf_dir).hashed)
 
 
+def dup_groups_incremental(spark, sf_dir):
+    """Groups of a first inventory, brought up to date over two runs: rows come and go,
+    some content is replaced, and some paths become objects of their own."""
+    minute = F.col("mtime_us") / STEP_US
+    full = fixture(spark, sf_dir).hashed
+    before = full.filter(minute % 5 != 0).withColumn(
+        "md5", F.when(minute % 7 == 0, F.md5(F.concat("md5", F.lit("x")))).otherwise(F.col("md5"))
+    )
+    later = full.filter(minute % 3 != 1).withColumn(
+        "inode", F.when(minute % 4 != 0, F.col("inode"))
+    )
+    before, later, full = (stage(rows, "inventory") for rows in (before, later, full))
+    objects = stage(group_state.content_objects(before), "objects")
+    groups = stage(group_state.groups_of(objects), "groups")
+    for old, new in ((before, later), (later, full)):
+        changes = stage(group_state.object_changes(old, new), "changes")
+        merged_ = stage(group_state.merged_changes(objects, changes), "merged-changes")
+        objects = stage(group_state.updated_objects(objects, changes, merged_, new), "objects")
+        groups = stage(group_state.updated_groups(groups, objects, changes), "groups")
+    return groups
+
+
 # ------------------------------------------------------------------------- plans
 
 
@@ -519,6 +565,8 @@ QUERIES = {
     "reuse_digests_contradicting": on_contradicting(reuse.reuse_digests),
     "reuse_by_path_contradicting": on_contradicting(reuse.reuse_by_path),
     "snapshot_changes_contradicting": on_contradicting(reuse.snapshot_changes),
+    "snapshot_history": history,
+    "reuse_history": reuse_history,
     # reconciliation within physical objects
     "inode_profile": on_merged(reconcile.inode_profile),
     "inode_flags": on_merged(reconcile.inode_flags),
@@ -538,6 +586,7 @@ QUERIES = {
     "digest_bins": pending_bins,
     # groups, canonical members, plans
     "dup_groups": on_hashed(canonical.duplicate_groups),
+    "dup_groups_incremental": dup_groups_incremental,
     "dup_rows": on_hashed(canonical.duplicate_rows),
     "canon_max_links": canon("max_links"),
     "canon_modal_inode": canon("modal_inode"),
