@@ -18,9 +18,10 @@ from twinsieve.llm import queries
 from twinsieve.llm.columns import keyed, listed_rows, stored, unlisted_rows
 from twinsieve.llm.decontaminate import contamination
 from twinsieve.llm.license_scan import license_scan, usual_licenses
+from twinsieve.llm import lm_scoring
 from twinsieve.llm.lm_scoring import lm_scores
 from twinsieve.llm.mixing import mix_sources
-from twinsieve.llm.mixing_model import Mixer
+from twinsieve.llm.mixing_model import SCALES, Mixer
 from twinsieve.llm.near_dups import _linked, near_duplicates, shingles, sketch
 from twinsieve.llm.quality_classifier import fit, fit_classifier, quality_score, score
 from twinsieve.llm.quality_rules import quality_rules
@@ -349,10 +350,65 @@ def test_bits_are_probabilities_and_the_memo_changes_nothing():
     counts = rng.integers(0, 5, (5, 2, 1 << 20)).astype(np.float32)
     mixer = Mixer.fresh(counts)
     strings = (np.uint64(0x6162636465) << np.uint64(8)) + np.arange(256, dtype=np.uint64)
-    assert (2.0 ** -mixer.cost(strings)).sum() == pytest.approx(1)
+    costs = mixer.costs(strings)
+    assert (2.0**-costs).sum(1) == pytest.approx([1] * len(SCALES))
+    assert (2.0 ** -mixer.blended(costs)).sum() == pytest.approx(1)
     texts = Texts(pa.array(["some text", None, "some other text, longer"]))
     assert np.allclose(mixer.text_bits(texts), mixer.text_bits(texts))
-    assert np.allclose(mixer.known_cost(strings), mixer.cost(strings))
+    assert np.allclose(mixer.known_costs(strings), costs)
+
+
+def coded(mixer, data):
+    """Bits of a text and its end, byte by byte: every predictor weighs what it has given
+    the bytes so far."""
+    belief, total, past = np.full(len(SCALES), 1 / len(SCALES)), 0.0, bytes(5)
+    for byte in [*data, 0]:
+        string = np.array([int.from_bytes(past + bytes([byte]), "big")], np.uint64)
+        chance = 2.0 ** -mixer.costs(string)[:, 0]
+        total -= math.log2((belief * chance).sum())
+        belief = belief * chance / (belief * chance).sum()
+        past = past[1:] + bytes([byte])
+    return total
+
+
+def test_scores_are_what_a_coder_pays_byte_by_byte():
+    rng = np.random.default_rng(4)
+    mixer = Mixer.fresh(rng.integers(0, 5, (5, 2, 1 << 20)).astype(np.float32))
+    mixer.weights += rng.normal(0, 0.1, mixer.weights.shape)
+    mixer.curve += rng.integers(0, 50, mixer.curve.shape)
+    texts = ["some text", None, "ééé ①", "another, rather longer text that repeats: text text text"]
+    got = mixer.text_bits(Texts(pa.array(texts)))
+    assert got == pytest.approx([coded(mixer, (t or "").encode()) for t in texts], rel=1e-9)
+
+
+def test_one_model_however_the_input_is_partitioned(spark, docs, sf_dir, monkeypatch):
+    rows = docs.select("doc_id", "text").union(sample(spark, sf_dir).select(F.col("doc_id") + 100, "text"))
+    one = bag_of_scores(lm_scores(rows.coalesce(1)))
+    monkeypatch.setattr(lm_scoring, "STRINGS_PER_TASK", 4_000)
+    many = bag_of_scores(lm_scores(rows.repartition(7)))
+    assert one.keys() == many.keys()
+    for key, scores in one.items():
+        assert many[key] == pytest.approx(scores, rel=1e-9)
+
+
+def bag_of_scores(scored):
+    found = defaultdict(list)
+    for r in scored.collect():
+        found[r._id].append(r.score)
+    return {key: sorted(scores) for key, scores in found.items()}
+
+
+def test_learning_lowers_the_bits_of_other_texts(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    learnt = docs.filter("doc_id % 4 <> 1").select(F.col("text").alias("_text"))
+    counts = stored(lm_scoring.corpus_counts(learnt), "test-counts")
+    mixer = lm_scoring.fit_mixer(lm_scoring._spread_stored(counts))
+    seen = {r[0] for r in learnt.collect()}
+    other = [r.text for r in docs.filter("doc_id % 4 = 1").collect() if r.text not in seen]
+    plain = Texts(pa.array(other))
+    bits = mixer.text_bits(plain).sum()
+    assert bits < Mixer.fresh(mixer.counts).text_bits(plain).sum()
+    assert bits < 3 * sum(len(t.encode()) + 1 for t in other)
 
 
 # ---------------------------------------------------------------- helpers, pipeline

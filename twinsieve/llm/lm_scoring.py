@@ -7,9 +7,10 @@ Two models, both from counts over every document that may be learnt from:
   broadcast; only the rarer words of each text are shuffled to meet their counts.
 * The model mixes the opinions of bit predictors with contexts of one to five bytes
   (`mixing_model`). Its count tables come from all six-byte strings of the corpus, its
-  weights from online steps over the same strings, each with its own case left out of the
-  counts; runs over partitions are averaged. Its size is bounded by SLOTS, whatever
-  the corpus, and small enough to broadcast.
+  weights from online steps over the same strings in SLICES fixed by their hashes, each
+  string with its own case left out of the counts. Whatever tasks see is added up, so
+  that one model results, however the input is partitioned. Its size is bounded by SLOTS,
+  whatever the corpus, and small enough to broadcast. It goes on adapting within each text.
 
 Words and strings are compared by 64-bit hash and by value, in that order.
 
@@ -17,7 +18,7 @@ Null counts as empty: one end, no words. Without documents to learn from all cou
 and the model gives every bit one half.
 """
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,14 +26,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinsieve.llm.columns import stored
-from twinsieve.llm.mixing_model import ORDERS, SLOTS, Mixer, add_counts, byte_strings
+from twinsieve.llm.mixing_model import GATES, INPUTS, ORDERS, SLOTS, Mixer, add_counts, byte_strings
 from twinsieve.llm.textbatch import Texts, distinct_by_text, row_chunks, sums_by
 
 TOP_WORDS = 1 << 18
 END = 0  # stands for the end among word hashes
 STRINGS_PER_TASK = 2_000_000
-BLOCK = 1 << 14
-LEARN_STEP, LEARN_BATCH = 0.6, 4096
+SLICES = 8  # online steps, one after the other
+PART = 1 << 14  # values of an array of sums that travel together
+LEARN_BATCH = 65_536
 _U = np.uint64
 
 
@@ -66,80 +68,77 @@ def corpus_counts(texts: DataFrame) -> DataFrame:
 
 
 def _spread(strings: DataFrame) -> DataFrame:
+    """The strings with their slice, in as few tasks as their number asks for. Rows of a
+    slice lie together, so that reading one skips the others."""
     tasks = -(-strings.count() // STRINGS_PER_TASK)
-    return strings.repartition(max(tasks, 1), F.xxhash64("item"))
+    sliced = strings.withColumn("slice", F.pmod(F.xxhash64("item"), F.lit(SLICES)).cast("int"))
+    return sliced.repartition(max(tasks, 1), F.xxhash64("item", F.lit(1))).sortWithinPartitions("slice")
 
 
-def slot_tables(strings: DataFrame) -> np.ndarray:
-    """The hashed count tables, from (item, n) of all six-byte strings."""
+def _added(strings: DataFrame, work: Callable, shape: tuple[int, ...], dtype) -> np.ndarray:
+    """The sum of what `work(sums, items, n)` adds to an array of this fixed shape, over
+    all (item, n) of `strings`.
+
+    Tasks add up on their own, then parts of their arrays meet part by part.
+    """
+    size = int(np.prod(shape))
+    parts = -(-size // PART)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((ORDERS, 2, SLOTS), np.float32)
+        sums = np.zeros(parts * PART, dtype)
+        for batch in batches:
+            items, n = _unsigned(batch["item"]), np.asarray(batch["n"])
+            for a in range(0, len(items), LEARN_BATCH):
+                work(sums[:size].reshape(shape), items[a : a + LEARN_BATCH], n[a : a + LEARN_BATCH])
+        for part, values in enumerate(sums.reshape(parts, PART)):
+            if not values.any():
+                continue
+            if dtype == np.int64 and values.max() < 1 << 31:
+                values = values.astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([part], pa.int32()), pa.array([values.tobytes()], pa.binary())], ["part", "data"]
+            )
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(PART, dtype)
         for batch in batches:
-            add_counts(counts, _unsigned(batch["item"]), np.asarray(batch["n"]).astype(np.float32))
-        blocks = counts.reshape(-1, BLOCK)
+            for data in batch["data"]:
+                raw = data.as_buffer()
+                total += np.frombuffer(raw, np.int32 if raw.size < 8 * PART else dtype)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.arange(len(blocks)), pa.int32()), pa.array([x.tobytes() for x in blocks], pa.binary())],
-            ["block", "data"],
-        )
-
-    def add(block: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x, np.float32).astype(np.float64) for x in block["data"].to_pylist())
-        data = total.astype(np.float32).tobytes()
-        return pa.table({"block": block["block"][:1], "data": pa.array([data], pa.binary())})
+            [batch["part"][:1], pa.array([total.tobytes()], pa.binary())], ["part", "data"]
+        )
 
-    parts = strings.mapInArrow(run, "block int, data binary")
-    rows = parts.groupBy("block").applyInArrow(add, "block int, data binary").collect()
-    counts = np.zeros((ORDERS * 2 * SLOTS // BLOCK, BLOCK), np.float32)
-    for block, data in rows:
-        counts[block] = np.frombuffer(data, np.float32)
-    return counts.reshape(ORDERS, 2, SLOTS)
+    found = strings.mapInArrow(run, "part int, data binary")
+    sums = np.zeros((parts, PART), dtype)
+    for part, data in found.groupBy("part").applyInArrow(add, "part int, data binary").collect():
+        sums[part] = np.frombuffer(data, dtype)
+    return sums.reshape(-1)[:size].reshape(shape)
 
 
 def fit_mixer(strings: DataFrame) -> Mixer:
-    """Weights and last table, learnt online in each partition and then averaged."""
-    context = strings.sparkSession.sparkContext
-    counts = slot_tables(strings)
-    shared = context.broadcast(counts)
-
-    def steps(batches, work) -> float:
-        seen = 0.0
-        for batch in batches:
-            items, n = _unsigned(batch["item"]), np.asarray(batch["n"]).astype(np.float64)
-            for a in range(0, len(items), LEARN_BATCH):
-                work(items[a : a + LEARN_BATCH], n[a : a + LEARN_BATCH], seen)
-                seen += n[a : a + LEARN_BATCH].sum()
-        return seen
+    """The model of all (item, n, slice) of a stored table of six-byte strings."""
+    counts = _added(strings, add_counts, (ORDERS, 2, SLOTS), np.int64).astype(np.float32)
+    shared = strings.sparkSession.sparkContext.broadcast(counts)
+    mixer = Mixer.fresh(counts)
 
-    def emit(weight: float, values: np.ndarray) -> Iterator[pa.RecordBatch]:
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([weight]), pa.array([values.tobytes()], pa.binary())], ["weight", "data"]
-        )
+    def as_learnt(weights: np.ndarray) -> Mixer:
+        own = Mixer.fresh(shared.value)
+        own.weights = weights
+        return own
 
-    def weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mixer, done = Mixer.fresh(shared.value), [0]
+    for number in range(SLICES):
 
-        def work(items, n, _):
-            done[0] += 1
-            mixer.learn(items, np.sqrt(n), LEARN_STEP / np.sqrt(1 + done[0] / 20))
+        def slopes(sums, items, n, weights=mixer.weights, number=number):
+            as_learnt(weights).add_slopes(sums, items, n.astype(np.float64), number)
 
-        yield from emit(steps(batches, work), mixer.weights)
+        part = strings.filter(F.col("slice") == number)
+        mixer.step(_added(part, slopes, (GATES, 8, INPUTS, INPUTS + 1), np.float64))
 
-    mixer = Mixer.fresh(counts)
-    found = strings.mapInArrow(weights, "weight double, data binary").collect()
-    total = sum(w for w, _ in found)
-    if total:
-        parts = [w / total * np.frombuffer(d).reshape(mixer.weights.shape) for w, d in found]
-        mixer.weights = sum(parts)
-    learnt = mixer.weights
-
-    def curves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Mixer.fresh(shared.value)
-        own.weights = learnt
-        yield from emit(steps(batches, lambda items, n, _: own.refine(items, n)), own.curve)
+    def outcomes(sums, items, n, weights=mixer.weights):
+        as_learnt(weights).add_outcomes(sums, items, n.astype(np.float64))
 
-    found = strings.mapInArrow(curves, "weight double, data binary").collect()
-    mixer.curve = sum((np.frombuffer(d).reshape(mixer.curve.shape) for _, d in found), mixer.curve)
+    mixer.curve = _added(strings, outcomes, mixer.curve.shape, np.float64)
     shared.unpersist()
     return mixer
 
@@ -219,6 +218,5 @@ def lm_scores(
 
 
 def _spread_stored(counts: DataFrame) -> DataFrame:
-    """The strings, in as few tasks as their number asks for."""
     strings = counts.filter("kind = 's'").select("item", "n")
     return stored(_spread(strings), "lm-strings")
