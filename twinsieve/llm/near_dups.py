@@ -16,8 +16,11 @@ Two documents are linked if intersection / union reaches `percent` / 100.
    apart from. Nodes that links join need no further look at each other.
 5. What is left are pairs of a bucket in different components. They are verified in
    blocks of bounded size, which emit links only. Buckets with the same first node that
-   fit into one block together are one group there, as they share most of their nodes. No
-   link between components is lost, and no list of all pairs is made.
+   fit into one block together are one group there, as they share most of their nodes.
+   Larger groups are first cut into parts that no link can cross, by the shingles that
+   linked sets have to share; pages of one template fall apart there if their rare
+   shingles differ. A part is compared in blocks, however large it is. No link between
+   components is lost, and no list of all pairs is made.
 
 All verifications use complete sets of 64-bit shingle hashes.
 """
@@ -244,6 +247,54 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     )
 
 
+def _cut(
+    lefts: DataFrame, rights: DataFrame, sets: DataFrame, percent: int, scratch: Scratch
+) -> tuple[DataFrame, DataFrame]:
+    """The two sides with groups of more than BLOCK nodes cut into parts that no link crosses.
+
+    Both have (_bucket, _node, _comp), and every left node is a right one, too. Linked sets
+    have at least need = ceil(percent / 100 * n) shingles in common, for the n of either.
+    So in any order that all sets share, their first common shingle is among the first
+    n - need + 1 of both. The order here is by frequency among the nodes of large groups,
+    rare shingles first. Nodes that such shingles connect, over any number of steps, are a
+    part; a node that shares none is linked with nothing here and goes.
+    """
+    stored = scratch.stored
+    large = rights.groupBy("_bucket").count().filter(F.col("count") > BLOCK)
+    large = stored(large.select("_bucket", F.lit(True).alias("_large")), "large")
+    lefts, rights = (side.join(large, "_bucket", "left") for side in (lefts, rights))
+    at_node = F.xxhash64("_node")
+    nodes = rights.filter("_large").select("_node").distinct()
+    nodes = stored(nodes.withColumn("_at_node", at_node), "large-nodes")
+    chosen = likely_rows(sets.withColumn("_at_node", at_node), nodes, "_at_node").drop("_at_node")
+    chosen = stored(chosen.join(nodes.select("_node"), "_node"), "large-sets")
+
+    # Shingles of one node only come first, and no other node has them: their number is enough.
+    items = chosen.select("_node", F.size("_set").cast("long").alias("_n"), F.explode("_set").alias("_item"))
+    held = stored(items.groupBy("_item").agg(F.count("*").alias("n")).filter("n > 1"), "held")
+    name = F.hex("_item").alias("_item")
+    common = likely_rows(items, held, "_item").select("_node", "_n", name)
+    common = join_groups(common, held.select(name, "n"), ["_item"], how="inner", spread_by="_node")
+    common = common.groupBy("_node", "_n").agg(F.sort_array(F.collect_list(F.struct("n", "_item"))).alias("_common"))
+    need = F.expr(f"(_n * {percent} + 99) div 100")
+    common = common.withColumn("_prefix", (F.size("_common") - need + 1).cast("int")).filter("_prefix > 0")
+    prefixes = common.select("_node", F.explode(F.slice("_common", 1, F.col("_prefix"))).alias("_at"))
+    prefixes = stored(prefixes.select("_node", "_at._item"), "prefixes")
+
+    meet = prefixes.groupBy("_item").agg(F.min("_node").alias("_first"), F.count("*").alias("n"))
+    meet = stored(meet.filter("n > 1"), "meet")
+    edges = join_groups(prefixes, meet, ["_item"], how="inner", spread_by="_node")
+    parts = components(edges.select(F.col("_node").alias("a"), F.col("_first").alias("b")), scratch)
+    parts = stored(parts, "parts")
+
+    def cut(side: DataFrame) -> DataFrame:
+        own = side.filter("_large").join(parts, "_node")
+        own = own.select(F.xxhash64("_bucket", "_root").alias("_bucket"), "_node", "_comp")
+        return side.filter("_large is null").drop("_large").unionByName(own)
+
+    return cut(lefts), cut(rights)
+
+
 def near_duplicates(
     docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
@@ -373,4 +424,6 @@ def _links(narrow: DataFrame, rows: DataFrame, words: int, percent: int, scratch
         return side.select(group.alias("_bucket"), "_node", "_comp").distinct()
 
     lefts, rights = stored(grouped(lefts), "left-groups"), stored(grouped(rights), "right-groups")
+    lefts, rights = _cut(lefts, rights, sets, percent, scratch)
+    lefts, rights = stored(lefts, "left-parts"), stored(rights, "right-parts")
     return first.unionByName(_blocks(lefts, rights, sets, "_bucket", percent, scratch))
