@@ -7,7 +7,7 @@ shared work folder and hands the stored table to the next one.
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinsieve.llm.columns import packed, stored, unlisted_rows
+from twinsieve.llm.columns import listed_rows, packed, stored, unlisted_rows
 from twinsieve.llm.decontaminate import contamination, is_contaminated
 from twinsieve.llm.mixing import mix_sources
 from twinsieve.llm.near_dups import near_duplicates
@@ -33,12 +33,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = near_duplicates(docs)
     gone = stored(found.filter("not kept").select("_id", "_fp"), "pipeline-near")
     left = without(docs, gone)
-    keys = docs.groupBy("doc_id", F.xxhash64("text")).count()
-    if keys.filter("count > 1").isEmpty():
-        return left
-    # Rows repeated with their key: one of them.
     marked = left.select(packed(left), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_fp"))
-    return marked.dropDuplicates(["_id", "_fp"]).select("_row.*")
+    # Rows repeated with their key: one of them. Texts of other rows stay where they are.
+    repeated = marked.groupBy("_id", "_fp").count().filter("count > 1").select("_id", "_fp")
+    repeated = stored(repeated, "pipeline-repeated")
+    once = listed_rows(marked, repeated).dropDuplicates(["_id", "_fp"])
+    return unlisted_rows(marked, repeated).unionByName(once).select("_row.*")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
