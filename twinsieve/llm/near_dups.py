@@ -257,7 +257,8 @@ def _cut(
     So in any order that all sets share, their first common shingle is among the first
     n - need + 1 of both. The order here is by frequency among the nodes of large groups,
     rare shingles first. Nodes that such shingles connect, over any number of steps, are a
-    part; a node that shares none is linked with nothing here and goes.
+    part; a node that shares none is linked with nothing here and goes. A node is in many
+    buckets, but in one part: a part replaces its buckets where that is fewer pairs.
     """
     stored = scratch.stored
     large = rights.groupBy("_bucket").count().filter(F.col("count") > BLOCK)
@@ -271,25 +272,34 @@ def _cut(
 
     # Shingles of one node only come first, and no other node has them: their number is enough.
     items = chosen.select("_node", F.size("_set").cast("long").alias("_n"), F.explode("_set").alias("_item"))
+    items = items.withColumn("_item", F.hex("_item"))
     held = stored(items.groupBy("_item").agg(F.count("*").alias("n")).filter("n > 1"), "held")
-    name = F.hex("_item").alias("_item")
-    common = likely_rows(items, held, "_item").select("_node", "_n", name)
-    common = join_groups(common, held.select(name, "n"), ["_item"], how="inner", spread_by="_node")
+    common = join_groups(items, held, ["_item"], how="inner", spread_by="_node")
     common = common.groupBy("_node", "_n").agg(F.sort_array(F.collect_list(F.struct("n", "_item"))).alias("_common"))
     need = F.expr(f"(_n * {percent} + 99) div 100")
     common = common.withColumn("_prefix", (F.size("_common") - need + 1).cast("int")).filter("_prefix > 0")
     prefixes = common.select("_node", F.explode(F.slice("_common", 1, F.col("_prefix"))).alias("_at"))
-    prefixes = stored(prefixes.select("_node", "_at._item"), "prefixes")
+    # A graph of nodes and shingles; their names differ in length.
+    edges = prefixes.select(F.col("_node").alias("a"), F.unhex("_at._item").alias("b"))
+    parts = stored(components(edges, scratch), "parts")
 
-    meet = prefixes.groupBy("_item").agg(F.min("_node").alias("_first"), F.count("*").alias("n"))
-    meet = stored(meet.filter("n > 1"), "meet")
-    edges = join_groups(prefixes, meet, ["_item"], how="inner", spread_by="_node")
-    parts = components(edges.select(F.col("_node").alias("a"), F.col("_first").alias("b")), scratch)
-    parts = stored(parts, "parts")
+    def parted(side: DataFrame) -> DataFrame:
+        return side.filter("_large").join(parts, "_node").select("_bucket", "_root", "_node", "_comp")
+
+    # A part is one group, unless its buckets are less work one by one.
+    def sizes(side: DataFrame, by: str, whole: str) -> DataFrame:
+        counts = parted(side).groupBy("_root", "_bucket").agg(F.count("*").alias(by))
+        nodes = parted(side).groupBy("_root", "_node").agg(F.lit(1)).groupBy("_root").agg(F.count("*").alias(whole))
+        return counts.join(nodes, "_root")
+
+    work = sizes(lefts, "_l", "_ls").join(sizes(rights, "_r", "_rs"), ["_root", "_bucket"]).groupBy("_root")
+    work = work.agg((F.sum(F.col("_l") * F.col("_r")) >= F.max("_ls") * F.max("_rs")).alias("_whole"))
+    work = stored(work, "part-work")
 
     def cut(side: DataFrame) -> DataFrame:
-        own = side.filter("_large").join(parts, "_node")
-        own = own.select(F.xxhash64("_bucket", "_root").alias("_bucket"), "_node", "_comp")
+        own = parted(side).join(work, "_root")
+        group = F.when(F.col("_whole"), F.xxhash64(F.lit("part"), "_root")).otherwise(F.xxhash64("_bucket", "_root"))
+        own = own.select(group.alias("_bucket"), "_node", "_comp").distinct()
         return side.filter("_large is null").drop("_large").unionByName(own)
 
     return cut(lefts), cut(rights)
