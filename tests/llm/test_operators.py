@@ -22,7 +22,6 @@ from twinsieve.llm import lm_scoring
 from twinsieve.llm.lm_scoring import lm_scores
 from twinsieve.llm.mixing import mix_sources
 from twinsieve.llm.mixing_model import SCALES, Mixer
-from twinsieve.llm import near_dups
 from twinsieve.llm.near_dups import _linked, near_duplicates, shingles, sketch
 from twinsieve.llm.quality_classifier import fit, fit_classifier, quality_score, score
 from twinsieve.llm.quality_rules import quality_rules
@@ -191,35 +190,6 @@ def test_near_duplicates(spark, docs, sf_dir, size):
     assert len({(r.component_id, r._id, r._fp) for r in got if r.kept}) == len({b for _, b in want.values()})
 
 
-def test_large_groups_are_cut_where_no_link_can_cross(spark):
-    """Four thousand pages of one template, 60 % alike, and a few real links among them."""
-    rng = np.random.default_rng(4)
-    template = rng.integers(-(2**63), 2**63, 300)
-    sets = [np.concatenate((template, rng.integers(-(2**63), 2**63, 200))) for _ in range(4000)]
-    for i in range(0, 40, 2):  # 460 of 540 in common: linked; 440 of 560: not
-        change = 40 if i < 20 else 60
-        sets[i + 1] = np.concatenate((sets[i][:-change], rng.integers(-(2**63), 2**63, change)))
-    rows = [(i, i.to_bytes(16), sorted(map(int, s))) for i, s in enumerate(sets)]
-    frame = spark.createDataFrame(rows, "i long, _node binary, _set array<long>")
-    bucket = F.when(F.col("i") < 3990, 7).otherwise(8).cast("long").alias("_bucket")
-    side = frame.select(bucket, "_node", F.col("_node").alias("_comp"))
-    with near_dups.Scratch(spark, "cut-test") as scratch:
-        lefts, rights = near_dups._cut(side, side, frame.drop("i"), 80, scratch)
-        lefts, rights = scratch.stored(lefts, "lefts"), scratch.stored(rights, "rights")
-        pairs = lefts.alias("l").join(rights.alias("r"), "_bucket").filter("l._node < r._node")
-        pairs = {(int.from_bytes(a), int.from_bytes(b)) for a, b in pairs.select("l._node", "r._node").collect()}
-        links = near_dups._blocks(lefts, rights, frame.drop("i"), "_bucket", 80, scratch)
-        links = {tuple(sorted(map(int.from_bytes, (r.a, r.b)))) for r in links.collect()}
-    small = {(a, b) for a in range(3990, 4000) for b in range(a + 1, 4000)}
-    assert links == {(i, i + 1) for i in range(0, 20, 2)}
-    assert links <= pairs <= small | {(i, i + 1) for i in range(0, 40, 2)}  # of eight million
-
-
-def test_near_duplicates_where_every_group_is_cut(spark, docs, sf_dir, monkeypatch):
-    monkeypatch.setattr(near_dups, "BLOCK", 2)
-    test_near_duplicates(spark, docs, sf_dir, 2)
-
-
 def test_near_duplicates_of_nothing(none):
     assert near_duplicates(none).count() == 0
 
