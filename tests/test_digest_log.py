@@ -99,6 +99,19 @@ def test_a_slice_is_a_file_and_slices_are_taken_together(spark, scan, payloads,
     assert four.slices == -(-files // 4)
 
 
+@pytest.mark.parametrize("most, slices", [(1, 1), (2, 1), (2, 2), (5, 1)])
+def test_commits_are_bounded_whatever_the_list(spark, scan, payloads, tmp_path, most, slices):
+    one = Digester(payloads)
+    big = scan.withColumn("size", F.when(F.col("path") == "p59", 1 << 30).otherwise(F.col("size")))
+    got = job(big, str(tmp_path / "log"), one, slices=slices, most_commits=most)
+    assert 1 <= one.slices <= most
+    assert sorted(one.asked) == [f"p{i:02}" for i in range(N)]
+    assert bag(got, "path", "md5") == bag(payloads.select("path", F.md5("text").alias("md5")), "path", "md5")
+    even, log = Digester(payloads), tmp_path / "even"
+    job(scan, str(log), even, slices=slices, most_commits=most)
+    assert len(list((log / "pending").glob("part-*"))) <= most * slices and even.slices == most
+
+
 def test_old_digests_are_not_listed(spark, scan, payloads, tmp_path):
     old = snapshot(spark, {"path": "p05", "size": 5, "mtime_us": 5, "md5": "known"})
     asked = Digester(payloads)

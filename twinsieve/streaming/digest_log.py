@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from twinsieve.operators.balance import balanced
+from twinsieve.operators.balance import OBJECT_COST, balanced
 from twinsieve.operators.reuse import FINGERPRINT
 from twinsieve.schema import SNAPSHOT
 
@@ -44,14 +44,22 @@ def logged_digests(spark: SparkSession, folder: str) -> DataFrame:
     return _saved(spark, f"{folder}/digests", LOGGED)
 
 
-def list_pending(pending: DataFrame, folder: str, slice_bytes: int = SLICE_BYTES) -> int:
+def list_pending(
+    pending: DataFrame, folder: str, slice_bytes: int = SLICE_BYTES, most_slices: int | None = None
+) -> int:
     """Add the rows to the list in `folder` that it does not have; returns how many.
 
-    A row is the same as long as path, size and mtime are.
+    A row is the same as long as path, size and mtime are. Slices grow beyond `slice_bytes`
+    where more than `most_slices` would have to be added.
     """
     listed = _saved(pending.sparkSession, f"{folder}/pending", LISTED)
     fresh = pending.select(*FINGERPRINT).join(listed, FINGERPRINT, "left_anti")
-    if (added := fresh.count()) > 0:
+    weight = F.coalesce("size", F.lit(0)) + F.lit(OBJECT_COST).cast("long")
+    added, total = fresh.agg(F.count("*"), F.sum(weight)).first()
+    if added > 0:
+        if most_slices is not None:
+            # Bins are stretches of half their bytes.
+            slice_bytes = max(slice_bytes, 2 * -(-total // most_slices))
         # Each partition becomes one file.
         balanced(fresh, slice_bytes).select(*FINGERPRINT).write.mode("append").parquet(f"{folder}/pending")
     return added
@@ -74,17 +82,26 @@ def digest_slices(spark: SparkSession, folder: str, digest: Digest, slices: int
 
 
 def digest_resumed(
-    pending: DataFrame, folder: str, digest: Digest, *, slice_bytes: int = SLICE_BYTES, slices: int = 1
+    pending: DataFrame,
+    folder: str,
+    digest: Digest,
+    *,
+    slice_bytes: int = SLICE_BYTES,
+    slices: int = 1,
+    most_commits: int | None = None,
 ) -> DataFrame:
     """The `pending` rows with md5, digested in slices that are kept in `folder`.
 
     For `hash_job`, as `partial(digest_resumed, folder=..., digest=...)`. The folder belongs to
     one run and its repetitions: of rows it knows by path, size and mtime it gives the
-    digest it has, and rows that are new in a repetition make new slices. With `digest_rows`
-    each slice is a scan of the payloads' table, so few large slices are better there.
+    digest it has, and rows that are new in a repetition make new slices.
+
+    With `digest_rows` each commit (of `slices` slices) is a scan of the payloads' table.
+    `most_commits` bounds them, and so the scans, by making slices larger; a loss then costs
+    such a part of the run.
     """
     spark = pending.sparkSession
-    list_pending(pending, folder, slice_bytes)
+    list_pending(pending, folder, slice_bytes, most_commits and most_commits * slices)
     if not _saved(spark, f"{folder}/pending", LISTED).isEmpty():
         digest_slices(spark, folder, digest, slices)
     found = logged_digests(spark, folder).dropDuplicates(FINGERPRINT)

@@ -335,8 +335,8 @@ class Lost(Exception):
     """Stands for the loss of the driver."""
 
 
-# Small, so that the fixture makes several slices.
-SLICE_BYTES = 8 << 20
+# Small, so that the fixture makes several slices. Each commit scans the documents.
+SLICE_BYTES, MOST_COMMITS = 8 << 20, 8
 
 
 def job_hash_resumed(spark, sf_dir):
@@ -351,7 +351,14 @@ def job_hash_resumed(spark, sf_dir):
         return digest_them(rows)
 
     def job(one_by_one):
-        way = partial(digest_resumed, folder=folder, digest=one_by_one, slice_bytes=SLICE_BYTES, slices=2)
+        way = partial(
+            digest_resumed,
+            folder=folder,
+            digest=one_by_one,
+            slice_bytes=SLICE_BYTES,
+            slices=2,
+            most_commits=MOST_COMMITS,
+        )
         return hash_job(f.manifest, f.previous, way)
 
     try:
