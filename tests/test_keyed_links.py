@@ -5,7 +5,7 @@ from tests.test_streaming import ARRIVALS, LINKS, rows_of
 from twinsieve.schema import MANIFEST
 from twinsieve.streaming import planned_links, saved_arrivals, start_keyed_link_stream
 from twinsieve.streaming import keyed_links
-from twinsieve.streaming.keyed_links import FIRST, elected_stream, groups_of, keyed_batch
+from twinsieve.streaming.keyed_links import FIRST, elected_stream, first_of_contents, groups_of, keyed_batch
 
 
 @pytest.fixture
@@ -73,3 +73,28 @@ def test_an_empty_batch(spark, tmp_path):
     keyed_batch(base)(rows_of(spark, ARRIVALS[0]).filter("false"), 0)
     keyed_batch(base)(rows_of(spark, ARRIVALS[0]), 1)
     assert column(planned_links(spark, base), "canonical_path") == {"c": "a"}
+
+
+def test_no_content_is_sent_to_python(spark, tmp_path, monkeypatch):
+    base = str(tmp_path / "links")
+    monkeypatch.setattr(keyed_links, "elected_stream", None)
+    for n, rows in enumerate(ARRIVALS):
+        keyed_batch(base)(rows_of(spark, rows), n)
+    assert column(planned_links(spark, base), "canonical_path") == LINKS
+    stream = spark.readStream.schema(FIRST).option("recursiveFileLookup", "true").parquet(f"{base}/firsts")
+    plan = first_of_contents(stream)._jdf.queryExecution().analyzed().toString()
+    assert plan.count("Relation") == 1 and not any(w in plan for w in ("Join", "Pandas", "Python"))
+    # A batch is told of its own contents only, with their numbers there.
+    assert bag(groups_of(spark, base, 2), "md5", "n", "canonical_path", "canonical_inode") == {
+        ("xx", 1, "a", 1): 1, ("zz", 2, "f", 6): 1
+    }
+
+
+def test_a_folder_with_the_state_of_elected_stream_goes_on_with_it(spark, tmp_path, monkeypatch):
+    base = tmp_path / "links"
+    (base / "state").mkdir(parents=True)
+    monkeypatch.setattr(keyed_links, "first_of_contents", None)
+    for n, rows in enumerate(ARRIVALS):
+        keyed_batch(str(base))(rows_of(spark, rows), n)
+    assert column(planned_links(spark, str(base)), "canonical_path") == LINKS
+    assert not (base / "contents").exists()

@@ -8,6 +8,9 @@ stream's folder, and bounded by these disks.
 Before any row is shuffled, a batch is reduced to the first path of each content, so that
 the stateful step gets one row per content, whatever its number of copies. The rows of the
 batch then meet these answers as `join_groups` does it, which splits hot contents.
+
+The step is an aggregate of built-in functions (`first_of_contents`). Folders that have the
+state of `elected_stream`, which calls Python once per content, go on with that.
 """
 
 from collections.abc import Callable, Iterator
@@ -68,30 +71,60 @@ def elected_stream(firsts: DataFrame) -> DataFrame:
     return found.withColumn("n", F.greatest("n", F.lit(1)))
 
 
+def first_of_contents(firsts: DataFrame) -> DataFrame:
+    """For each content of a stream of FIRST its elected object, as of its latest batch.
+
+    An aggregate for the update mode: a trigger gives the contents it brings. It has to
+    bring one batch, since a content gets one row.
+    """
+    first = F.min(F.struct("batch", "path", "inode", "identity")).alias("first")
+    latest = F.max(F.struct("batch", "n")).alias("latest")
+    return firsts.groupBy(*CONTENT).agg(first, latest).select(
+        *CONTENT,
+        F.col("first.path").alias("canonical_path"),
+        F.col("first.inode").alias("canonical_inode"),
+        F.col("first.identity").alias("canonical_identity"),
+        "latest.batch",
+        "latest.n",
+    )
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
 def _once(df: DataFrame, path: str) -> DataFrame:
     """Write `df` unless that has been finished before; the table as written."""
     spark, schema = df.sparkSession, df.schema
-    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+    if not _exists(spark, f"{path}/_SUCCESS"):
         df.write.mode("overwrite").parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
+def _write_groups(base: str) -> Callable[[DataFrame, int], None]:
+    """Writes the answers of a trigger, by batch; a trigger that runs again overwrites them."""
+
+    def run(groups: DataFrame, _: int) -> None:
+        write = groups.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        write.partitionBy("batch").parquet(f"{base}/groups")
+
+    return run
+
+
 def _elect_new(spark: SparkSession, base: str) -> None:
     """Take the contents into the state that have been written since the last time."""
     firsts = spark.readStream.schema(FIRST).option("recursiveFileLookup", "true").parquet(f"{base}/firsts")
+    if _exists(spark, f"{base}/state"):
+        writer = elected_stream(firsts).writeStream.format("parquet").option("path", f"{base}/groups")
+        writer = writer.option("checkpointLocation", f"{base}/state").partitionBy("batch")
+    else:
+        writer = first_of_contents(firsts).writeStream.outputMode("update").foreachBatch(_write_groups(base))
+        writer = writer.option("checkpointLocation", f"{base}/contents")
     old = spark.conf.get(PROVIDER, None)
     spark.conf.set(PROVIDER, ROCKSDB)
     try:
-        query = (
-            elected_stream(firsts)
-            .writeStream.format("parquet")
-            .option("path", f"{base}/groups")
-            .option("checkpointLocation", f"{base}/state")
-            .partitionBy("batch")
-            .trigger(availableNow=True)
-            .start()
-        )
+        query = writer.trigger(availableNow=True).start()
     finally:
         spark.conf.set(PROVIDER, old) if old else spark.conf.unset(PROVIDER)
     query.awaitTermination()
