@@ -246,3 +246,30 @@ def test_pieces_of_long_lists_of_ends(spark, monkeypatch):
 def test_trie_of_the_small_table(spark, sf_dir):
     rows = [tuple(r) for r in queries.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").collect()]
     assert bag(queries.trie(spark, sf_dir)) == plain_trie(rows)
+
+
+def test_steps_on_runs_take_memory_by_their_bytes():
+    import tracemalloc
+
+    import numpy as np
+
+    def peak(work):
+        tracemalloc.start()
+        done = work()
+        top = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return top, done
+
+    rng = np.random.default_rng(3)
+    raw = rng.integers(0, 256, 200_000).astype(np.uint8)
+    start = rng.integers(0, len(raw) - 200, 100_000)
+    size = rng.integers(0, 114, len(start))
+    top, symbols = peak(lambda: suffix_dedup._symbols(raw, start))
+    assert top < 3 * symbols.nbytes
+    want = [raw[a : a + LENGTH].tobytes() for a in start[:500]]
+    assert [x.tobytes()[:LENGTH] for x in symbols[:500]] == want
+    top, spans = peak(lambda: suffix_dedup._slices(raw, start, size))
+    assert top < 3 * size.sum()
+    assert spans.to_pylist() == [raw[a : a + n].tobytes() for a, n in zip(start, size)]
+    none = np.zeros(0, np.int64)
+    assert len(suffix_dedup._slices(raw, none, none)) == 0

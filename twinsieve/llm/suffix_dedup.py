@@ -48,6 +48,10 @@ HOT_RUNS = 4096
 SORTED_AT_ONCE = 1 << 17
 # Runs that a task combines before it hands them on.
 COMBINED_ROWS = 1 << 17
+# Runs whose bytes are hashed or copied at once.
+RUNS_AT_ONCE = 1 << 12
+# Powers that are kept for hashes: for a slice, or the bytes of so many runs.
+POWERS = max(SLICE + LENGTH, RUNS_AT_ONCE * (RUN + LENGTH))
 LAST = (1 << 63) - 1  # stands for a null key
 _U = np.uint64
 
@@ -56,7 +60,7 @@ class Hashes:
     """Hashes of any spans of some bytes."""
 
     def __init__(self, raw: np.ndarray):
-        self.up, self.down = _power_tables(len(raw) + 1)
+        self.up, self.down = _power_tables(len(raw) + 1, POWERS)
         values = _byte_values()
         zero = np.zeros(1, np.uint64)
         sums = lambda v: np.concatenate((zero, np.cumsum(v[raw] * self.up[:-1], dtype=np.uint64)))
@@ -142,8 +146,11 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _slices(raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
     """Spans of bytes as a binary column."""
     edge = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
-    take = np.repeat(start - edge[:-1], size) + np.arange(edge[-1])
-    data = np.ascontiguousarray(raw[take])
+    data = np.empty(edge[-1], np.uint8)
+    for i in range(0, len(start), RUNS_AT_ONCE):
+        some = slice(i, i + RUNS_AT_ONCE)
+        low, high = edge[i], edge[min(i + RUNS_AT_ONCE, len(start))]
+        data[low:high] = raw[np.repeat(start[some] - edge[:-1][some], size[some]) + np.arange(low, high)]
     return pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(edge), pa.py_buffer(data)])
 
 
@@ -198,8 +205,8 @@ def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _leading(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Add the leading bytes of the suffix at each run's anchor."""
     for batch in batches:
-        for i in range(0, batch.num_rows, 1 << 14):
-            part = batch.slice(i, 1 << 14)
+        for i in range(0, batch.num_rows, RUNS_AT_ONCE):
+            part = batch.slice(i, RUNS_AT_ONCE)
             raw, edge = _bytes_of(part["_bytes"])
             if not len(edge) - 1:
                 continue
@@ -209,6 +216,11 @@ def _leading(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*part.columns, lead], [*part.schema.names, "_lead"])
 
 
+def _combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Both steps in one Python worker, not one each."""
+    return _leading(_once(batches))
+
+
 def multikey(group: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order of the rows by group and symbols, and the class of equal rows at each place.
 
@@ -239,7 +251,8 @@ def _symbols(raw: np.ndarray, start: np.ndarray) -> np.ndarray:
     """The LENGTH bytes from each start as symbols of eight bytes, in byte order."""
     wide = -(-LENGTH // 8) * 8
     out = np.zeros((len(start), wide), np.uint8)
-    out[:, :LENGTH] = raw[start[:, None] + np.arange(LENGTH)]
+    # A view, since an index of each byte would take eight times the bytes.
+    out[:, :LENGTH] = np.lib.stride_tricks.sliding_window_view(raw, LENGTH)[start]
     return out.view(">u8")
 
 
@@ -305,8 +318,8 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _single_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each window of a run as a suffix of its own."""
     for batch in batches:
-        for i in range(0, batch.num_rows, 1 << 12):
-            part = batch.slice(i, 1 << 12)
+        for i in range(0, batch.num_rows, RUNS_AT_ONCE):
+            part = batch.slice(i, RUNS_AT_ONCE)
             raw, edge = _bytes_of(part["_bytes"])
             windows = np.diff(edge) - LENGTH + 1
             run = np.repeat(np.arange(len(windows)), windows)
@@ -471,8 +484,8 @@ def _flagged(docs: DataFrame, scratch: Scratch) -> DataFrame:
     differ = likely_rows(differ, shared, "_anchor")
     rows = "_anchor long, _h1 long, _h2 long, _lo long, _bytes binary"
     hot = scratch.stored(shared.filter(F.col("_runs") > HOT_RUNS).select("_anchor"), "hot")
-    differ = _filtered(differ.mapInArrow(_once, rows), hot, "_anchor")
-    differ = scratch.stored(differ.mapInArrow(_leading, f"{rows}, _maybe boolean, _lead binary"), "differing")
+    differ = differ.mapInArrow(_combined, f"{rows}, _lead binary")
+    differ = scratch.stored(_filtered(differ, hot, "_anchor"), "differing")
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cold = differ.filter("not _maybe").select("_h1", "_h2", "_lo", "_bytes", "_lead")

@@ -38,10 +38,10 @@ def _byte_values() -> np.ndarray:
 _powers: dict[str, np.ndarray] = {}
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64."""
+def _power_tables(n: int, least: int = CHUNK_BYTES + 65536) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse modulo 2**64; `least` of them are kept for later."""
     if not _powers or len(_powers["up"]) < n:
-        size = max(n, CHUNK_BYTES + 65536)
+        size = max(n, least)
         for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 2**64))):
             steps = np.full(size, base, np.uint64)
             steps[0] = 1
