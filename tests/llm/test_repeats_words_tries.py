@@ -273,3 +273,19 @@ def test_steps_on_runs_take_memory_by_their_bytes():
     assert spans.to_pylist() == [raw[a : a + n].tobytes() for a, n in zip(start, size)]
     none = np.zeros(0, np.int64)
     assert len(suffix_dedup._slices(raw, none, none)) == 0
+
+
+def test_the_filter_keeps_listed_rows_and_few_others(spark):
+    from twinsieve.llm.columns import _filtered, stored
+
+    hashes = spark.range(40_000).select(F.xxhash64("id").alias("_fp"), "id")
+    edges = spark.createDataFrame([(v, -1) for v in (0, 1, 7, 8, 31, 32, 63, 32767, 32768, -1, -(2**63))], "_fp long, id long")
+    rows = hashes.unionByName(edges)
+    listed = stored(rows.filter("id % 4 = 0 or id = -1").select("_fp"), "listed")
+    marked = _filtered(rows.unionByName(spark.createDataFrame([(None, -2)], "_fp long, id long")), listed)
+    found = {(r._maybe, r.kind): r["count"] for r in marked.withColumn("kind", F.expr("case when id = -2 then 'null' when id % 4 = 0 or id = -1 then 'listed' else 'other' end")).groupBy("_maybe", "kind").count().collect()}
+    assert found[True, "listed"] == 10_011 and (False, "listed") not in found
+    assert found[True, "other"] < 1_000 and found[False, "null"] == 1
+    # A row is looked up without making text of the bitmap.
+    plan = marked._jdf.queryExecution().optimizedPlan().toString()
+    assert "conv(" not in plan and "hex(" not in plan

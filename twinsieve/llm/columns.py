@@ -80,10 +80,13 @@ def _filtered(rows: DataFrame, listed: DataFrame, on: str = "_fp") -> DataFrame:
     maps = listed.groupBy(F.bitmap_bucket_number(place).alias("_part")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("_map")
     )
+    # Four bytes as an integer, since each row would spend more on the text of a byte.
+    word = "cast(conv(hex(substring(_map, 4 * i + 1, 4)), 16, 10) as bigint)"
+    signed = f"cast(shiftright(shiftleft({word}, 32), 32) as int)"
+    maps = maps.select("_part", F.expr(f"transform(sequence(0, 1023), i -> {signed})").alias("_map"))
     maps = F.broadcast(stored(maps, "filter"))
     at = F.bitmap_bit_position(place)
-    byte = F.expr("cast(conv(hex(substring(_map, cast(_at div 8 as int) + 1, 1)), 16, 10) as int)")
-    bit = byte.bitwiseAND(F.expr("shiftleft(1, cast(_at % 8 as int))"))
+    bit = F.expr("bit_get(_map[cast(_at div 32 as int)], cast(24 - _at div 8 % 4 * 8 + _at % 8 as int))")
     marked = rows.withColumns({"_part": F.bitmap_bucket_number(place), "_at": at})
     marked = marked.join(maps, "_part", "left")
     return marked.select(*rows.columns, F.coalesce(bit != 0, F.lit(False)).alias("_maybe"))
