@@ -15,14 +15,15 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 import public_tokenizers
 from twinsieve.llm import queries
-from twinsieve.llm.columns import keyed, listed_rows, stored, unlisted_rows
+from twinsieve.llm.columns import Scratch, keyed, listed_rows, stored, unlisted_rows
 from twinsieve.llm.decontaminate import contamination
 from twinsieve.llm.license_scan import license_scan, usual_licenses
 from twinsieve.llm import lm_scoring
 from twinsieve.llm.lm_scoring import lm_scores
 from twinsieve.llm.mixing import mix_sources
 from twinsieve.llm.mixing_model import SCALES, Mixer
-from twinsieve.llm.near_dups import _linked, near_duplicates, shingles, sketch
+from twinsieve.llm import near_dups
+from twinsieve.llm.near_dups import _linked, components, near_duplicates, shingles, sketch
 from twinsieve.llm.quality_classifier import fit, fit_classifier, quality_score, score
 from twinsieve.llm.quality_rules import quality_rules
 from twinsieve.llm.secret_scan import RULES, secret_spans, spans_text
@@ -190,6 +191,30 @@ def test_near_duplicates(spark, docs, sf_dir, size):
     assert len({(r.component_id, r._id, r._fp) for r in got if r.kept}) == len({b for _, b in want.values()})
 
 
+def test_near_duplicates_without_broadcasts(spark, monkeypatch):
+    monkeypatch.setattr(near_dups, "BROADCAST_ROWS", -1)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join([*base[: i % 7], f"x{i}", *base[i % 7 + 1 :]])) for i in range(20)]
+    rows += [(20, "something else"), (21, "something else"), (22, None)]
+    want = plain_groups(set(rows), 2)
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=2).collect()
+    text = dict(rows)
+    assert {r._id: (r.n_shingles, r.component_id) for r in got} == {
+        d: (n, best[0]) for (d, t), (n, best) in want.items() if text[d] == t
+    }
+
+
+def test_stars_need_no_further_round(spark):
+    edges = [(b"a", b"c"), (b"c", b"b"), (b"d", b"b"), (b"x", b"y"), (b"y", b"z"), (b"q", b"q")]
+    stars = [(b"b", b"a"), (b"c", b"a"), (b"d", b"a"), (b"y", b"x"), (b"z", b"x")]
+    want = {(b"a", b"a"), (b"b", b"a"), (b"c", b"a"), (b"d", b"a"), (b"x", b"x"), (b"y", b"x"), (b"z", b"x")}
+    for pairs, rounds in ((edges, True), (stars, False)):
+        with Scratch(spark, "stars") as scratch:
+            found = components(spark.createDataFrame(pairs, "a binary, b binary"), scratch)
+            assert {(bytes(n), bytes(r)) for n, r in found.collect()} == want
+            assert (scratch.tables > 1) == rounds
+
+
 def test_near_duplicates_of_nothing(none):
     assert near_duplicates(none).count() == 0
 

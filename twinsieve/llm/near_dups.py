@@ -29,14 +29,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinsieve.llm.columns import Scratch, keyed, likely_rows, listed_rows, stored
+from twinsieve.llm.columns import Scratch, keyed, likely_rows, listed_rows, same, stored
 from twinsieve.llm.textbatch import Texts, distinct_by_text, mix, row_chunks, seeded, sums_by
-from twinsieve.operators.groups import join_groups
+from twinsieve.operators.groups import is_short, join_groups
 
 ROWS, BANDS = 6, 48
 COORDINATES = ROWS * BANDS
 # Nodes of one side in a block.
 BLOCK = 256
+# Stored tables without sets or texts, of up to so many rows, are broadcast to joins.
+BROADCAST_ROWS = 100_000
 _U = np.uint64
 _EMPTY = _U(0xFFFFFFFFFFFFFFFF)
 
@@ -174,6 +176,11 @@ def _block_links(percent: int):
     return run
 
 
+def _near(table: DataFrame) -> DataFrame:
+    """A stored table, broadcast to joins where it is short."""
+    return F.broadcast(table) if is_short(table, BROADCAST_ROWS) else table
+
+
 def _blocks(
     lefts: DataFrame, rights: DataFrame, sets: DataFrame, group: str, percent: int, scratch: Scratch
 ) -> DataFrame:
@@ -185,7 +192,7 @@ def _blocks(
         side.groupBy(group).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
         for side, name in ((lefts, "_lb"), (rights, "_rb"))
     ]
-    blocks = scratch.stored(sizes[0].join(sizes[1], group), "blocks")
+    blocks = _near(scratch.stored(sizes[0].join(sizes[1], group), "blocks"))
     own = lambda n: F.pmod(F.xxhash64("_node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     out = None
@@ -200,44 +207,51 @@ def _blocks(
             group, "_node", "_comp", "_left", F.col(names[0]).alias("_l"), F.col(names[1]).alias("_r")
         )
         out = rows if out is None else out.unionByName(rows)
-    # Sets of these nodes only are shuffled.
-    out = scratch.stored(out.withColumn("_at_node", F.xxhash64("_node")), "block-rows")
-    near = likely_rows(sets.withColumn("_at_node", F.xxhash64("_node")), out, "_at_node")
-    with_sets = out.drop("_at_node").join(near.drop("_at_node"), "_node")
+    out = scratch.stored(out, "block-rows")
+    if is_short(out, BROADCAST_ROWS):
+        with_sets = sets.join(F.broadcast(out), "_node").select(*out.columns, "_set")
+    else:  # sets of these nodes only are shuffled
+        out = out.withColumn("_at_node", F.xxhash64("_node"))
+        near = likely_rows(sets.withColumn("_at_node", F.xxhash64("_node")), out, "_at_node")
+        with_sets = out.drop("_at_node").join(near.drop("_at_node"), "_node")
     return with_sets.groupBy(group, "_l", "_r").applyInArrow(
         _block_links(percent), "a binary, b binary"
     )
 
 
+def _are_stars(pairs: DataFrame) -> bool:
+    """Whether each node has one partner at most, and no partner has one itself."""
+    ends = pairs.select(F.col("a").alias("_node"), F.lit(1).alias("_up")).unionByName(
+        pairs.select(F.col("b").alias("_node"), F.lit(0).alias("_up"))
+    )
+    seen = ends.groupBy("_node").agg(F.sum("_up").alias("_ups"), F.count("*").alias("_all"))
+    return not seen.filter("_ups > 1 or (_ups = 1 and _all > 1)").count()
+
+
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(_node, _root) of all nodes with edges; _root is the smallest node reached.
 
-    Alternates two steps until nothing changes: each node hands its smallest neighbour
-    to its larger ones, then to its smaller ones. Paths shrink by half at least.
+    Alternates two steps until all is stars: each node hands its smallest neighbour
+    to its larger ones, then to its smaller ones. Paths shrink by half at least. Edges
+    go from the larger node to the smaller one, so the middle of a star is its smallest.
     """
 
-    def step(pairs: DataFrame, label: str) -> DataFrame:
-        lowest = scratch.stored(pairs.groupBy("a").agg(F.min("b").alias("_low")), "low")
+    def met(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        lowest = _near(scratch.stored(pairs.groupBy("a").agg(F.min("b").alias("_low")), "low"))
         lowest = lowest.select("a", F.least("a", "_low").alias("_low"))
-        met = pairs.join(lowest, "a")
-        if label == "large":
-            out = met.filter("b > a").select(F.col("b").alias("a"), F.col("_low").alias("b"))
-        else:
-            own = lowest.select("a", F.col("_low").alias("b"))
-            out = met.select(F.col("b").alias("a"), F.col("_low").alias("b")).unionByName(own)
-        return scratch.stored(out.filter("a != b").distinct(), label)
-
-    def state(pairs: DataFrame):
-        return tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        return lowest, pairs.join(lowest, "a")
 
     now = edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    now, before = scratch.stored(now.distinct(), "edges"), None
-    while before != (seen := state(now)):
-        before = seen
-        if not seen[0]:
-            break
+    now = scratch.stored(now.distinct(), "edges")
+    while not _are_stars(now):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        now = step(step(both, "large"), "small")
+        # As many rows as there are edges; equal ones fall together after the second step.
+        large = met(both)[1].filter("b > a").select(F.col("b").alias("a"), F.col("_low").alias("b"))
+        large = scratch.stored(large.filter("a != b"), "large")
+        lowest, pairs = met(large)
+        small = pairs.select(F.col("b").alias("a"), F.col("_low").alias("b"))
+        small = small.unionByName(lowest.select("a", F.col("_low").alias("b")))
+        now = scratch.stored(small.filter("a != b").distinct(), "small")
     roots = now.select(F.col("b").alias("_node")).distinct()
     return now.select(F.col("a").alias("_node"), F.col("b").alias("_root")).unionByName(
         roots.select("_node", F.col("_node").alias("_root"))
@@ -284,7 +298,7 @@ def near_duplicates(
 
 
 def _links(narrow: DataFrame, rows: DataFrame, words: int, percent: int, scratch: Scratch) -> DataFrame:
-    """Links that connect all nodes which any chain of links connects."""
+    """Pairs that connect all nodes which any chain of links connects, and no others."""
     stored = scratch.stored
     # One row stands for each distinct set.
     one = rows.filter("_node is not null").groupBy("_node")
@@ -298,29 +312,36 @@ def _links(narrow: DataFrame, rows: DataFrame, words: int, percent: int, scratch
     # Buckets of the same nodes say the same; one of them is enough.
     buckets = shared.groupBy("_bucket").agg(
         F.count("*").alias("_m"),
-        F.min("_node").alias("_pivot"),
+        F.min(F.struct("_node", "_n")).alias("_first"),
         F.max("_node").alias("_last"),
         F.sum(F.shiftright(F.xxhash64("_node"), 24)).alias("_sum"),
     )
-    buckets = buckets.filter("_m > 1").groupBy("_m", "_pivot", "_last", "_sum")
-    buckets = stored(buckets.agg(F.min("_bucket").alias("_bucket")), "buckets")
-    members = likely_rows(shared, buckets, "_bucket").join(buckets.select("_bucket", "_pivot"), "_bucket")
+    buckets = buckets.filter("_m > 1").groupBy("_m", "_first", "_last", "_sum")
+    buckets = buckets.agg(F.min("_bucket").alias("_bucket"))
+    buckets = buckets.select("_bucket", "_m", F.col("_first._node").alias("_pivot"), F.col("_first._n").alias("_pivot_n"))
+    buckets = stored(buckets, "buckets")
+    if is_short(buckets, BROADCAST_ROWS):
+        members = shared.join(F.broadcast(buckets), "_bucket")
+    else:
+        members = likely_rows(shared, buckets, "_bucket").join(buckets, "_bucket")
     members = stored(members, "members")
     scratch.drop(shared)
 
     wanted = members.select("_node").distinct().join(one.select("_node", "_row"), "_node")
     wanted = stored(wanted.select("_node", "_row._id", "_row._fp"), "wanted")
     scratch.drop(one)
-    chosen = listed_rows(narrow, wanted).select("_node", "_text")
+    if is_short(wanted, BROADCAST_ROWS):
+        chosen = narrow.join(F.broadcast(wanted), same(narrow, wanted, "_id", "_fp")).select("_node", "_text")
+    else:
+        chosen = listed_rows(narrow, wanted).select("_node", "_text")
     sets = stored(chosen.mapInArrow(_set_tables(words), "_node binary, _set array<long>"), "sets")
     if sets.count() > wanted.count():  # rows repeated with their key
         sets = stored(sets.dropDuplicates(["_node"]), "sets-once")
 
     # Each node with the first nodes of its buckets, where the sizes allow a link.
-    pivots = members.filter("_node = _pivot").select("_pivot", F.col("_n").alias("_pivot_n")).distinct()
-    stars = members.filter("_node != _pivot").groupBy("_pivot", "_node", "_n").agg(F.count("*").alias("_bands"))
     allowed = F.least("_n", "_pivot_n") * 100 >= F.greatest("_n", "_pivot_n") * percent
-    stars = stored(stars.join(pivots, "_pivot").filter(allowed), "stars")
+    stars = members.filter(F.expr("_node != _pivot") & allowed).groupBy("_pivot", "_node")
+    stars = stored(stars.agg(F.count("*").alias("_bands")), "stars")
 
     # First links: each node with the one that it shares most bands with.
     nearest = stars.groupBy("_node").agg(F.min(F.struct(-F.col("_bands"), "_pivot")).getField("_pivot").alias("_pivot"))
@@ -331,9 +352,10 @@ def _links(narrow: DataFrame, rows: DataFrame, words: int, percent: int, scratch
     first = stored(_blocks(centres, nearest, sets, "_pivot", percent, scratch), "first")
     # Each of these goes from a node to a smaller one. Two steps along them are label enough.
     up = first.select(F.greatest("a", "b").alias("_node"), F.least("a", "b").alias("_up")).distinct()
+    up = _near(stored(up, "up"))
     top = up.select(F.col("_node").alias("_up"), F.col("_up").alias("_top"))
     roots = up.join(top, "_up", "left").select("_node", F.coalesce("_top", "_up").alias("_root"))
-    roots = stored(roots, "first-roots")
+    roots = _near(stored(roots, "first-roots"))
 
     # Second links: with the others, but for those they are known to be connected with.
     at_pivot = roots.select(F.col("_node").alias("_pivot"), F.col("_root").alias("_pivot_root"))
@@ -346,26 +368,32 @@ def _links(narrow: DataFrame, rows: DataFrame, words: int, percent: int, scratch
     second = _blocks(centres, apart.drop("_pivot_comp"), sets, "_pivot", percent, scratch)
     first = first.unionByName(stored(second, "second"))
     roots = stored(components(first, scratch), "second-roots")
+    # These say the same as the links so far, and are stars already.
+    joined = roots.filter("_node != _root").select(F.col("_node").alias("a"), F.col("_root").alias("b"))
 
     # The rest: nodes beside the component of their bucket's first node.
-    labelled = members.join(roots, "_node", "left").select(
-        "_bucket", "_node", "_n", "_pivot", F.coalesce("_root", "_node").alias("_comp")
-    )
-    main = labelled.filter("_node = _pivot").select("_bucket", F.col("_comp").alias("_main"))
-    labelled = stored(labelled.join(main, "_bucket"), "labelled")
-    lefts = labelled.filter("_comp != _main and _node != _pivot").select("_bucket", "_pivot", "_node", "_n", "_comp")
+    roots = _near(roots)
+    at_pivot = roots.select(F.col("_node").alias("_pivot"), F.col("_root").alias("_pivot_root"))
+    labelled = members.join(roots, "_node", "left").join(at_pivot, "_pivot", "left").select(
+        "_bucket", "_m", "_node", "_n", "_pivot", F.coalesce("_root", "_node").alias("_comp"),
+        F.coalesce("_pivot_root", "_pivot").alias("_main"),
+    )
+    labelled = stored(labelled, "labelled")
     # A bucket of two nodes has been settled by its first.
-    sizes = lefts.groupBy("_bucket").agg(F.min("_n").alias("_least"), F.max("_n").alias("_most"))
-    larger = labelled.groupBy("_bucket").agg(F.count("*").alias("_m")).filter("_m > 2")
-    open_buckets = stored(sizes.join(larger, "_bucket").drop("_m"), "open")
-    lefts = stored(lefts.join(open_buckets.select("_bucket"), "_bucket").drop("_n"), "lefts")
+    lefts = labelled.filter("_m > 2 and _comp != _main and _node != _pivot")
+    open_buckets = lefts.groupBy("_bucket").agg(F.min("_n").alias("_least"), F.max("_n").alias("_most"))
+    open_buckets = stored(open_buckets, "open")
+    if not open_buckets.count():
+        return joined
+    lefts = lefts.select("_bucket", "_pivot", "_node", "_comp")
     # Nodes that are too small or too large for each left node of their bucket link with none.
     near = (F.col("_n") * 100 >= F.col("_least") * percent) & (F.col("_most") * 100 >= F.col("_n") * percent)
-    rights = labelled.join(open_buckets, "_bucket").filter(near).select("_bucket", "_pivot", "_node", "_comp")
+    rights = labelled.join(_near(open_buckets), "_bucket").filter(near).select("_bucket", "_pivot", "_node", "_comp")
     rights = stored(rights, "rights")
     # A node shares many buckets with each of its likes. Its set goes to a group once.
     family = rights.select("_pivot", "_node").distinct().groupBy("_pivot").agg(F.count("*").alias("_nodes"))
-    family = stored(family.filter(F.col("_nodes") <= BLOCK).select("_pivot", F.lit(True).alias("_fits")), "families")
+    family = family.filter(F.col("_nodes") <= BLOCK).select("_pivot", F.lit(True).alias("_fits"))
+    family = _near(stored(family, "families"))
 
     def grouped(side: DataFrame) -> DataFrame:
         group = F.when(F.col("_fits"), F.xxhash64(F.lit("family"), "_pivot")).otherwise(F.col("_bucket"))
@@ -373,4 +401,4 @@ def _links(narrow: DataFrame, rows: DataFrame, words: int, percent: int, scratch
         return side.select(group.alias("_bucket"), "_node", "_comp").distinct()
 
     lefts, rights = stored(grouped(lefts), "left-groups"), stored(grouped(rights), "right-groups")
-    return first.unionByName(_blocks(lefts, rights, sets, "_bucket", percent, scratch))
+    return joined.unionByName(_blocks(lefts, rights, sets, "_bucket", percent, scratch))
