@@ -5,10 +5,12 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from twinsieve.llm import prefix_trie, queries, spelling_variants, suffix_dedup
+from twinsieve.llm.columns import _filtered, bitmap, stored
 from twinsieve.llm.prefix_trie import as_paths, conversations, rebuilt
 from twinsieve.llm.spelling_variants import document_words
 from twinsieve.llm.suffix_dedup import remove_repeats
@@ -88,6 +90,35 @@ def test_repeats_of_overlapping_passages(spark, anchors):
     assert got == plain_repeats(rows)
 
 
+def test_runs_of_unlisted_anchors_are_not_handed_on():
+    from types import SimpleNamespace
+
+    import numpy as np
+    import pyarrow as pa
+
+    columns = [[1], [2], [3], ["".join(chr(97 + i * i % 26) + str(i) for i in range(90))]]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["_id", "_fp", "_ord", "_text"])
+    bits = np.full(1 << 10, 255, np.uint8)
+    rows = lambda: [r for b in suffix_dedup._runs(SimpleNamespace(value=bits.tobytes()))([batch]) for r in b.to_pylist()]
+    every = rows()
+    assert sum(r["_n"] for r in every) == len(columns[3][0]) - LENGTH + 1
+    one = every[1]["_anchor"]
+    bits[:] = 0
+    assert rows() == []
+    at = one % (8 * len(bits))
+    bits[at >> 3] = 1 << (at & 7)
+    assert rows() == [r for r in every if r["_anchor"] % (8 * len(bits)) == at] != []
+
+
+def test_bitmap_has_what_the_filter_has(spark):
+    rows = spark.range(2000).select(F.abs(F.xxhash64("id")).alias("_fp"))
+    listed = stored(rows.limit(100), "listed")
+    raw = np.frombuffer(bitmap(listed, "_fp"), np.uint8)
+    for r in _filtered(rows, listed).collect():
+        at = r._fp % (8 * len(raw))
+        assert bool(raw[at >> 3] >> (at & 7) & 1) == r._maybe
+
+
 def test_texts_longer_than_a_slice(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "SLICE", 256)
     words = " ".join(f"w{i * 7919 % 1009}" for i in range(600))

@@ -67,19 +67,38 @@ def same(left: DataFrame, right: DataFrame, *names: str) -> Column:
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28
 
 
+def _bits(listed: DataFrame) -> int:
+    bits = LEAST_BITS
+    while bits < min(16 * listed.count(), MOST_BITS):
+        bits *= 2
+    return bits
+
+
+def _maps(listed: DataFrame, place: Column) -> DataFrame:
+    """Parts of 4 KB of the bitmap of the places, which count from 1."""
+    return listed.groupBy(F.bitmap_bucket_number(place).alias("_part")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("_map")
+    )
+
+
+def bitmap(listed: DataFrame, on: str) -> bytes:
+    """The bitmap of `_filtered` as bytes, for Python steps: hash h is bit h modulo its length,
+    the lowest of a byte first. Built by a distributed aggregate; 32 MB at most."""
+    bits = _bits(listed)
+    out = bytearray(bits // 8)
+    for part, found in _maps(listed, F.pmod(F.col(on), F.lit(bits)) + 1).collect():
+        out[(part - 1) * len(found) : part * len(found)] = found
+    return bytes(out)
+
+
 def _filtered(rows: DataFrame, listed: DataFrame, on: str = "_fp") -> DataFrame:
     """Add _maybe to rows: false only where no listed row has the same 64-bit hash `on`.
 
     A bitmap of the listed hashes, built by a distributed aggregate and broadcast: 32 MB at
     most, whatever the input. It only saves shuffles; where it fills up, results stay.
     """
-    bits = LEAST_BITS
-    while bits < min(16 * listed.count(), MOST_BITS):
-        bits *= 2
-    place = F.pmod(F.col(on), F.lit(bits)) + 1
-    maps = listed.groupBy(F.bitmap_bucket_number(place).alias("_part")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("_map")
-    )
+    place = F.pmod(F.col(on), F.lit(_bits(listed))) + 1
+    maps = _maps(listed, place)
     # Four bytes as an integer, since each row would spend more on the text of a byte.
     word = "cast(conv(hex(substring(_map, 4 * i + 1, 4)), 16, 10) as bigint)"
     signed = f"cast(shiftright(shiftleft({word}, 32), 32) as int)"

@@ -30,10 +30,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinsieve.llm.columns import Scratch, _filtered, keyed, likely_rows, same, stored, unlisted_rows
+from twinsieve.llm.columns import Scratch, _filtered, bitmap, keyed, likely_rows, same, stored, unlisted_rows
 from twinsieve.llm.textbatch import _byte_values, _power_tables, mix
 from twinsieve.operators.groups import join_groups
 
@@ -157,16 +158,27 @@ def _slices(raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
 RUN_COLUMNS = ["_id", "_fp", "_ord", "_start", "_n", "_anchor", "_h1", "_h2", "_bytes"]
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row, start, size, anchor, place, hashes in runs(batch["_text"]):
-            one, two = hashes.spans(place, place + size + LENGTH - 1)
-            take = pa.array(row)
-            yield pa.RecordBatch.from_arrays(
-                [*[batch[c].take(take) for c in RUN_COLUMNS[:3]], pa.array(start), pa.array(size.astype(np.int32)),
-                 pa.array(anchor), pa.array(one), pa.array(two), _slices(hashes.raw, place, size + LENGTH - 1)],
-                RUN_COLUMNS,
-            )
+def _runs(listed: Broadcast):
+    """The runs, but for those whose anchor the bitmap `listed` doesn't have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        listing = np.frombuffer(listed.value, np.uint8)
+        for batch in batches:
+            for row, start, size, anchor, place, hashes in runs(batch["_text"]):
+                bit = anchor % (8 * len(listing))
+                some = np.flatnonzero((listing[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1)
+                if not len(some):
+                    continue
+                row, start, size, anchor, place = (x[some] for x in (row, start, size, anchor, place))
+                one, two = hashes.spans(place, place + size + LENGTH - 1)
+                take = pa.array(row)
+                yield pa.RecordBatch.from_arrays(
+                    [*[batch[c].take(take) for c in RUN_COLUMNS[:3]], pa.array(start), pa.array(size.astype(np.int32)),
+                     pa.array(anchor), pa.array(one), pa.array(two), _slices(hashes.raw, place, size + LENGTH - 1)],
+                    RUN_COLUMNS,
+                )
+
+    return run
 
 
 def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -469,7 +481,10 @@ def _flagged(docs: DataFrame, scratch: Scratch) -> DataFrame:
     columns = (
         f"_id {kind}, _fp long, _ord long, _start long, _n int, _anchor long, _h1 long, _h2 long, _bytes binary"
     )
-    found = scratch.stored(likely_rows(docs.mapInArrow(_runs, columns), repeated, "_anchor"), "runs")
+    # Looked up before a run's hashes and bytes are made and handed on: most anchors occur once.
+    listed = docs.sparkSession.sparkContext.broadcast(bitmap(repeated, "_anchor"))
+    found = scratch.stored(docs.mapInArrow(_runs(listed), columns), "runs")
+    listed.destroy()
 
     # Equal runs as one, with the smallest and the largest key.
     sets = found.groupBy("_anchor", "_h1", "_h2").agg(
