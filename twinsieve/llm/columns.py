@@ -68,8 +68,8 @@ LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28
 
 
 def _bits(listed: DataFrame) -> int:
-    bits = LEAST_BITS
-    while bits < min(16 * listed.count(), MOST_BITS):
+    wanted, bits = min(16 * listed.count(), MOST_BITS), LEAST_BITS
+    while bits < wanted:
         bits *= 2
     return bits
 
