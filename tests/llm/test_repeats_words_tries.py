@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -110,6 +111,68 @@ def test_runs_of_unlisted_anchors_are_not_handed_on():
     assert rows() == [r for r in every if r["_anchor"] % (8 * len(bits)) == at] != []
 
 
+def test_anchors_are_counted_from_packed_parts(monkeypatch):
+    texts = [" ".join(f"w{i * j % 1009}" for i in range(80)) for j in range(1, 200)] + ["short", "x" * 300, "x" * 300]
+    batches = [pa.RecordBatch.from_arrays([pa.array(texts[i : i + 50])], ["_text"]) for i in range(0, len(texts), 50)]
+    every = Counter(a for b in batches for r, a in {(r, a) for x in suffix_dedup.runs(b["_text"]) for r, a in zip(x[0], x[3])})  # noqa: E501
+    for most in (1 << 19, 1):
+        monkeypatch.setattr(suffix_dedup, "DEALT_ANCHORS", most)
+        dealt = list(suffix_dedup._anchors(iter(batches)))
+        assert len(dealt) == (1 if most > 1 else len(batches))
+        # A row for a part, not one for an anchor.
+        assert all(len(b["_part"].unique()) == b.num_rows <= suffix_dedup.ANCHOR_PARTS for b in dealt)
+        for many in (1 << 12, 1):
+            monkeypatch.setattr(suffix_dedup, "COUNTED_ROWS", many)
+            rows = pa.Table.from_batches(dealt).sort_by("_part").to_batches(max_chunksize=100)
+            found = [a for b in suffix_dedup._repeated(iter(rows)) for a in b["_anchor"].to_pylist()]
+            assert sorted(found) == sorted(a for a, n in every.items() if n > 1) != []
+
+
+def test_windows_of_a_bucket_are_not_handed_on_one_by_one():
+    rows = [(bytes([97 + w // 9, 97 + w % 9]) * 25, lo) for w in range(60) for lo in range(w % 4 * 7 % 5 + 1)]
+    rows[40:40] = [(rows[40][0], 3)] * 90  # in several batches
+    rows.sort()
+    least, names = dict(reversed(rows)), ["_h1", "_h2", "_lo", "_offset", "_window"]
+    for size in (1, 25, len(rows)):
+        parts = [rows[i : i + size] for i in range(0, len(rows), size)]
+        count = lambda p: pa.array(range(len(p)))
+        batches = [
+            pa.RecordBatch.from_arrays(
+                [count(p), count(p), pa.array([x[1] for x in p]), count(p).cast("int32"), pa.array([x[0] for x in p])],
+                names,
+            )
+            for p in parts
+        ]
+        out = list(suffix_dedup._bucket(iter(batches)))
+        assert len(out) <= 3 * len(batches)
+        got = [(r["_lo"], r["_least"], r["_edge"]) for b in out for r in b.to_pylist()]
+        ends = (rows[0][0], rows[-1][0])
+        assert got == [(lo, least[w], w if w in ends else None) for w, lo in rows]
+
+
+def test_texts_cut_together_keep_their_own_spans(monkeypatch):
+    row = lambda text, windows=None, later=False: (0, 0, text, windows, later)
+    run = lambda start, n, bits: {"_start": start, "_n": n, "_bits": bits}
+    a, b = "a" * 60, "é" * 40 + "b" * 20
+    rows = [row(None), row(a, None, True), row(a, [run(0, 11, 1)]), row(""), row(b, [run(30, 21, -1), run(0, 2, 2)]),
+            row(b, None, True), row("tail"), row(b, [run(0, 51, -1)])]
+    kind = pa.list_(pa.struct([("_start", pa.int64()), ("_n", pa.int32()), ("_bits", pa.int64())]))
+    kinds = [pa.int64(), pa.int64(), pa.string(), kind, pa.bool_()]
+    columns = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
+    batch = pa.RecordBatch.from_arrays(columns, ["_id", "_fp", "_text", "_windows", "_later"])
+    spans = [[], [(0, 60)], [(0, 50)], [], [(1, 100)], [(0, 100)], [], [(0, 100)]]
+    for most in (1 << 20, 150, 1):
+        monkeypatch.setattr(suffix_dedup, "CUT_BYTES", most)
+        for part in (batch, batch.slice(2)):
+            got = [r for x in suffix_dedup._cut(iter([part])) for r in x.to_pylist()]
+            raws = [(t or "").encode() for t in part["_text"].to_pylist()]
+            want = spans[len(rows) - part.num_rows :]
+            assert [[(s["start"], s["end"]) for s in r["removed"]] for r in got] == want
+            stays = lambda raw, gone: bytes(x for i, x in enumerate(raw) if not any(p <= i < q for p, q in gone))
+            assert [r["kept"] for r in got] == [stays(*x) for x in zip(raws, want)]
+            assert [r["n_bytes"] for r in got] == [len(x) for x in raws]
+
+
 def test_bitmap_has_what_the_filter_has(spark):
     rows = spark.range(2000).select(F.abs(F.xxhash64("id")).alias("_fp"))
     listed = stored(rows.limit(100), "listed")

@@ -11,7 +11,8 @@ each other travel together, and only those go that can have an equal:
 1. Of documents with equal texts the first goes on; the others are removed whole.
 2. The anchor of a window is the GRAM bytes in it with the lowest hash. Equal windows have
    equal anchors. Consecutive windows with the same anchor form a run, of 64 at most.
-   Anchors that one text only has are dropped with their runs.
+   Anchors that one text only has are dropped with their runs. They are counted in parts of
+   their hashes, which tasks hand on packed.
 3. Equal runs fall together, with their smallest key. What is left to compare are different
    runs with the same anchor.
 4. Those are range-partitioned by the suffix at their anchor, its leading GRAM bytes, with
@@ -134,14 +135,55 @@ def runs(texts: pa.Array, length: int = LENGTH):
         yield row, low + place - edge[row], size, anchor, place, hashes
 
 
+# Anchors that a task gathers before it deals them over so many parts.
+DEALT_ANCHORS = 1 << 19
+ANCHOR_PARTS = 4096
+# Rows of dealt anchors, some 128 each, that are counted at once.
+COUNTED_ROWS = 1 << 12
+
+
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The anchors of each text, once per slice."""
+    """The anchors of the texts, once per text and slice but at most twice, by part: hash modulo
+    ANCHOR_PARTS. As packed integers, since a row for each would cost more than its count."""
+    held: list[np.ndarray] = []
+    size = 0
+
+    def dealt() -> pa.RecordBatch:
+        anchors = np.concatenate(held)
+        held.clear()
+        part = (anchors % ANCHOR_PARTS).astype(np.uint16)
+        counts = np.bincount(part, minlength=ANCHOR_PARTS)
+        some = np.flatnonzero(counts)
+        edge = np.concatenate(([0], np.cumsum(counts[some]) * 8)).astype(np.int32)
+        packed = pa.py_buffer(anchors[np.argsort(part, kind="stable")])
+        packed = pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(edge), packed])
+        return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), packed], ["_part", "_packed"])
+
     for batch in batches:
         for row, _, _, anchor, _, _ in runs(batch["_text"]):
-            order = np.argsort(anchor, kind="stable")
-            a, r = anchor[order], row[order]
-            once = np.concatenate(([True], (a[1:] != a[:-1]) | (r[1:] != r[:-1])))
-            yield pa.RecordBatch.from_arrays([pa.array(a[once])], ["_anchor"])
+            # 48 bits of hash, and which of the slice's texts: each has LENGTH bytes or more there.
+            text = np.cumsum(np.concatenate(([False], row[1:] != row[:-1])), dtype=np.uint64)
+            keys = np.sort((anchor.view(np.uint64) << _U(16)) | text)
+            keys = keys[np.concatenate(([True], keys[1:] != keys[:-1]))] >> _U(16)
+            third = np.zeros(len(keys), bool)
+            third[2:] = keys[2:] == keys[:-2]
+            held.append(keys[~third].view(np.int64))
+            size += len(held[-1])
+        if size > DEALT_ANCHORS:
+            yield dealt()
+            size = 0
+    if held:
+        yield dealt()
+
+
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The anchors that are there twice or more; parts come whole, one after the other."""
+    for table in _whole_groups(batches, "_part", COUNTED_ROWS):
+        packed = _bytes_of(table["_packed"].combine_chunks())[0].view(np.int64)
+        packed = np.sort(packed)
+        again = packed[1:][packed[1:] == packed[:-1]]
+        once = again[np.concatenate(([True], again[1:] != again[:-1]))] if len(again) else again
+        yield pa.RecordBatch.from_arrays([pa.array(once)], ["_anchor"])
 
 
 def _slices(raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
@@ -355,9 +397,9 @@ def _bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     least = 0
     held: list[pa.RecordBatch] = []
 
-    def out(table: pa.RecordBatch, low: np.ndarray, edge: np.ndarray) -> pa.RecordBatch:
+    def out(table: pa.RecordBatch, low: np.ndarray, edge: bool) -> pa.RecordBatch:
         names = ["_h1", "_h2", "_lo", "_offset"]
-        window = pa.array(np.where(edge, table["_window"].to_numpy(zero_copy_only=False), None), pa.binary())
+        window = table["_window"] if edge else pa.nulls(table.num_rows, pa.binary())
         return pa.RecordBatch.from_arrays(
             [*[table[c] for c in names], pa.array(low), window], [*names, "_least", "_edge"]
         )
@@ -365,8 +407,7 @@ def _bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def flush(is_last: bool) -> Iterator[pa.RecordBatch]:
         # Only rows of the last window are held back.
         for table in held:
-            edge = np.full(table.num_rows, is_last or last == first)
-            yield out(table, np.full(table.num_rows, least), edge)
+            yield out(table, np.full(table.num_rows, least), is_last or last == first)
         held.clear()
 
     for batch in batches:
@@ -379,15 +420,23 @@ def _bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place[order] = cls
         batch, place = batch.take(pa.array(np.argsort(place, kind="stable"))), np.sort(place)
         starts = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
-        low = np.asarray(batch["_lo"])
-        for a, b in zip(starts, np.append(starts[1:], len(place))):
-            window = batch["_window"][a].as_py()
-            if window != last:
-                yield from flush(False)
-                first = window if first is None else first
-                last, least = window, int(low[a:b].min())
-            least = min(least, int(low[a:b].min()))
-            held.append(batch.slice(a, b - a))
+        sizes = np.diff(np.append(starts, len(place)))
+        lows = np.minimum.reduceat(np.asarray(batch["_lo"]), starts)
+        window = batch["_window"][0].as_py()
+        if window != last:
+            yield from flush(False)
+            first = window if first is None else first
+            last, least = window, int(lows[0])
+        least = min(least, int(lows[0]))
+        held.append(batch.slice(0, sizes[0]))
+        if len(starts) > 1:
+            yield from flush(False)
+            # Windows that begin and end in the batch.
+            inner = batch.slice(sizes[0], starts[-1] - sizes[0])
+            if inner.num_rows:
+                yield out(inner, np.repeat(lows[1:-1], sizes[1:-1]), False)
+            last, least = batch["_window"][starts[-1]].as_py(), int(lows[-1])
+            held.append(batch.slice(starts[-1]))
     if held:
         yield from flush(True)
 
@@ -412,55 +461,57 @@ SPANS = "array<struct<start:long,end:long>>"
 
 
 # Bytes of texts that are cut at once, but for a longer text.
-CUT_BYTES = 4 << 20
+CUT_BYTES = 1 << 20
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Take the flagged windows out of each text, or the whole text."""
-    done: list[tuple] = []
-    held = 0
-
-    def taken(batch: pa.RecordBatch, end: int) -> pa.RecordBatch:
-        nonlocal held
-        part = batch.slice(end - len(done), len(done))
-        sizes, kept, starts, ends = zip(*done)
-        edge = pa.array(np.concatenate(([0], np.cumsum([len(x) for x in starts]))).astype(np.int32))
-        values = [pa.array(np.concatenate(x).astype(np.int64)) for x in (starts, ends)]
-        spans = pa.ListArray.from_arrays(edge, pa.StructArray.from_arrays(values, ["start", "end"]))
-        done.clear()
-        held = 0
-        return pa.RecordBatch.from_arrays(
-            [part["_id"], part["_fp"], pa.array(sizes, pa.int64()), pa.array(kept, pa.binary()), spans],
-            ["_id", "_fp", "n_bytes", "kept", "removed"],
-        )
-
     for batch in batches:
-        texts = batch["_text"].cast(pa.large_binary()).fill_null(b"")
-        whole = batch["_later"].to_pylist()
-        for i in range(batch.num_rows):
-            raw = texts[i].as_py()
-            n = len(raw)
-            windows = batch["_windows"][i]
-            if whole[i] or not windows.is_valid:
-                spans = [(0, n)] if whole[i] else []
-                done.append((n, b"" if whole[i] else raw, [a for a, _ in spans], [b for _, b in spans]))
-            else:
-                windows = windows.values
-                size = np.asarray(windows.field("_n")).astype(np.int64)
-                bits = np.asarray(windows.field("_bits")).view(np.uint64)
-                offset = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-                hit = (np.repeat(bits, size) >> offset.astype(np.uint64)) & _U(1) != 0
-                at = (np.repeat(np.asarray(windows.field("_start")), size) + offset)[hit]
-                step = np.bincount(at, minlength=n + 1) - np.bincount(at + LENGTH, minlength=n + 1)
-                gone = np.cumsum(step[:-1]) > 0
-                turns = np.flatnonzero(np.diff(np.concatenate(([0], gone.view(np.int8), [0]))))
-                kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
-                done.append((n, kept, turns[::2], turns[1::2]))
-            held += n
-            if held > CUT_BYTES:
-                yield taken(batch, i + 1)
-        if done:
-            yield taken(batch, batch.num_rows)
+        if not batch.num_rows:
+            continue
+        batch = batch.set_column(
+            batch.schema.get_field_index("_text"), "_text", batch["_text"].cast(pa.large_binary()).fill_null(b"")
+        )
+        ends, low = _bytes_of(batch["_text"])[1][1:], 0
+        while low < batch.num_rows:
+            most = CUT_BYTES + (ends[low - 1] if low else 0)
+            part = batch.slice(low, max(1, int(np.searchsorted(ends, most, "right")) - low))
+            low += part.num_rows
+            yield _cut_texts(part)
+
+
+def _cut_texts(part: pa.RecordBatch) -> pa.RecordBatch:
+    raw, edge = _bytes_of(part["_text"])
+    n, rows = len(raw), part.num_rows
+    counts = np.asarray(part["_windows"].value_lengths().fill_null(0))
+    windows = part["_windows"].flatten()
+    size = np.asarray(windows.field("_n")).astype(np.int64)
+    bits = np.asarray(windows.field("_bits")).view(np.uint64)
+    start = np.asarray(windows.field("_start")) + np.repeat(edge[:-1], counts)
+    offset = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    hit = (np.repeat(bits, size) >> offset.astype(np.uint64)) & _U(1) != 0
+    at = (np.repeat(start, size) + offset)[hit]
+    whole = np.asarray(part["_later"].cast(pa.uint8())) != 0
+    step = np.bincount(np.concatenate((at, edge[:-1][whole])), minlength=n + 1)
+    step -= np.bincount(np.concatenate((at + LENGTH, edge[1:][whole])), minlength=n + 1)
+    gone = np.zeros(n + 2, bool)  # and one byte that stays on either side
+    gone[1:-1] = np.cumsum(step[:-1]) > 0
+    bound = np.zeros(n + 1, bool)
+    bound[edge] = True
+    # A span ends with its text, even if the next one begins with another.
+    starts = np.flatnonzero(gone[1:] & (bound | ~gone[:-1]))
+    ends = np.flatnonzero(gone[:-1] & (bound | ~gone[1:]))
+    row = np.searchsorted(edge, starts, "right") - 1
+    stay = ~gone[1:-1]
+    kept_edge = np.concatenate(([0], np.cumsum(stay)))[edge].astype(np.int32)
+    kept = pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer(kept_edge), pa.py_buffer(raw[stay])])
+    span_edge = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=rows)))).astype(np.int32)
+    spans = [pa.array(x - edge[row]) for x in (starts, ends)]
+    spans = pa.ListArray.from_arrays(pa.array(span_edge), pa.StructArray.from_arrays(spans, ["start", "end"]))
+    return pa.RecordBatch.from_arrays(
+        [part["_id"], part["_fp"], pa.array(np.diff(edge)), kept, spans],
+        ["_id", "_fp", "n_bytes", "kept", "removed"],
+    )
 
 
 def _later_copies(docs: DataFrame) -> DataFrame:
@@ -475,8 +526,10 @@ def _later_copies(docs: DataFrame) -> DataFrame:
 
 def _flagged(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(_id, _fp, _windows): the windows of each text that a smaller key has too."""
-    anchors = docs.mapInArrow(_anchors, "_anchor long").groupBy("_anchor").count()
-    repeated = scratch.stored(anchors.filter("count > 1").select("_anchor"), "repeated")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    anchors = docs.mapInArrow(_anchors, "_part int, _packed binary")
+    anchors = anchors.repartition(parts, "_part").sortWithinPartitions("_part")
+    repeated = scratch.stored(anchors.mapInArrow(_repeated, "_anchor long"), "repeated")
     kind = docs.schema["_id"].dataType.simpleString()
     columns = (
         f"_id {kind}, _fp long, _ord long, _start long, _n int, _anchor long, _h1 long, _h2 long, _bytes binary"
@@ -502,7 +555,6 @@ def _flagged(docs: DataFrame, scratch: Scratch) -> DataFrame:
     differ = differ.mapInArrow(_combined, f"{rows}, _lead binary")
     differ = scratch.stored(_filtered(differ, hot, "_anchor"), "differing")
 
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cold = differ.filter("not _maybe").select("_h1", "_h2", "_lo", "_bytes", "_lead")
     cold = cold.repartitionByRange(parts, "_lead").sortWithinPartitions("_lead")
     masks = cold.mapInArrow(_compared, "_h1 long, _h2 long, _mask long")
